@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
-from . import cut_off, pieces, visual_forms
+from . import cut_off, language, pieces, visual_forms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,18 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumnRenamed("text", "piece_text")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(load(spark, sf_dir, "documents"))
+    found = language.wrong_labels(load(spark, sf_dir, "qa_log"), model, "seg_id", "text_auto", "lang", 40)
+    return found.select(F.col("k").alias("seg_id"), "lang")
+
+
+def p4_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language.train(load(spark, sf_dir, "documents"))
+    found = language.stretches(load(spark, sf_dir, "qa_log"), model, "seg_id", "text_auto", "lang")
+    return found.select(F.col("k").alias("seg_id"), "lang", "confidence", "start", "end", "n_languages").distinct()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut_off.find_cut(load(spark, sf_dir, "documents"), "doc_id", "text", "source", materialize)
     return found.where("is_cut").select(F.col("k").alias("doc_id")).distinct()
@@ -41,6 +53,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_stretches": p4_stretches,
     "p8_found": p8_found,
     "p8_share": p8_share,
 }
