@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
-from . import cut_off, language, pieces, visual_forms
+from . import cut_off, language, leaks, pieces, visual_forms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,18 @@ def p4_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("k").alias("seg_id"), "lang", "confidence", "start", "end", "n_languages").distinct()
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_rows"), "doc_id", "text", "id", "src")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select(F.col("k").alias("doc_id"), "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).withColumnRenamed("k", "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut_off.find_cut(load(spark, sf_dir, "documents"), "doc_id", "text", "source", materialize)
     return found.where("is_cut").select(F.col("k").alias("doc_id")).distinct()
@@ -55,6 +67,8 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
     "p4_stretches": p4_stretches,
+    "p7_found": p7_found,
+    "p7_spans": p7_spans,
     "p8_found": p8_found,
     "p8_share": p8_share,
 }
