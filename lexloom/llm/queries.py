@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
-from . import cut_off, language, leaks, pieces, visual_forms
+from . import cut_off, language, leaks, pieces, scans, visual_forms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,21 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumnRenamed("text", "piece_text")
 
 
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = load(spark, sf_dir, "scan_pages").select(
+        "file", (F.col("page_index") + 1).alias("page_num"), F.col("page").alias("label")
+    )
+    return scans.repair(load(spark, sf_dir, "qa_log"), labels, "seg_id", "text_auto", "file", "page_num", materialize)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(_repaired(spark, sf_dir)).select(F.col("k").alias("seg_id"), "noise").distinct()
+
+
+def p3_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _repaired(spark, sf_dir).select(F.col("k").alias("seg_id"), F.col("text").alias("paragraphs")).distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(load(spark, sf_dir, "documents"))
     found = language.wrong_labels(load(spark, sf_dir, "qa_log"), model, "seg_id", "text_auto", "lang", 40)
@@ -65,6 +80,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p4_stretches": p4_stretches,
     "p7_found": p7_found,
