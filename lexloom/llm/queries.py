@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
-from . import cut_off, language, leaks, pieces, scans, visual_forms
+from . import cut_off, language, leaks, pairs, pieces, scans, visual_forms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,12 @@ def p4_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("k").alias("seg_id"), "lang", "confidence", "start", "end", "n_languages").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = load(spark, sf_dir, "qa_log")
+    found = pairs.defective(log, pairs.fit(log, "seg_id", "text_auto", "text_en"), "seg_id", "text_auto", "text_en")
+    return found.select(F.col("k").alias("seg_id"), "defect").distinct()
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_rows"), "doc_id", "text", "id", "src")
 
@@ -84,6 +90,7 @@ QUERIES = {
     "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p4_stretches": p4_stretches,
+    "p5_found": p5_found,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p8_found": p8_found,
