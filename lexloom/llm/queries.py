@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load, materialize
-from . import cut_off, language, leaks, pairs, pieces, scans, visual_forms
+from . import cut_off, language, leaks, packing, pairs, pieces, scans, visual_forms
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("k").alias("seg_id"), "defect").distinct()
 
 
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, kinds = load(spark, sf_dir, "documents"), load(spark, sf_dir, "containers")
+    return packing.pack(docs, kinds, "doc_id", "text", "source", materialize)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fills(p6_pack(spark, sf_dir))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_rows"), "doc_id", "text", "id", "src")
 
@@ -91,6 +100,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_stretches": p4_stretches,
     "p5_found": p5_found,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p8_found": p8_found,
