@@ -1,0 +1,3 @@
+"""All queries, by group."""
+
+from . import evaluation, language, layout, records, sources  # noqa: F401  (they register themselves)
