@@ -119,6 +119,6 @@ ORACLE_SQL = {
         SELECT DISTINCT seg_id,
                CASE WHEN list_max(list_transform(
                       regexp_split_to_array(text_auto, '[\s\v\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'),
-                      x -> length(x))) > l THEN 'solid' ELSE 'plain' END AS cut
+                      lambda x: length(x))) > l THEN 'solid' ELSE 'plain' END AS cut
         FROM big""",
 }
