@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import product
@@ -47,6 +48,7 @@ DIVISION_MARKS = "-\u00ac\u00ad\u2010="
 
 _word = re.compile(r"[^\W\d_]+(?:['\u2019\-\u2010\u2011][^\W\d_]+)*")
 _divided = re.compile(rf"([^\W\d_]+)([{re.escape(DIVISION_MARKS)}])[ \t]*\n[ \t]*([^\W\d_]+)")
+_space = re.compile(r"(\s+)")
 _outer = "„“”\"«»[]…"
 _sign = re.compile(r"\\/|[01|!+@(5629838'$€<]")
 _number = re.compile(
@@ -294,45 +296,88 @@ def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
     ).where("is_header or is_number")
 
 
-def repaired(text: str, drop: set[int], wrong: dict[str, str | None], keep: set[str]) -> tuple[str, bool, bool]:
-    """(paragraphs of a page, a word was divided, a word was misread)."""
-    found = [False, False]
+def joined(body: str, keep: set[str], group: int = 0, groups: int = 1) -> tuple[str, bool]:
+    """(text with its divided words joined, whether one was), deciding only the words of one group."""
+    found = False
 
     def join(m: re.Match) -> str:
-        if not m[3][:1].islower() or f"{m[1]}\t{m[3]}".lower() in keep:
+        nonlocal found
+        pair = f"{m[1]}\t{m[3]}".lower()
+        if groups > 1 and zlib.crc32(pair.encode()) % groups != group:
+            return m[0]
+        if not m[3][:1].islower() or pair in keep:
             return f"{m[1]}-{m[3]}" if m[2] in "-\u2010" else m[0]
-        found[0] = True
+        found = True
         return m[1] + m[3]
 
+    return _divided.sub(join, body), found
+
+
+def read_right(text: str, wrong: dict[str, str | None]) -> tuple[str, bool]:
+    """(text with its misread words corrected where the right one is known, whether one was misread)."""
+    found = False
+
     def read(word: str) -> str:
-        core = word.strip(_outer).rstrip(".,;:?)“”\"»]").lstrip("(„«")
+        nonlocal found
+        core = word.strip(_outer).rstrip(".,;:?)\u201c\u201d\"\u00bb]").lstrip("(\u201e\u00ab")
         right = wrong.get(core.lower(), False) if core else False
         if right is False:
             return word
-        found[1] = True
+        found = True
         if not right:
             return word
         right = right.upper() if core.isupper() else right[:1].upper() + right[1:] if core[:1].isupper() else right
         return word.replace(core, right, 1)
 
-    for x in text.split("\n"):  # misread words of the furniture count, too
-        for w in x.split():
-            read(w)
-    lines = [x for i, x in enumerate(text.split("\n")) if i not in drop]
-    body = _divided.sub(join, "\n".join(lines))
-    paragraphs = [" ".join(read(w) for w in p.split()) for p in re.split(r"\n\s*\n", body)]
-    return "\n\n".join(p for p in paragraphs if p), found[0], found[1]
+    return "".join(read(w) if i % 2 == 0 else w for i, w in enumerate(_space.split(text))), found
+
+
+def paragraphs(body: str) -> str:
+    return "\n\n".join(p for p in (" ".join(x.split()) for x in re.split(r"\n\s*\n", body)) if p)
+
+
+REPAIRED = "k long, text string, rest string, divided boolean, misread boolean, header boolean, numbered boolean"
 
 
-REPAIRED = "k long, text string, divided boolean, misread boolean, header boolean, numbered boolean"
+def _pass(work: DataFrame, change) -> DataFrame:
+    """``change(text, rest, drop) -> (text, rest, divided, misread)`` over all pages, adding to what was found before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = change()
+        for batch in batches:
+            k, text, rest, drop, divided, misread, header, numbered = (c.to_pylist() for c in batch.columns)
+            done = [call(t, r, d) for t, r, d in zip(text, rest, drop)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(k, pa.int64()),
+                    pa.array([x[0] for x in done], pa.string()),
+                    pa.array([x[1] for x in done], pa.string()),
+                    pa.array([x[2] or y for x, y in zip(done, divided)], pa.bool_()),
+                    pa.array([x[3] or y for x, y in zip(done, misread)], pa.bool_()),
+                    pa.array(header, pa.bool_()),
+                    pa.array(numbered, pa.bool_()),
+                ],
+                names=["k", "text", "rest", "divided", "misread", "header", "numbered"],
+            )
+
+    columns = ["k", "text", "rest", "drop", "divided", "misread", "header", "numbered"]
+    if "drop" not in work.columns:
+        work = work.withColumn("drop", F.lit(None).cast("array<int>"))
+    return work.select(*columns).mapInArrow(run, REPAIRED)
 
 
-def repair(
-    log: DataFrame, labels: DataFrame | None, key: str, text: str, file: str, page: str, materialize
-) -> DataFrame:
-    """One row a page: (``k``, ``text``, ``divided``, ``misread``, ``header``, ``numbered``).
+def split_off(text: str, drop: list[int] | None) -> tuple[str, str]:
+    """(body, furniture) of a page."""
+    out = set(drop or ())
+    lines = text.split("\n")
+    return "\n".join(x for i, x in enumerate(lines) if i not in out), "\n".join(x for i, x in enumerate(lines) if i in out)
 
-    The vocabulary is counted over all texts of ``log``; rows with a ``page`` number are the pages.
+
+def repair(log: DataFrame, labels: DataFrame | None, key: str, text: str, file: str, page: str, materialize) -> DataFrame:
+    """One row a page: (``k``, ``text``, ``rest``, ``divided``, ``misread``, ``header``, ``numbered``); ``rest`` is the furniture.
+
+    The vocabulary is counted over all texts of ``log``; rows with a ``page`` number are the pages. Tables of corrections
+    or compounds beyond ``GROUP_ROWS`` go out in groups: first all groups of compounds, then all of corrections.
     """
     spark = log.sparkSession
     types = materialize(counted(log, text, page), "types")
@@ -343,6 +388,7 @@ def repair(
         "pages",
     )
     wrong = materialize(corrections(types), "corrections")
+    keep = materialize(compounds(types), "compounds")
     lines = materialize(edge_lines(pages), "edges")
     marked = (
         furniture(lines, labels)
@@ -354,40 +400,50 @@ def repair(
             F.max("is_number").alias("numbered"),
         )
     )
+    no = F.lit(False)
     work = pages.join(marked, "k", "left").select(
-        "k", "t", "drop", F.coalesce("header", F.lit(False)).alias("header"), F.coalesce("numbered", F.lit(False)).alias("numbered")
-    )
-    hyphens = spark.sparkContext.broadcast({r[0] for r in compounds(types).limit(GROUP_ROWS).collect()})
-    n_groups = max(1, -(-wrong.count() // GROUP_ROWS))
-    for g in range(n_groups):  # one group as a rule; each further group reads what the one before has repaired
-        part = wrong if n_groups == 1 else wrong.where(F.pmod(F.xxhash64("wrong"), F.lit(n_groups)) == g)
-        shared = spark.sparkContext.broadcast({r[0]: r[1] for r in part.collect()})
-        first = g == 0
-
-        def apply(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
-            table, keep = shared.value, hyphens.value
-            for batch in batches:
-                cols = [c.to_pylist() for c in batch.columns]
-                done = [repaired(t, set(d or ()), table, keep) for t, d in zip(cols[1], cols[2])]
-                before = list(zip(*cols[5:7])) if not first else [(False, False)] * len(done)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cols[0], pa.int64()),
-                        pa.array([x[0] for x in done], pa.string()),
-                        pa.array([x[1] or b[0] for x, b in zip(done, before)], pa.bool_()),
-                        pa.array([x[2] or b[1] for x, b in zip(done, before)], pa.bool_()),
-                        pa.array(cols[3], pa.bool_()),
-                        pa.array(cols[4], pa.bool_()),
-                    ],
-                    names=["k", "text", "divided", "misread", "header", "numbered"],
-                )
+        "k", F.col("t").alias("text"), F.lit("").alias("rest"), "drop", no.alias("divided"), no.alias("misread"),
+        F.coalesce("header", no).alias("header"), F.coalesce("numbered", no).alias("numbered"),
+    )
 
-        done = work.mapInArrow(apply, REPAIRED)
-        if g + 1 < n_groups:
-            work = done.select(
-                "k", F.col("text").alias("t"), F.array().cast("array<int>").alias("drop"), "header", "numbered", "divided", "misread"
-            )
-    return done
+    def group_of(table: DataFrame, n: int, g: int) -> list:
+        mine = table if n == 1 else table.where(F.pmod(F.crc32(F.col("wrong").cast("binary")), F.lit(n)) == g)
+        return mine.collect()  # at most about GROUP_ROWS
+
+    n_keep, n_wrong = (max(1, -(-t.count() // GROUP_ROWS)) for t in (keep, wrong))
+    if n_keep == n_wrong == 1:
+        shared = spark.sparkContext.broadcast(({r[0] for r in keep.collect()}, {r[0]: r[1] for r in wrong.collect()}))
+
+        def whole():
+            compound, table = shared.value
+
+            def call(t, r, d):
+                body, rest = split_off(t, d)
+                body, divided = joined(body, compound)
+                body, m1 = read_right(body, table)
+                rest, m2 = read_right(rest, table)
+                return paragraphs(body), rest, divided, m1 or m2
+
+            return call
+
+        return _pass(work, whole)
+
+    work = _pass(work, lambda: lambda t, r, d: (*split_off(t, d), False, False))
+    for g in range(n_keep):
+        one = spark.sparkContext.broadcast({r[0] for r in group_of(keep, n_keep, g)})
+
+        def divide(one=one, g=g):
+            return lambda t, r, d: ((x := joined(t, one.value, g, n_keep))[0], r, x[1], False)
+
+        work = _pass(work, divide)
+    for g in range(n_wrong):
+        one = spark.sparkContext.broadcast({r[0]: r[1] for r in group_of(wrong, n_wrong, g)})
+
+        def correct(one=one):
+            return lambda t, r, d: ((x := read_right(t, one.value))[0], (y := read_right(r, one.value))[0], False, x[1] or y[1])
+
+        work = _pass(work, correct)
+    return _pass(work, lambda: lambda t, r, d: (paragraphs(t), r, False, False))
 
 
 def noise(pages: DataFrame) -> DataFrame:

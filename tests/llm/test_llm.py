@@ -155,7 +155,7 @@ def test_pages_are_repaired(spark):
 
 def test_groups_of_corrections_give_the_same_result(spark, monkeypatch):
     rows = [(i, "m", None, "sondy vrstvy nálezu kostry studna severo-jižní půda") for i in range(20)]
-    rows += [(50 + i, "f", i, f"s0ndy vrst\\/y ko5try stu-\ndna a severo-\njižní p@da {i}") for i in range(3)]
+    rows += [(50 + i, "f", i, f"Hlavička č1sla 7\ns0ndy vrst\\/y ko5try stu-\ndna a severo-\njižní p@da k0s-\ntry {i}") for i in range(3)]
     log = spark.createDataFrame(rows, "seg_id long, file string, page_num int, text_auto string")
 
     def run():
