@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: The same characters, one by one, for trimming without a pattern.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once a row, however often ``body`` uses it, also inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -16,7 +20,7 @@ def let(value: Column, body) -> Column:
 
 def ws_trim(text: Column) -> Column:
     """Text without white space of any kind at its ends."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def ws_split(text: Column) -> Column:

@@ -100,7 +100,7 @@ def _alto_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, 1 AS page_idx, 1 AS block_idx, CAST(i AS INTEGER) AS line_idx, 'L' || id AS line_id, CAST(j AS INTEGER) AS str_idx, words[j] AS content FROM s"""
 )
 def alto_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xml_nodes.layout_strings(xml_nodes.node_table(_alto_files(spark, sf_dir)))
+    return xml_nodes.layout_strings(_alto_files(spark, sf_dir))
 
 
 def _metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A table of fewer splits than this (about 1 GB at the default split size) may be spread over the cores.
+FEW_SPLITS = 8
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of few splits is spread over all cores, since the work on its texts costs far more than moving them.
+
+    Larger tables already have splits enough and are never moved; projections and filters pass below the exchange.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name not in ("documents", "qa_log"):
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
 
 
 _shipped: set[str] = set()

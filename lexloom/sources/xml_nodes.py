@@ -101,6 +101,10 @@ def shred(content: bytes) -> list[Node]:
 
 def _tag_end(content: bytes, at: int) -> int:
     """The byte after the ``>`` of the start tag at ``at``; quotes may hide a ``>``."""
+    end = content.find(b">", at) + 1
+    tag = content[at:end]
+    if end and tag.count(b'"') % 2 == 0 and tag.count(b"'") % 2 == 0:
+        return end
     quote = 0
     for i in range(at, len(content)):
         c = content[i]
@@ -180,29 +184,47 @@ def namespaces(nodes: DataFrame, key: str = "doc_id", fallback: str = "http://ww
     return nodes.groupBy(key).agg(first("amcr").alias("record_ns"), F.coalesce(first("OAI-PMH"), F.lit(fallback)).alias("oai_ns"))
 
 
-def layout_strings(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(``key``, ``page_idx``, ``block_idx``, ``line_idx``, ``line_id``, ``str_idx``, ``content``) of a layout file, all from
-    1 in document order; blocks may be nested in other elements."""
-    from pyspark.sql import Window as W
+LAYOUT = "page_idx int, block_idx int, line_idx int, line_id string, str_idx int, content string"
+
+
+def layout_of(nodes: list[Node]) -> Iterator[tuple[int, int, int, str, int, str]]:
+    """(page, block, line, line id, string, content) of every string, all from 1 in document order within what holds them;
+    blocks may be nested in other elements; a line without an id is called by its number."""
+    page = block = line = string = 0
+    line_id = ""
+    for n in nodes:
+        if n.tag == "Page":
+            page, block, line, string = page + 1, 0, 0, 0
+        elif n.tag == "TextBlock":
+            block, line, string = block + 1, 0, 0
+        elif n.tag == "TextLine":
+            line, string = line + 1, 0
+            line_id = n.attrs.get("ID") or str(line)
+        elif n.tag == "String":
+            string += 1
+            yield page, block, line, line_id, string, n.attrs.get("CONTENT", "")
+
+
+def layout_strings(files: DataFrame, key: str = "doc_id", content: str = "content") -> DataFrame:
+    """(``key``, LAYOUT) of every well-formed layout file, in one pass and without a shuffle."""
+    kind = dict(files.dtypes)[key]
+    i, s = pa.int32(), pa.string()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for k, c in zip(*(x.to_pylist() for x in batch.columns)):
+                try:
+                    found = list(layout_of(shred(bytes(c) if not isinstance(c, str) else c.encode())))
+                except (ValueError, TypeError):
+                    continue
+                keys += [k] * len(found)
+                rows += found
+            if rows:
+                columns = [pa.array(keys, batch.schema.field(0).type)] + [pa.array(x, t) for x, t in zip(zip(*rows), (i, i, i, s, i, s))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, *[x.split()[0] for x in LAYOUT.split(", ")]])
 
-    def within(tag: str):
-        at = F.when(F.col("tag") == tag, F.col("node_id"))
-        return F.max(at).over(W.partitionBy(key).orderBy("node_id").rowsBetween(W.unboundedPreceding, 0))
-
-    placed = nodes.where(F.col("tag").isin("Page", "TextBlock", "TextLine", "String"))
-    placed = placed.withColumns({"_p": within("Page"), "_b": within("TextBlock"), "_l": within("TextLine")})
-    line_id = F.max(F.when(F.col("tag") == "TextLine", F.col("attrs")["ID"])).over(W.partitionBy(key, "_l"))
-    strings = placed.withColumn("_id", line_id).where("tag = 'String'")
-    rank = lambda part, by: F.dense_rank().over(W.partitionBy(*part).orderBy(by)).cast("int")
-    return strings.select(
-        key,
-        rank([key], "_p").alias("page_idx"),
-        rank([key, "_p"], "_b").alias("block_idx"),
-        rank([key, "_b"], "_l").alias("line_idx"),
-        F.coalesce("_id", rank([key, "_b"], "_l").cast("string")).alias("line_id"),
-        rank([key, "_l"], "node_id").alias("str_idx"),
-        F.coalesce(F.col("attrs")["CONTENT"], F.lit("")).alias("content"),
-    )
+    return files.select(key, content).mapInArrow(read, f"{key} {kind}, {LAYOUT}")
 
 
 def splice(content: bytes, texts: dict[int, str], contents: dict[int, str]) -> bytes:

@@ -264,3 +264,33 @@ def test_package_without_the_llm_folder_still_offers_the_rest(monkeypatch):
     names = entry.queries()
     assert names and not [n for n in names if n[:1] == "p" and n[1:2].isdigit()]
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_writers(spark, tmp_path):
+    import json
+
+    from lexloom.sinks import writers
+
+    blocks = spark.createDataFrame([("d", "zz", '{"a": 1}'), ("d", "pages", "[ 1 ]"), ("d", "doc_id", '"d"'), ("d", 'q"x', None)], "doc_id string, block string, payload string")
+    text = writers.records(blocks).first()["record"]
+    assert text.startswith('{"doc_id":"d","pages":[ 1 ],') and json.loads(text)['q"x'] is None
+    assert one(spark, writers.output_name(F.col("n"), "en"), n="a.b.ALTO.xml") == "a.b_en.alto.xml"
+    assert one(spark, writers.output_name(F.col("n"), "en"), n="rec.xml") == "rec_en.xml"
+    files = spark.createDataFrame([("x.xml", bytearray(b"<a>1</a>"))], "name string, content binary")
+    assert writers.write_files(files, str(tmp_path / "out")).first()["n_bytes"] == 8
+    assert (tmp_path / "out" / "x.xml").read_bytes() == b"<a>1</a>"
+    rows = spark.createDataFrame([("f1", 1, "1", 'a "q", b', "c\nd")], "file string, page_num int, line_num string, text_src string, text_tgt string")
+    writers.qa_csv(rows, str(tmp_path / "qa"), "cs", "en")
+    back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(str(tmp_path / "qa" / "_file=f1")).first()
+    assert (back["text_cs"], back["text_en"]) == ('a "q", b', "c\nd")
+    a, b = spark.createDataFrame([(1, "s")], "z int, src string"), spark.createDataFrame([(2, 0.5)], "z int, chrf double")
+    assert writers.united([a, b]).columns == ["chrf", "z", "src"]
+
+
+def test_rewriting_takes_the_last_pass_over_a_node(spark):
+    from lexloom.sinks import writers
+
+    files = spark.createDataFrame([("d", "<a><b>x</b></a>"), ("e", "<a/>")], "doc_id string, content string")
+    changes = spark.createDataFrame([("d", 1, "text", "EN:x", 0), ("d", 1, "text", "EN:EN:x", 1)], "doc_id string, node_id int, kind string, value string, ord int")
+    got = {r["doc_id"]: bytes(r["content"]) for r in writers.rewritten(files, changes).collect()}
+    assert got == {"d": b"<a><b>EN:EN:x</b></a>", "e": b"<a/>"}
