@@ -212,7 +212,7 @@ class Sentences:
         prev, nxt = np.empty_like(data), np.empty_like(data)
         prev[0], prev[1:] = 32, data[:-1]
         nxt[-1], nxt[:-1] = 32, data[1:]
-        edge = (space & stop[prev]) | (data == 10) | ((data == 47) & (prev == 32) & (nxt == 32))
+        edge = (space & stop[prev]) | ((data == 10) & (prev == 10)) | ((data == 47) & (prev == 32) & (nxt == 32))
         cut = np.flatnonzero(edge)
         starts = np.unique(np.concatenate([first, cut])) if len(cut) else first
         whole = sizes > 0

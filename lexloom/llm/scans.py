@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Lines looked at on each edge of a page; pages a line must stand on to be running matter, a sequence to be numbers.
 EDGE_LINES, LEAST_PAGES = 2, 2
+#: Likeness of a running line to one that is repeated exactly.
+LEAST_LIKE = 0.8
 #: A reading is wrong if the word it is mistaken for is this many times as frequent, and seen at least so often.
 TIMES, LEAST_SEEN = 12, 3
 #: Entries of corrections sent to the executors at once; words gathered in a task before they are handed on.
@@ -78,8 +80,8 @@ def roman(text: str) -> int | None:
     return total if 0 < total < 400 and text in (text.lower(), text.upper()) else None
 
 
-def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None]]:
-    """(line number, side, line, running part, number, printed number) of the lines at the edges of a page."""
+def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None, str, str]]:
+    """(line number, side, line, running part folded, number, printed number, first word, last word) of the edge lines."""
     lines = [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
     out = []
     n = len(lines)
@@ -93,7 +95,7 @@ def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None]]:
         if m:
             value = int(m[1]) if m[1].isdigit() else roman(m[1])
             if value is not None:
-                out.append((i, side, line, "", value, m[1]))
+                out.append((i, side, line, "", value, m[1], "", ""))
             continue
         m = _beside.match(line)
         number, body = (m[1] or m[4], m[2] or m[3]) if m else (None, line)
@@ -105,7 +107,8 @@ def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None]]:
             flows = True
         if side == "foot" and (body[:1].islower() or (prev and not _ends_text.search(prev) and at > EDGE_LINES and body[-1:] == ".")):
             flows = True
-        out.append((i, side, line, "" if flows else folded(body), int(digits) if digits else None, digits or None))
+        words = body.lower().split()
+        out.append((i, side, line, "" if flows else folded(body), int(digits) if digits else None, digits or None, words[0], words[-1]))
     return out
 
 
@@ -240,7 +243,7 @@ def compounds(types: DataFrame) -> DataFrame:
     )
 
 
-EDGE_SCHEMA = "k long, file string, page_num int, line_no int, side string, running string, number int, printed string"
+EDGE_SCHEMA = "k long, file string, page_num int, line_no int, side string, running string, number int, printed string, first_word string, last_word string"
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
@@ -248,29 +251,44 @@ def edge_lines(pages: DataFrame) -> DataFrame:
         for batch in batches:
             k, f, p, t = (c.to_pylist() for c in batch.columns)
             rows = [
-                (a, b, c, i, side, run or None, number, printed)
+                (a, b, c, i, side, run or None, number, printed, w1, w2)
                 for a, b, c, text in zip(k, f, p, t)
-                for i, side, _, run, number, printed in edges(text)
+                for i, side, _, run, number, printed, w1, w2 in edges(text)
             ]
             if rows:
-                types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
+                types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                    names=["k", "file", "page_num", "line_no", "side", "running", "number", "printed"],
+                    names=["k", "file", "page_num", "line_no", "side", "running", "number", "printed", "first_word", "last_word"],
                 )
 
     return pages.select("k", "file", "page_num", "t").mapInArrow(cut, EDGE_SCHEMA)
 
 
 def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(``k``, ``line_no``, ``is_header``, ``is_number``): edge lines that are running matter or carry page numbers."""
-    running = (
+    """(``k``, ``line_no``, ``is_header``, ``is_number``): edge lines that are running matter or carry page numbers.
+
+    A line is running matter if its folded form stands on several pages of its file, or if it begins or ends with the same
+    word as such a line and is alike in at least ``LEAST_LIKE`` of its folded characters.
+    """
+    forms = (
         lines.where("length(running) >= 4")
         .groupBy("file", "running")
-        .agg(F.count_distinct("page_num").alias("n"))
-        .where(F.col("n") >= LEAST_PAGES)
-        .select(F.col("file").alias("f1"), F.col("running").alias("r1"), F.lit(True).alias("is_header"))
+        .agg(F.count_distinct("page_num").alias("n"), F.min("first_word").alias("h1"), F.min("last_word").alias("h2"))
     )
+    repeated = forms.where(F.col("n") >= LEAST_PAGES)
+    exact = repeated.select("file", "running")
+    ends = [("first_word", "h1"), ("last_word", "h2")]
+    single = lines.where("length(running) >= 4").select("file", "running", "first_word", "last_word").distinct()
+    alike = [
+        single.join(repeated.select(F.col("file").alias("f"), F.col("running").alias("r"), F.col(h).alias("h")), F.expr(f"file <=> f and {w} = h"))
+        .where(F.levenshtein("running", "r") <= (1 - LEAST_LIKE) * F.length("r"))
+        .select("file", "running")
+        for w, h in ends
+    ]
+    running = exact.union(alike[0]).union(alike[1]).distinct().select(
+        F.col("file").alias("f1"), F.col("running").alias("r1"), F.lit(True).alias("is_header")
+    )
     steps = (
         lines.where("number is not null")
         .groupBy("file", (F.col("number") - F.col("page_num")).alias("step"))
