@@ -127,3 +127,13 @@ def restore(text: Column, targets: Column) -> Column:
 
     ordinals = F.when(F.size(targets) > 0, F.sequence(F.lit(0), F.size(targets) - 1)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(ordinals, text, step)
+
+
+def first_field(names: Column, hints: list[str]) -> Column:
+    """The first name that holds the first hint, else the second, and so on, case folded; null if none does."""
+    picks = [F.get(F.filter(names, _holds(h)), F.lit(0)) for h in hints]
+    return F.coalesce(*picks) if picks else F.lit(None).cast("string")
+
+
+def _holds(hint: str):
+    return lambda n: F.contains(F.lower(n), F.lit(hint.lower()))

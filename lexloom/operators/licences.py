@@ -58,3 +58,15 @@ def effective(components: DataFrame, keys: list[str]) -> DataFrame:
         F.size("items").alias("n_components"),
         F.array_join(unknown, ",").alias("unknown_licenses"),
     )
+
+# Licences that forbid commercial use, and that ask for the same terms.
+NON_COMMERCIAL = ("CC BY-NC 4.0", "CC BY-NC-SA 4.0", "glm-4")
+SHARE_ALIKE = ("CC BY-SA 4.0", "CC BY-NC-SA 4.0", "GPL-3.0", "AGPL-3.0", "LGPL-3.0", "MPL 2.0")
+
+
+def flagged(effective_rows: DataFrame) -> DataFrame:
+    """Effective licences with ``is_non_commercial`` and ``is_share_alike``; groups without components are MIT."""
+    name = F.coalesce("effective_license", F.lit("MIT"))
+    return effective_rows.withColumn("effective_license", name).withColumns(
+        {"is_non_commercial": name.isin(*NON_COMMERCIAL), "is_share_alike": name.isin(*SHARE_ALIKE)}
+    )

@@ -94,3 +94,31 @@ def migrated(version: Column, current: int) -> Column:
     return F.when(
         major > current, F.raise_error(F.concat(F.lit("record version is newer than this reader: "), version))
     ).otherwise(F.when(major < current, F.lit(f"{current}.0")).otherwise(version))
+
+
+def inherited_id(baseline_id: Column, derived_id: Column) -> Column:
+    """The id of the record a document already has, else the one its name gives."""
+    return F.coalesce(F.nullif(F.trim(baseline_id), F.lit("")), derived_id)
+
+
+def several_documents(parts: DataFrame, group: str, doc_id: str) -> DataFrame:
+    """Groups of parts that claim more than one document id: these must not be merged."""
+    named = parts.where(F.coalesce(doc_id, F.lit("")) != "")
+    return named.groupBy(group).agg(F.count_distinct(doc_id).alias("n_documents")).where("n_documents > 1")
+
+
+def originator_audit(blocks: DataFrame, origins: DataFrame, prefixes: list[tuple[str, str]]) -> DataFrame:
+    """Blocks written by another program than their document's origin authorises; unknown origins abstain."""
+    allowed = origins.select("doc_id", "origin", originator(F.col("origin"), prefixes).alias("originator")).where("originator is not null")
+    return blocks.join(allowed, "doc_id").where(F.col("program") != F.col("originator"))
+
+
+def fan_in(parts: DataFrame) -> DataFrame:
+    """One row a (document, block) from the parts of many tools: (doc_id, ``block``, ``key``, ``payload``, ``updated_at``, ``ord``).
+
+    Blocks go to the newest stamp, the sub-keys of ``source``, ``derived_from`` and ``regenerable`` to the first writer.
+    """
+    sub = F.col("block").isin("source", "derived_from", "regenerable")
+    first = parts.where(sub & F.col("payload").isNotNull()).groupBy("doc_id", "block", "key").agg(F.min_by("payload", "ord").alias("payload"))
+    newest = newest_block(parts.where(~sub), ["doc_id", "block"], "updated_at", "ord").select("doc_id", "block", "key", "payload")
+    return newest.unionByName(first)

@@ -1,3 +1,3 @@
 """All queries, by group."""
 
-from . import evaluation, language, layout, records, sinks, sources  # noqa: F401  (they register themselves)
+from . import evaluation, language, layout, provenance, records, sinks, sources  # noqa: F401  (they register themselves)

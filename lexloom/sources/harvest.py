@@ -110,3 +110,35 @@ class _OaiReader(DataSourceReader):
             return with_retry(lambda: http(url, body))
 
         yield from oai_records(self.url, self.prefix, fetch)
+
+
+def fetched(urls, prefix: str = "", fetch: Fetch = http, tries: int = 5):
+    """(``url``, ``name``, ``content``, ``error``) of every url of a DataFrame; a failure is kept as an error, not raised."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from ..functions.text import url_safe_name
+
+    def read(batches):
+        for batch in batches:
+            out = []
+            for url in batch.column(0).to_pylist():
+                try:
+                    out.append((with_retry(lambda url=url: fetch(url, None), tries), None))
+                except Exception as e:
+                    out.append((None, str(e)[:200]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())],
+                names=["url", "name", "content", "error"],
+            )
+
+    named = urls.select("url", url_safe_name(F.col("url"), prefix).alias("name"))
+    return named.mapInArrow(read, "url string, name string, content binary, error string")
+
+
+def search_query(args: list[str], lang: str, limit: int = 99_999) -> str:
+    """A term search written for the arguments the service offers."""
+    given = [f'{a}: "{lang}"' for a in ("lang", "language") if a in args][:1]
+    given += [f"{a}: {limit}" for a in ("limit", "first", "size") if a in args][:1]
+    shape = f"({', '.join(given)})" if given else ""
+    return f"{{ search{shape} {{ id label }} }}"

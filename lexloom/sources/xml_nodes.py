@@ -248,3 +248,26 @@ def splice(content: bytes, texts: dict[int, str], contents: dict[int, str]) -> b
     for a, b, value in sorted(cuts, reverse=True):
         content = content[:a] + value + content[b:]
     return content
+
+
+def evaluation_segments(files: DataFrame, xpaths: list[str], limit: int = 0, key: str = "doc_id") -> DataFrame:
+    """(``file``, ``kind``, ``id``, ``src``): the blocks of layout files and the described fields of others, files in order of
+    name, malformed ones left out; ``limit`` keeps the first segments (0: all)."""
+    from pyspark.sql import Window as W
+
+    layout = layout_strings(files.where(F.lower("name").endswith(".alto.xml")).select("name", "content"), "name")
+    lines = layout.where("content <> ''").groupBy("name", "page_idx", "block_idx", "line_idx").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("str_idx", "content"))), lambda x: x["content"]), " ").alias("line")
+    )
+    blocks = lines.groupBy("name", "page_idx", "block_idx").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_idx", "line"))), lambda x: x["line"]), " ").alias("src")
+    )
+    nth = F.row_number().over(W.partitionBy("name").orderBy("page_idx", "block_idx")) - 1
+    a = blocks.select(F.col("name").alias("file"), F.lit("alto").alias("kind"), nth.alias("n"), "src")
+    hits = fields(node_table(files.where(~F.lower("name").endswith(".alto.xml")).select("name", "content"), "name"), xpaths, "name")
+    nth = F.row_number().over(W.partitionBy("name").orderBy("xpath_ord", "hit_ord")) - 1
+    b = hits.select(F.col("name").alias("file"), F.lit("metadata").alias("kind"), nth.alias("n"), F.trim("original").alias("src"))
+    out = a.unionByName(b).withColumn("id", F.concat(F.when(F.col("kind") == "alto", "block").otherwise("field"), "n"))
+    if limit:
+        out = out.orderBy("file", "n").limit(limit)
+    return out.select("file", "kind", "id", "src")
