@@ -8,7 +8,8 @@ byte and language, exact to the bit. Sentences are summed by language; a text ta
 that another language describes by a clear margin is a stretch of that one.
 
 Defined cases: null, blank and letterless texts have no language; text that no tree can describe (random letters, digits)
-belongs to none; very long texts are scored whole, in blocks; texts with disguised characters are first brought to their
+belongs to none; without labelled documents
+no text has a language; very long texts are scored whole, in blocks; texts with disguised characters are first brought to their
 consistent form.
 """
 
@@ -298,6 +299,8 @@ STRETCHES = "k long, label string, lang string, confidence double, start int, en
 def stretches(df: DataFrame, model: PpmModel, key: str, text: str, label: str) -> DataFrame:
     """One row for every stretch of one language of every text: (``k``, ``label``, ``lang``, ``confidence``, ``start``,
     ``end`` in UTF-8 bytes of the consistent form, ``n_languages`` of the text). Texts of no language give no row."""
+    if not model.languages:  # nothing to learn from
+        return df.sparkSession.createDataFrame([], STRETCHES)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_BYTES a language
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +322,8 @@ def stretches(df: DataFrame, model: PpmModel, key: str, text: str, label: str) -
                 last = np.append(at[1:] - 1, len(owner) - 1)
                 sums = np.add.reduceat(bits, at, axis=0)
                 two = np.sort(sums, axis=1)
-                sure = 1.0 / (1.0 + np.exp2(-np.minimum(two[:, 1] - two[:, 0], 60.0)))
+                gap = two[:, 1] - two[:, 0] if two.shape[1] > 1 else np.full(len(two), 60.0)
+                sure = 1.0 / (1.0 + np.exp2(-np.minimum(gap, 60.0)))
                 pair = np.unique(owner.astype(np.int64) * 64 + lang)
                 n_langs = np.bincount(pair // 64, minlength=b - a)
                 own = owner[at]

@@ -9,7 +9,7 @@ first and each into the fullest container that still takes it; containers with r
 texts larger than a container are split, into full containers and one remainder.
 
 Defined cases: null and empty texts hold no tokens and are not packed; a null source is a source of its own; a capacity
-below one is an error; repeated rows are packed as often as they occur; very long texts are measured whole.
+that is null or below one is no container; repeated rows are packed as often as they occur; very long texts are measured whole.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ PACKED = (
 
 def pack(docs: DataFrame, containers: DataFrame, key: str, text: str, source: str, materialize) -> DataFrame:
     """Every text's containers: ``PACKED``; one row a piece, one piece for every text that fits its container."""
-    kinds = [(r[0], r[1]) for r in containers.select("container_kind", "capacity_tokens").distinct().limit(1000).collect() if r[1]]
+    kinds = [(r[0], r[1]) for r in containers.select("container_kind", "capacity_tokens").distinct().limit(1000).collect() if r[1] and r[1] > 0]
     sizes = materialize(measured(docs, key, text, source), "tokens")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_TOKENS))

@@ -161,12 +161,13 @@ def cut_pieces(df: DataFrame, text: str, limit: str, overlap: str, out: str = "c
 
 
 def run_limits(runs: DataFrame) -> DataFrame:
-    """(``run_id``, ``chunk_limit``, ``chunk_overlap``), one row a run; a missing or unreadable limit is null."""
+    """(``run_id``, ``chunk_limit``, ``chunk_overlap``), one row a run; a limit that is missing, unreadable or below 1 is null."""
+    limit = F.expr("try_cast(config['chunk_limit'] as int)")
     return (
         runs.where("run_id is not null")
         .select(
             "run_id",
-            F.expr("try_cast(config['chunk_limit'] as int)").alias("chunk_limit"),
+            F.when(limit >= 1, limit).alias("chunk_limit"),
             F.expr("try_cast(config['chunk_overlap'] as int)").alias("chunk_overlap"),
         )
         .groupBy("run_id")

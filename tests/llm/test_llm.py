@@ -118,7 +118,7 @@ def test_oversized_rows_meet_their_runs(spark):
         [(1, "r1", "a b " * 20, 1), (2, None, "a b " * 20, 1), (3, "r1", "a" * 60, 1), (4, "zz", "c " * 2500, 1), (5, "r2", "d " * 30, 1), (6, "r1", None, 1)],
         "seg_id long, run_id string, text_auto string, chunk_limit int",
     )
-    runs = spark.createDataFrame([("r1", {"chunk_limit": "50", "chunk_overlap": "8"}), ("r1", {"chunk_limit": "50", "chunk_overlap": "8"}), ("r2", {}), (None, None), ("r3", {"chunk_limit": "x"})], "run_id string, config map<string,string>")
+    runs = spark.createDataFrame([("r1", {"chunk_limit": "50", "chunk_overlap": "8"}), ("r1", {"chunk_limit": "50", "chunk_overlap": "8"}), ("r2", {}), (None, None), ("r3", {"chunk_limit": "x"}), ("r4", {"chunk_limit": "0"})], "run_id string, config map<string,string>")
     got = {r["seg_id"]: (r["chunk_limit"], r["chunk_overlap"], r["cut"]["longest_stretch"]) for r in pieces.oversized_pieces(log, runs, "seg_id", "text_auto").collect()}
     assert got == {1: (50, 8, 1), 3: (50, 8, 60), 4: (4000, 0, 1)}
 
@@ -217,6 +217,10 @@ def test_mixed_and_letterless_texts(spark, model):
     got = {(r["k"], r["lang"]) for r in language.wrong_labels(df, model, "seg_id", "text_auto", "lang", 0).collect()}
     assert got == {(1, "cs"), (1, "de"), (3, "cs"), (7, "cs")}
     assert language.stretches(df.limit(0), model, "seg_id", "text_auto", "lang").count() == 0
+    nothing = language.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    assert language.wrong_labels(df, nothing, "seg_id", "text_auto", "lang", 0).count() == 0
+    alone = language.train(spark.createDataFrame([(1, cs, "cs"), (2, None, "cs"), (3, cs, None)], "doc_id long, text string, lang string"))
+    assert {r["lang"] for r in language.stretches(df, alone, "seg_id", "text_auto", "lang").collect()} == {"cs"}
 
 
 # 5 pairs
@@ -285,7 +289,7 @@ def test_token_counts_and_whole_packing(spark):
         assert counter.count(t) == len(counter.encode(t))
     rows = [(i, "slovo " * (i % 9), ("s1", None)[i % 2], "t") for i in range(200)] + [(999, None, "s1", "t"), (998, "x " * 600, "s2", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, shard string")
-    kinds = spark.createDataFrame([("small", 16, None), ("small", 16, None), ("big", 64, None)], "container_kind string, capacity_tokens int, note string")
+    kinds = spark.createDataFrame([("small", 16, None), ("small", 16, None), ("big", 64, None), ("none", None, None), ("bad", 0, None)], "container_kind string, capacity_tokens int, note string")
     packed = packing.pack(docs, kinds, "doc_id", "text", "source", materialize)
     got = packed.groupBy("capacity_tokens", "doc_id").sum("n_tokens").collect()
     assert all(r[2] == counter.count(dict((i, t) for i, t, *_ in rows)[r[1]]) for r in got)
