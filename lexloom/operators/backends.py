@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import urllib.parse
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +100,42 @@ class Chat:
         return []
 
 
+class FormService(Chat):
+    """A service with one address a language pair that takes a form and returns plain text, one request a chunk."""
+
+    name, supports_glossary = "form", False
+
+    def one(self, text: str, source: str, target: str, throttle: Throttle) -> str:
+        out = []
+        for part in chunks(text, 4000):
+            throttle.wait()
+            body = urllib.parse.urlencode({"input_text": part, "src": source, "tgt": target}).encode()
+            answer = with_retry(lambda body=body: self.fetch(f"{self.url}/{self.model}/{source}-{target}", body))
+            out.append(answer.decode().rstrip("\n"))
+        return "\n".join(out)
+
+
+def annotated(df: DataFrame, key: str, text: str, url: str, fetch: Callable[[str, bytes | None], bytes] = http) -> DataFrame:
+    """(``key``, ``conllu``): texts annotated by a service, chunk by chunk; a failing chunk is left out."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t in batch.column(1).to_pylist():
+                parts = []
+                for part in chunks(t, 4000):
+                    try:
+                        answer = with_retry(lambda part=part: fetch(url, urllib.parse.urlencode({"data": part}).encode()))
+                        parts.append(json.loads(answer)["result"])
+                    except Exception:
+                        continue
+                out.append("\n".join(parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[key, "conllu"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, conllu string")
+
+
 def answer_text(answer: dict) -> str:
     """The text of a chat answer; an answer without one is an error."""
     try:
@@ -106,7 +144,7 @@ def answer_text(answer: dict) -> str:
         raise ValueError("answer holds no text") from e
 
 
-_registry: dict[str, Callable[..., Backend]] = {"identity": Identity, "prefix": Prefix, "dictionary": Dictionary, "chat": Chat}
+_registry: dict[str, Callable[..., Backend]] = {"identity": Identity, "prefix": Prefix, "dictionary": Dictionary, "chat": Chat, "form": FormService}
 
 
 def register(name: str, factory: Callable[..., Backend]) -> None:

@@ -70,3 +70,16 @@ def flagged(effective_rows: DataFrame) -> DataFrame:
     return effective_rows.withColumn("effective_license", name).withColumns(
         {"is_non_commercial": name.isin(*NON_COMMERCIAL), "is_share_alike": name.isin(*SHARE_ALIKE)}
     )
+
+
+def notes(flagged_rows: DataFrame) -> DataFrame:
+    """A sentence on each licence for readers, with its consequences and what was not recognised."""
+    unknown = F.coalesce("unknown_licenses", F.lit(""))
+    text = F.concat_ws(
+        " ",
+        F.concat(F.lit("The output licence is "), "effective_license", F.lit(", the most restrictive of "), F.col("n_components").cast("string"), F.lit(" component(s).")),
+        F.when(F.col("is_non_commercial"), "Commercial use is not permitted."),
+        F.when(F.col("is_share_alike"), "Derivatives must carry the same terms."),
+        F.when(unknown != "", F.concat(F.lit("Not recognised and treated as most restrictive: "), F.replace(unknown, F.lit(","), F.lit(", ")), F.lit("."))),
+    )
+    return flagged_rows.withColumn("notes", text)

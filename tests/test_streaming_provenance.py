@@ -94,3 +94,22 @@ def test_evaluation_segments(spark, limit, n):
     got = [(r["file"], r["id"], r["src"]) for r in xml_nodes.evaluation_segments(files, ["//d"], limit).collect()]
     want = [("a.xml", "field0", "one"), ("a.xml", "field1", "two"), ("z.alto.xml", "block0", "a b c")]
     assert sorted(got) == want[:n]
+
+
+def test_options_precedence():
+    from lexloom.operators.options import options
+
+    o = options({"target_lang": "de"}, "target_lang = fr\nchunk_limit = 50\nformats = xml, .ALTO.xml\nfast_align = yes\n", env={"LEXLOOM_CHUNK_LIMIT": "70", "LEXLOOM_CHUNK_OVERLAP": "x"})
+    assert (o.target_lang, o.chunk_limit, o.chunk_overlap, o.fast_align, o.layout_mode) == ("de", 70, 0, True, True)
+    assert not options({}, "[a]\nformats = xml", env={}).layout_mode
+
+
+def test_services_and_notes(spark):
+    from lexloom.operators import backends
+
+    form = backends.FormService("u", "models", fetch=lambda u, b: (u.rsplit("/", 1)[1] + ":" + b.decode()[11:14] + "\n").encode())
+    assert spark.createDataFrame([("abc def",)], "t string").select(form.translate(F.col("t"), "cs", "en").alias("x")).first()["x"] == "cs-en:abc"
+    got = backends.annotated(spark.createDataFrame([(1, "a"), (2, None)], "k int, t string"), "k", "t", "u", lambda u, b: b'{"result": "1\\ta"}').collect()
+    assert [(r["k"], r["conllu"]) for r in got] == [(1, "1\ta"), (2, "")]
+    rows = licences.flagged(spark.createDataFrame([("House", 2, "House,Own")], "effective_license string, n_components int, unknown_licenses string"))
+    assert licences.notes(rows).first()["notes"] == "The output licence is House, the most restrictive of 2 component(s). Not recognised and treated as most restrictive: House, Own."
