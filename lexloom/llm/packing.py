@@ -6,7 +6,7 @@ target share of the corpus, a source hands over texts as long as its credit last
 next window. Shards do not wait for each other: what the shards before it owe to each source follows from
 their token sums alone and is the credit a shard starts with. The texts of a window go into the containers, longest
 first and each into the fullest container that still takes it; containers with room stay open for later windows. Only
-texts larger than a container are split, into full containers and one remainder.
+texts larger than a container are split, into full containers and one remainder, each served and debited like a text.
 
 Defined cases: null and empty texts hold no tokens and are not packed; a null source is a source of its own; a capacity
 that is null or below one is no container; repeated rows are packed as often as they occur; very long texts are measured whole.
@@ -99,35 +99,41 @@ def pack_shard(items: list[tuple[int, str, int]], capacity: int, shares: dict[st
         raise ValueError("capacity must be positive")
     boxes, out = _Open(capacity), []
     queues: dict[str, deque] = {}
+    tokens = pieces = 0
     for k, source, n in items:
-        whole = n // capacity if n > capacity else 0
-        for p in range(whole):
-            out.append((k, p, p * capacity, capacity, boxes.new(), -1))
-        if n - whole * capacity:
-            queues.setdefault(source, deque()).append((n - whole * capacity, k, whole, whole * capacity))
-    left = sum(len(q) for q in queues.values())
-    if not left:
+        if n > 0:
+            queues.setdefault(source, deque()).append((k, n))
+            tokens, pieces = tokens + n, pieces + -(-n // capacity)
+    if not tokens:
         return out
-    mean = sum(x[0] for q in queues.values() for x in q) / left
-    budget = max(WINDOW_CONTAINERS * capacity, int(WINDOW_TEXTS * mean))
+    budget = max(WINDOW_CONTAINERS * capacity, int(WINDOW_TEXTS * tokens / pieces))
     deficit = {s: credit.get(s, 0.0) for s in queues}
+    done = dict.fromkeys(queues, 0)  # tokens of a source's first text that are served
     window = 0
-    while left:
+    live = list(queues)
+    while live:
         chosen, size = [], 0
-        while left and size < budget:
-            live = [s for s in queues if queues[s]]
+        while live and size < budget:
             total = sum(shares.get(s, 0.0) for s in live) or 1.0
             for s in live:
                 deficit[s] += budget / 8 * (shares.get(s, 0.0) / total or 1e-6)
                 q = queues[s]
-                while q and q[0][0] <= deficit[s]:
-                    item = q.popleft()
-                    deficit[s] -= item[0]
-                    chosen.append(item)
-                    size += item[0]
-                    left -= 1
+                while q:
+                    k, n = q[0]
+                    start = done[s]
+                    part = min(capacity, n - start)
+                    if part > deficit[s]:
+                        break
+                    chosen.append((part, k, start // capacity, start))
+                    deficit[s] -= part
+                    size += part
+                    done[s] = start + part
+                    if done[s] == n:
+                        q.popleft()
+                        done[s] = 0
                 if not q:
                     deficit[s] = 0.0
+            live = [s for s in live if queues[s]]
         chosen.sort(key=lambda x: (-x[0], x[1]))
         for n, k, piece, start in chosen:
             out.append((k, piece, start, n, boxes.put(n), window))

@@ -282,6 +282,25 @@ def test_windows_keep_the_mixture():
         assert abs(got - share["b"]) < 0.03
 
 
+def test_windows_keep_the_mixture_of_oversized_texts():
+    rng = random.Random(5)
+    # source b's texts are nearly all larger than a container, source a's hardly ever
+    items = [(i, "a", rng.randint(5, 300)) if rng.random() < 0.9 else (i, "b", rng.randint(200, 6000)) for i in range(6000)]
+    source = {i: s for i, s, _ in items}
+    total = {s: sum(n for _, x, n in items if x == s) for s in "ab"}
+    share = {s: total[s] / sum(total.values()) for s in "ab"}
+    out = packing.pack_shard(items, 256, share, {})
+    assert sum(r[3] for r in out) == sum(total.values()) and min(r[5] for r in out) == 0
+    held = {}
+    for r in out:
+        held.setdefault(r[4], []).append(r[3])
+    assert all(len(x) == 1 for x in held.values() if 256 in x)
+    for w in range(max(r[5] for r in out)):
+        rows = [r for r in out if r[5] == w]
+        got = sum(r[3] for r in rows if source[r[0]] == "b") / sum(r[3] for r in rows)
+        assert abs(got - share["b"]) < 0.05
+
+
 @pytest.mark.skipif(not RANKS_AT, reason="no tokenizer files")
 def test_token_counts_and_whole_packing(spark):
     counter = packing.TokenCounter()
