@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,10 +47,30 @@ def _groups(terms: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield group
 
 
-def matches(df: DataFrame, key: str, text: str, terms: DataFrame, whole_word: bool) -> DataFrame:
+def _same_upper() -> dict[int, int]:
+    groups = defaultdict(list)
+    for c in map(chr, range(0x20000)):  # no letter beyond has another small letter with its capital
+        if not "\ud800" <= c <= "\udfff" and c.lower() == c != c.upper():
+            groups[c.upper()].append(ord(c))
+    return {c: g[0] for g in groups.values() for c in g[1:]}
+
+
+_SAME_UPPER = _same_upper()
+
+
+def folded(text: str) -> str:
+    """Letter by letter what ``re.IGNORECASE`` takes as the same; every letter keeps its place."""
+    low = text.replace("\u0130", "i").lower()
+    return low if low.isascii() else low.translate(_SAME_UPPER)
+
+
+def matches(
+    df: DataFrame, key: str, text: str, terms: DataFrame, whole_word: bool, fold: Callable[[str], str] = str.lower
+) -> DataFrame:
     """(``key``, ``term``, ``target``): terms inside the lower-cased text, each once a text; as whole words or anywhere.
 
-    One automaton over all terms reads each text once, so the cost does not grow with the glossary.
+    One automaton over all terms reads each text once, so the cost does not grow with the glossary. With a ``fold`` other than
+    lower case, terms are folded too, and those that fold alike are all given.
     """
     kind = dict(df.dtypes)[key]
     out = None
@@ -58,25 +80,30 @@ def matches(df: DataFrame, key: str, text: str, terms: DataFrame, whole_word: bo
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import ahocorasick
 
-            automaton = ahocorasick.Automaton()
+            automaton, alike = ahocorasick.Automaton(), defaultdict(list)
             for i, (term, _) in enumerate(shared.value):
-                automaton.add_word(term, (i, len(term)))
+                if fold is str.lower:
+                    alike[term] = [i]
+                else:
+                    alike[fold(term)].append(i)
+            for term, ids in alike.items():
+                automaton.add_word(term, (ids, len(term)))
             automaton.make_automaton()
             for batch in batches:
                 rows = []
                 for k, t in zip(*(c.to_pylist() for c in batch.columns)):
                     if not t:
                         continue
-                    low, seen = t.lower(), set()
-                    for end, (i, n) in automaton.iter(low):
-                        if i in seen:
+                    low, seen = fold(t), set()
+                    for end, (ids, n) in automaton.iter(low):
+                        if ids[0] in seen:
                             continue
                         a, b = end - n, end + 1
                         if whole_word and (
                             (a >= 0 and _in_word(low[a]) and _in_word(low[a + 1])) or (b < len(low) and _in_word(low[b]) and _in_word(low[end]))
                         ):
                             continue
-                        seen.add(i)
+                        seen.update(ids)
                     rows += [(k, *shared.value[i]) for i in seen]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], batch.schema.field(0).type)] + [pa.array([r[j] for r in rows], pa.string()) for j in (1, 2)],
@@ -93,23 +120,24 @@ def _in_word(c: str) -> bool:
 
 
 def protect(text: str, phrases: list[tuple[str, str]]) -> tuple[str, list[str]]:
-    """First occurrence of each phrase, in the order given, replaced by the next sentinel: (text, targets)."""
+    """First occurrence of each phrase in any case, in the order given, replaced by the next sentinel: (text, targets)."""
     targets: list[str] = []
     for phrase, target in phrases:
-        at = text.lower().find(phrase)
-        if at >= 0 and len(text.lower()) == len(text):
-            text = f"{text[:at]}Xtermzzz{len(targets)}z{text[at + len(phrase) :]}"
+        m = re.search(re.escape(phrase), text, re.IGNORECASE)
+        if m:
+            text = f"{text[: m.start()]}Xtermzzz{len(targets)}z{text[m.end() :]}"
             targets.append(target)
     return text, targets
 
 
 def protected(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(``key``, ``protected_text``, ``targets``): multi-word terms of a text behind sentinels, the longest first.
+    """(``key``, ``protected_text``, ``targets``): multi-word terms of every text behind sentinels, the longest first.
 
-    Candidates come from one automaton pass; only texts that hold any are folded, in the order of length.
+    Candidates come from one automaton pass and are folded in the order of length; a text without any stays as it is, a null
+    text too, both with no targets.
     """
     multi = terms.where("instr(term, ' ') > 0")
-    found = matches(df, key, text, multi, whole_word=False).join(multi.select("term", "ord"), "term")
+    found = matches(df, key, text, multi, False, folded).join(multi.select("term", "ord"), "term")
     ordered = found.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct((-F.length("term")).alias("n"), "ord", "term", "target"))).alias("hits")
     )
@@ -118,12 +146,12 @@ def protected(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k, t, h = (c.to_pylist() for c in batch.columns)
-            done = [protect(x, [(y["term"], y["target"]) for y in hits]) for x, hits in zip(t, h)]
+            done = [protect(x, [(y["term"], y["target"]) for y in hits]) if hits else (x, []) for x, hits in zip(t, h)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))],
                 names=[key, "protected_text", "targets"],
             )
 
-    return df.select(key, text).join(ordered, key).select(key, text, "hits").mapInArrow(
+    return df.select(key, text).join(ordered, key, "left").select(key, text, "hits").mapInArrow(
         fold, f"{key} {kind}, protected_text string, targets array<string>"
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,27 @@ def test_protect_and_restore_round_trip(spark):
     assert one(spark, fx.restore(F.col("t"), F.array(F.lit("$5\\x"))), t="p XTERMZZZ0Z") == "p $5\\x"
 
 
+def test_every_text_comes_out_of_protection(spark):
+    terms = spark.createDataFrame([(1, "zvířecí kost", "animal bone"), (2, "sklo", "glass"), (3, "kis pince", "cellar")], "ord long, term string, target string")
+    docs = spark.createDataFrame([(1, "nic"), (2, None), (3, "İ: Zvířecí KOST"), (4, ""), (5, "K\u0130\u017f p\u0131nce, kis pince")], "k long, t string")
+    got = {r[0]: (r[1], r[2]) for r in glossary.protected(docs, "k", "t", terms).collect()}
+    assert got == {
+        1: ("nic", []), 2: (None, []), 3: ("İ: Xtermzzz0z", ["animal bone"]), 4: ("", []), 5: ("Xtermzzz0z, kis pince", ["cellar"]),
+    }
+
+
+def test_folding_is_what_ignoring_case_means():
+    cased = [c for c in map(chr, range(0x20000)) if c.lower() != c or c.upper() != c]
+    alike = {}
+    for c in cased:
+        assert len(glossary.folded(c)) == 1
+        alike.setdefault(glossary.folded(c), []).append(c)
+    text = "".join(cased)
+    for group in alike.values():
+        for c in group:
+            assert set(re.findall(re.escape(c), text, re.IGNORECASE)) <= set(group)
+
+
 def test_scrub_only_touches_texts_with_the_stem(spark):
     assert one(spark, fx.scrub(F.col("t")), t="buzz zzz a , b") == "buzz zzz a , b"
     assert one(spark, fx.scrub(F.col("t")), t="see Xtermzzz3z , ( zz end )") == "see, (end)"
