@@ -15,9 +15,12 @@ from ..functions.text import ws_trim
 
 # First cells that mark a header row.
 HEADERS = ("source_lemma", "source", "src", "term", "lemma", "cs")
-#: A glossary larger than this goes into several automata, each reading the texts once.
+#: A glossary larger than this goes into several automata or tables, each reading the texts once.
 GROUP_CHARS = 16_000_000
 
+_sentinel = re.compile(r"Xtermzzz\d+z", re.IGNORECASE)
+_plain_word = re.compile(r"\w+")
+
 
 def clean(vocab: DataFrame) -> DataFrame:
     """(``ord``, ``term``, ``target``): terms trimmed and lower-cased, header row and blanks out, the last spelling wins,
@@ -155,3 +158,74 @@ def protected(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame
     return df.select(key, text).join(ordered, key, "left").select(key, text, "hits").mapInArrow(
         fold, f"{key} {kind}, protected_text string, targets array<string>"
     )
+
+
+def plain_words(text: str) -> Iterator[tuple[str, str, str]]:
+    """(word, lemma, number) where there is no annotation: the lemma is the word, its number unknown."""
+    return ((w, w, "") for w in _plain_word.findall(text))
+
+
+def annotated_words(conllu: str) -> Iterator[tuple[str, str, str]]:
+    """(word, lemma, number) of CoNLL-U text, without ranges and empty nodes; ``number`` is '' where it is not given."""
+    for line in map(str.strip, conllu.splitlines()):
+        cells = line.split("\t")
+        if not line or line.startswith("#") or len(cells) < 3 or "-" in cells[0] or "." in cells[0]:
+            continue
+        number = (f[7:] for f in (cells[5].split("|") if len(cells) > 5 else ()) if f.startswith("Number="))
+        yield cells[1], cells[2], next(number, "")
+
+
+def protect_words(text: str, targets: list[str], words: list[tuple[str, str]]) -> tuple[str, list[str]]:
+    """First whole occurrence of each word, in its own case and in the order given, replaced by the next sentinel."""
+    targets = list(targets)
+    for word, target in words:
+        m = re.search(rf"\b{re.escape(word)}\b", text)
+        if m:
+            text = f"{text[: m.start()]}Xtermzzz{len(targets)}z{text[m.end() :]}"
+            targets.append(target)
+    return text, targets
+
+
+def protected_words(
+    df: DataFrame, key: str, terms: DataFrame, annotation: str = "protected_text",
+    parse: Callable[[str], Iterator[tuple[str, str, str]]] = plain_words,
+) -> DataFrame:
+    """(``key``, ``protected_text``, ``targets``) of ``protected`` with the words whose lemma is a term behind sentinels, too.
+
+    ``annotation`` is the column ``parse`` reads words, lemmas and numbers from, in the order of the text: the tagged text
+    itself, or what a service made of it (``backends.annotated`` with ``annotated_words``). Plural words and sentinels are
+    left, every other word is replaced once. What is found stays in the row; each group of terms reads the texts once.
+    """
+    kind = dict(df.dtypes)[key]
+    words = pa.list_(pa.struct([("i", pa.int32()), ("word", pa.string()), ("target", pa.string())]))
+    found = "array<struct<i:int,word:string,target:string>>"
+    columns = f"{key} {kind}, protected_text string, targets array<string>"
+    rows = df.select(key, "protected_text", "targets", F.col(annotation).alias("annotation"), F.array().cast(found).alias("found"))
+    for group in _groups(terms):
+        shared = df.sparkSession.sparkContext.broadcast(dict(group))  # at most GROUP_CHARS
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            target = shared.value
+            for batch in batches:
+                out = batch.column(4).to_pylist()
+                for a, hits in zip(batch.column(3).to_pylist(), out):
+                    for i, (word, lemma, number) in enumerate(parse(a or "")):
+                        if (t := target.get(lemma.lower())) is not None and number != "Plur" and not _sentinel.search(word):
+                            hits.append({"i": i, "word": word, "target": t})
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, words)], names=batch.schema.names)
+
+        rows = rows.mapInArrow(find, f"{columns}, annotation string, found {found}")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, targets, hits = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            done = [
+                protect_words(x, y, [(w["word"], w["target"]) for w in sorted(h, key=lambda w: w["i"])]) if h else (x, y)
+                for x, y, h in zip(t, targets, hits)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))],
+                names=[key, "protected_text", "targets"],
+            )
+
+    return rows.drop("annotation").mapInArrow(fold, columns)

@@ -82,6 +82,14 @@ def tag_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "protected_text", F.size("targets").alias("n_tags"))
 
 
+@query()
+def tag_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases, then words whose lemma (here: the word, case folded, without a number) is a term."""
+    terms = _terms(spark, sf_dir)
+    done = glossary.protected(load(spark, sf_dir, "documents"), "doc_id", "text", terms)
+    return glossary.protected_words(done, "doc_id", terms).select("doc_id", "protected_text", F.size("targets").alias("n_tags"))
+
+
 @query(
     f"""WITH {_VOCAB} SELECT term, 'A ' || target || ' b ' || term || ' c ' || target AS restored FROM terms"""
 )

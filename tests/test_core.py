@@ -126,6 +126,33 @@ def test_protect_and_restore_round_trip(spark):
     assert one(spark, fx.restore(F.col("t"), F.array(F.lit("$5\\x"))), t="p XTERMZZZ0Z") == "p $5\\x"
 
 
+def test_words_are_protected_after_phrases(spark, monkeypatch):
+    terms = spark.createDataFrame(
+        [(1, "zvířecí kost", "animal bone"), (2, "kost", "bone"), (3, "jáma", "pit"), (4, "mince", "coin")], "ord long, term string, target string"
+    )
+    docs = spark.createDataFrame([(1, "Kostel, kost, Jáma; kost a zvířecí kost"), (2, "nic"), (3, None), (4, "V jámě kosti a kost")], "k long, t string")
+    want = {
+        1: ("Kostel, Xtermzzz1z, Xtermzzz2z; Xtermzzz3z a Xtermzzz0z", ["animal bone", "bone", "pit", "bone"]),
+        2: ("nic", []), 3: (None, []), 4: ("V jámě kosti a Xtermzzz0z", ["bone"]),
+    }
+    done = glossary.protected(docs, "k", "t", terms)
+    assert {r[0]: (r[1], r[2]) for r in glossary.protected_words(done, "k", terms).collect()} == want
+    monkeypatch.setattr(glossary, "GROUP_CHARS", 5)  # as many groups as terms
+    assert {r[0]: (r[1], r[2]) for r in glossary.protected_words(done, "k", terms).collect()} == want
+
+
+def test_annotated_words_by_lemma_and_number(spark):
+    terms = spark.createDataFrame([(1, "kost", "bone"), (2, "jáma", "pit"), (3, "xtermzzz0z", "never")], "ord long, term string, target string")
+    conllu = (
+        "# text\n1-2\tjámě kosti\tkost\n1\tjámě\tJáma\tNOUN\t_\tCase=Loc|Number=Sing\n2\tkosti\tkost\tNOUN\t_\tNumber=Plur\n"
+        "2.1\tkosti\tkost\n\n3\tXtermzzz0z\txtermzzz0z\n4\tkostí\tkost\n5\tKOST\tkost"
+    )
+    rows = [(1, "V Jámě, jámě kosti Xtermzzz0z nekostí kostí kost", ["x"], conllu), (2, "jámě", [], None)]
+    done = spark.createDataFrame(rows, "k long, protected_text string, targets array<string>, conllu string")
+    got = {r[0]: (r[1], r[2]) for r in glossary.protected_words(done, "k", terms, "conllu", glossary.annotated_words).collect()}
+    assert got == {1: ("V Jámě, Xtermzzz1z kosti Xtermzzz0z nekostí Xtermzzz2z kost", ["x", "pit", "bone"]), 2: ("jámě", [])}
+
+
 def test_every_text_comes_out_of_protection(spark):
     terms = spark.createDataFrame([(1, "zvířecí kost", "animal bone"), (2, "sklo", "glass"), (3, "kis pince", "cellar")], "ord long, term string, target string")
     docs = spark.createDataFrame([(1, "nic"), (2, None), (3, "İ: Zvířecí KOST"), (4, ""), (5, "K\u0130\u017f p\u0131nce, kis pince")], "k long, t string")
