@@ -147,6 +147,22 @@ PACKED = (
 )
 
 
+def owed(sums: DataFrame, total: int) -> DataFrame:
+    """(``shard``, ``source``, ``share``, ``credit``) from the token sums of sources in shards.
+
+    The credit is what the shards before owe to the source: its share of all they hold, whether or not the source is in
+    them, less its own tokens there.
+    """
+    shares = sums.groupBy("source").agg((F.sum("n") / F.lit(float(max(1, total)))).alias("share"))
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
+    shards = sums.groupBy("shard").agg(F.sum("n").alias("shard_n")).select("shard", F.sum("shard_n").over(before).alias("all_before"))
+    served = F.sum("n").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1))
+    grid = sums.withColumn("served", served).join(shards, "shard").join(shares, "source")
+    none = F.lit(0)
+    credit = F.col("share") * F.coalesce("all_before", none) - F.coalesce("served", none)
+    return grid.select("shard", "source", "share", credit.alias("credit"))
+
+
 def pack(docs: DataFrame, containers: DataFrame, key: str, text: str, source: str, materialize) -> DataFrame:
     """Every text's containers: ``PACKED``; one row a piece, one piece for every text that fits its container."""
     kinds = [(r[0], r[1]) for r in containers.select("container_kind", "capacity_tokens").distinct().limit(1000).collect() if r[1] and r[1] > 0]
@@ -155,18 +171,7 @@ def pack(docs: DataFrame, containers: DataFrame, key: str, text: str, source: st
     n_shards = max(1, -(-total // SHARD_TOKENS))
     spread = sizes.withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(n_shards)).cast("long"))
     sums = spread.groupBy("shard", "source").agg(F.sum("n").alias("n"))
-    shares = sums.groupBy("source").agg((F.sum("n") / F.lit(float(max(1, total)))).alias("share"))
-    per_shard = sums.groupBy("shard").agg(F.sum("n").alias("shard_n"))
-    # what shards before this one owe each source: target less served, from sums alone
-    grid = sums.join(per_shard, "shard").join(shares, "source")
-    before = W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    owed = grid.select(
-        "shard",
-        "source",
-        "share",
-        F.coalesce(F.sum(F.col("share") * F.col("shard_n") - F.col("n")).over(before), F.lit(0.0)).alias("credit"),
-    )
-    work = spread.join(owed, ["shard", "source"])
+    work = spread.join(owed(sums, total), ["shard", "source"])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k", kind="stable")

@@ -301,6 +301,17 @@ def test_windows_keep_the_mixture_of_oversized_texts():
         assert abs(got - share["b"]) < 0.05
 
 
+def test_shards_without_a_source_owe_it_too(spark):
+    rows = [(0, "a", 60), (0, "b", 40), (1, "a", 100), (2, "a", 70), (2, "b", 30), (3, "b", 10)]
+    got = packing.owed(spark.createDataFrame(rows, "shard long, source string, n long"), 310).collect()
+    total = {s: sum(n for _, x, n in rows if x == s) for s in "ab"}
+    assert len(got) == len(rows)
+    for r in got:
+        earlier = [x for x in rows if x[0] < r["shard"]]
+        want = total[r["source"]] / 310 * sum(x[2] for x in earlier) - sum(x[2] for x in earlier if x[1] == r["source"])
+        assert abs(r["credit"] - want) < 1e-9 and abs(r["share"] - total[r["source"]] / 310) < 1e-9
+
+
 @pytest.mark.skipif(not RANKS_AT, reason="no tokenizer files")
 def test_token_counts_and_whole_packing(spark):
     counter = packing.TokenCounter()
