@@ -165,7 +165,7 @@ def owed(sums: DataFrame, total: int) -> DataFrame:
 
 def pack(docs: DataFrame, containers: DataFrame, key: str, text: str, source: str, materialize) -> DataFrame:
     """Every text's containers: ``PACKED``; one row a piece, one piece for every text that fits its container."""
-    kinds = [(r[0], r[1]) for r in containers.select("container_kind", "capacity_tokens").distinct().limit(1000).collect() if r[1] and r[1] > 0]
+    kinds = [(r[0], r[1]) for r in containers.select("container_kind", "capacity_tokens").distinct().collect() if r[1] and r[1] > 0]
     sizes = materialize(measured(docs, key, text, source), "tokens")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     n_shards = max(1, -(-total // SHARD_TOKENS))

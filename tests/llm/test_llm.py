@@ -327,6 +327,13 @@ def test_token_counts_and_whole_packing(spark):
     assert packing.pack(docs.limit(0), kinds, "doc_id", "text", "source", materialize).count() == 0
 
 
+@pytest.mark.skipif(not RANKS_AT, reason="no tokenizer files")
+def test_every_kind_of_container_is_filled(spark):
+    docs = spark.createDataFrame([(1, "kost", "s")], "doc_id long, text string, source string")
+    kinds = spark.createDataFrame([(f"kind {i}", 64) for i in range(1050)], "container_kind string, capacity_tokens int")
+    assert packing.pack(docs, kinds, "doc_id", "text", "source", materialize).select("container_kind").distinct().count() == 1050
+
+
 # 7 leaks
 
 
