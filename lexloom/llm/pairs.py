@@ -8,8 +8,10 @@ their synthetically blanked, cut, shortened, copied, swapped and refused version
 calibrated on a held-out part of them. Everything is then scored, whole.
 
 Defined cases: a source without a letter has nothing to translate and no defect; a null or blank target of any other
-source is ``empty``; one defect a pair, the one furthest over its threshold, ``empty`` first; without any usable pair to
-learn from, only ``empty`` and ``copy`` by rule remain.
+source is ``empty``; one defect a pair, the one furthest over its threshold, ``empty`` first; with fewer than
+``LEAST_PAIRS`` pairs to trust in the sample there is nothing to learn from, and only ``empty`` and ``copy`` are told, by rule:
+a repeated source is a copy unless it looks like a code or a name or has the small words of English and of no other language
+more. ``truncated``, ``refusal`` and ``language`` are then not judged.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.routing import STOP_WORDS
 from .language import _TABLE, blocks, packed
 from .visual_forms import _suspect, unify
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 #: Bound of the sample the classifier is fitted on, and the share of it held out to calibrate thresholds.
 SAMPLE_ROWS, HELD_OUT = 9_000, 0.25
+#: Trusted pairs the classifier takes at least; below, rules alone tell empty targets and copies.
+LEAST_PAIRS = 50
 GRAM, BITS, SCALE = 5, 18, 24.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -278,7 +283,7 @@ class Pairs:
             ends = bool(_closed.search(e.rstrip())) or (not _closed.search(a.rstrip()) and sentences(e) < 2)
             if kept and plain(e) and 0.4 < ratio < 2.5 and ends and sentences(e) > 0.67 * (sentences(a) - (not _closed.search(a.rstrip()))):
                 good.append((a, e))
-        self.usable = len(good) >= 50
+        self.usable = len(good) >= LEAST_PAIRS
         if not self.usable:
             return
         sources, targets = [a for a, _ in good], [e for _, e in good]
@@ -327,7 +332,21 @@ class Pairs:
 
 
 def _by_rule(a: str, e: str) -> str | None:
-    return "empty" if not plain(e) or plain(e) in PLACEHOLDERS else None
+    if not plain(e) or plain(e) in PLACEHOLDERS:
+        return "empty"
+    return "copy" if same(a, e) and not _repeatable(a) else None
+
+
+def _repeatable(source: str) -> bool:
+    """Whether a source may be repeated, without a model: a code or name (no word of three small letters or more,
+    nor a line in capitals) or English by its small words."""
+    words = [w for w in re.findall(r"[^\W_]+", source) if w.isalpha()]
+    capitals = sum(len(w) > 2 and w.isupper() for w in words)
+    if capitals < 3 and not any(w.islower() and len(w) > 2 for w in words):
+        return True
+    seen = [w.lower() for w in words]
+    small = {lang: sum(w in known for w in seen) for lang, known in STOP_WORDS.items()}
+    return small["en"] > max(n for lang, n in small.items() if lang != "en")
 
 
 def _f1(said: np.ndarray, true: np.ndarray) -> float:

@@ -248,6 +248,20 @@ def test_pairs_without_anything_to_learn_from(spark):
     assert [tuple(r) for r in pairs.defective(df, fitted, "seg_id", "text_auto", "text_en").collect()] == [(1, "empty")]
 
 
+def test_copies_are_found_without_anything_to_learn_from(spark):
+    cs = "Kostry uložené v hrobech byly silně stráveny kyselou půdou."
+    rows = [
+        (1, cs, cs), (2, cs, "Translation: " + cs.upper()), (3, cs, "The skeletons were decayed."), (4, cs, None), (5, "Dolní Lhota", "Dolní Lhota"),
+        (6, "XII/3 b", "XII/3 b"), (7, "The walls of the pit were straight.", "The walls of the pit were straight."), (8, "12", "12"), (9, "kost", "Kost."),
+        (10, "NÁLEZ Z VRSTVY SONDY POD STUDNOU", "Nález z vrstvy sondy pod studnou"), (11, "KZL", "KZL"),
+    ]
+    df = spark.createDataFrame(rows, "seg_id long, text_auto string, text_en string")
+    fitted = pairs.fit(df, "seg_id", "text_auto", "text_en")
+    assert not fitted.usable
+    got = dict(tuple(r) for r in pairs.defective(df, fitted, "seg_id", "text_auto", "text_en").collect())
+    assert got == {1: "copy", 2: "copy", 4: "empty", 9: "copy", 10: "copy"}
+
+
 # 6 packing
 
 
