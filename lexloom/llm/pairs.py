@@ -31,8 +31,9 @@ from .language import _TABLE, blocks, packed
 from .visual_forms import _suspect, unify
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
-#: Bound of the sample the classifier is fitted on, and the share of it held out to calibrate thresholds.
-SAMPLE_ROWS, HELD_OUT = 9_000, 0.25
+#: Bounds of the sample of whole pairs the classifier is fitted on, in pairs and in characters of both sides, and the share
+#: of it held out to calibrate thresholds.
+SAMPLE_ROWS, SAMPLE_CHARS, HELD_OUT = 9_000, 16_000_000, 0.25
 #: Trusted pairs the classifier takes at least; below, rules alone tell empty targets and copies.
 LEAST_PAIRS = 50
 GRAM, BITS, SCALE = 5, 18, 24.0
@@ -141,7 +142,7 @@ def gram_means(texts: list[str], weights: np.ndarray, known_only: bool = False)
 def fit_grams(texts: list[str], y: np.ndarray, seed: int, epochs: int = 4) -> np.ndarray:
     """Weights of a logistic model over the mean of hashed n-grams (adaptive gradient steps)."""
     pad = b" " * (GRAM - 1)
-    docs = [slots(np.frombuffer(pad + t.encode("utf-8", "replace").translate(_TABLE)[:4000] + b" ", dtype=np.uint8)) for t in texts]
+    docs = [slots(np.frombuffer(pad + t.encode("utf-8", "replace").translate(_TABLE) + b" ", dtype=np.uint8)) for t in texts]
     w = np.zeros(1 << BITS, dtype=np.float64)
     g2 = np.full(1 << BITS, 1e-6)
     rng = np.random.default_rng(seed)
@@ -363,12 +364,13 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(log: DataFrame, key: str, source: str, target: str) -> Pairs:
-    """The classifier from a bounded sample of the pairs, chosen by a hash of the key."""
+    """The classifier from a bounded sample of whole pairs of any length, chosen by a hash of the key."""
     usable = log.where(F.length(source) > 0).select(F.col(key).alias("k"), F.col(source).alias("a"), F.col(target).alias("e"))
-    total = usable.count()
-    share = min(1.0, SAMPLE_ROWS / max(1, total))
+    size = F.length("a") + F.coalesce(F.length("e"), F.lit(0))
+    total, chars = usable.agg(F.count("*"), F.sum(size)).first()
+    share = min(1.0, SAMPLE_ROWS / max(1, total), SAMPLE_CHARS / max(1, chars or 0))
     picked = usable.where(F.pmod(F.xxhash64(F.lit(41), "k"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000) + 1))
-    rows = picked.where(F.length("a") < 6000).limit(2 * SAMPLE_ROWS).collect()
+    rows = picked.limit(2 * SAMPLE_ROWS).collect()
     return Pairs([(r[1], r[2]) for r in sorted(rows, key=lambda r: (r[0], r[1]))])
 
 

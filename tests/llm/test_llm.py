@@ -262,6 +262,22 @@ def test_copies_are_found_without_anything_to_learn_from(spark):
     assert got == {1: "copy", 2: "copy", 4: "empty", 9: "copy", 10: "copy"}
 
 
+def test_long_pairs_teach_to_their_end(spark, monkeypatch):
+    w = pairs.fit_grams(["a" * 5000 + "qqqqq", "b" * 5000 + "wwwww"], np.array([1.0, 0.0]), 1)
+    ends = pairs.gram_means(["qqqqq", "wwwww"], w[:, None])[:, 0]
+    assert ends[0] > 0 > ends[1]
+    taught = []
+    monkeypatch.setattr(pairs, "Pairs", lambda sample: taught.extend(sample))
+    rows = [(i, "kost " * (2000 if i % 2 else 2), "bone " * 2000) for i in range(200)] + [(500, "kost", None)]
+    df = spark.createDataFrame(rows, "seg_id long, text_auto string, text_en string")
+    pairs.fit(df, "seg_id", "text_auto", "text_en")
+    assert sorted(taught, key=str) == sorted(((a, e) for _, a, e in rows), key=str)
+    taught.clear()
+    monkeypatch.setattr(pairs, "SAMPLE_CHARS", 500_000)
+    pairs.fit(df, "seg_id", "text_auto", "text_en")
+    assert 100_000 < sum(len(a) + len(e or "") for a, e in taught) < 1_000_000
+
+
 # 6 packing
 
 
