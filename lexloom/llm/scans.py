@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Lines looked at on each edge of a page; pages a line must stand on to be running matter, a sequence to be numbers.
 EDGE_LINES, LEAST_PAGES = 2, 2
+#: Pages a line that looks like a part of the text beside it must stand on, besides more than half of the file's pages.
+LEAST_FLOW_PAGES = 3
 #: Likeness of a running line to one that is repeated exactly.
 LEAST_LIKE = 0.8
 #: A reading is wrong if the word it is mistaken for is this many times as frequent, and seen at least so often.
@@ -80,8 +82,9 @@ def roman(text: str) -> int | None:
     return total if 0 < total < 400 and text in (text.lower(), text.upper()) else None
 
 
-def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None, str, str]]:
-    """(line number, side, line, running part folded, number, printed number, first word, last word) of the edge lines."""
+def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None, str, str, bool]]:
+    """(line number, side, line, running part folded, number, printed number, first word, last word, whether it looks like a
+    part of the text beside it) of the edge lines."""
     lines = [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
     out = []
     n = len(lines)
@@ -95,7 +98,7 @@ def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None, s
         if m:
             value = int(m[1]) if m[1].isdigit() else roman(m[1])
             if value is not None:
-                out.append((i, side, line, "", value, m[1], "", ""))
+                out.append((i, side, line, "", value, m[1], "", "", False))
             continue
         m = _beside.match(line)
         number, body = (m[1] or m[4], m[2] or m[3]) if m else (None, line)
@@ -107,8 +110,10 @@ def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None, s
             flows = True
         if side == "foot" and (body[:1].islower() or (prev and not _ends_text.search(prev) and at > EDGE_LINES and body[-1:] == ".")):
             flows = True
+        # halves of a divided word are text, however often they are repeated
+        half = (prev.endswith(tuple(DIVISION_MARKS)) and body[:1].islower()) or (body.endswith(tuple(DIVISION_MARKS)) and nxt[:1].islower())
         words = body.lower().split()
-        out.append((i, side, line, "" if flows else folded(body), int(digits) if digits else None, digits or None, words[0], words[-1]))
+        out.append((i, side, line, "" if flows and half else folded(body), int(digits) if digits else None, digits or None, words[0], words[-1], flows))
     return out
 
 
@@ -243,7 +248,7 @@ def compounds(types: DataFrame) -> DataFrame:
     )
 
 
-EDGE_SCHEMA = "k long, file string, page_num int, line_no int, side string, running string, number int, printed string, first_word string, last_word string"
+EDGE_SCHEMA = "k long, file string, page_num int, line_no int, side string, running string, number int, printed string, first_word string, last_word string, flows boolean"
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
@@ -251,15 +256,15 @@ def edge_lines(pages: DataFrame) -> DataFrame:
         for batch in batches:
             k, f, p, t = (c.to_pylist() for c in batch.columns)
             rows = [
-                (a, b, c, i, side, run or None, number, printed, w1, w2)
+                (a, b, c, i, side, run or None, number, printed, w1, w2, flows)
                 for a, b, c, text in zip(k, f, p, t)
-                for i, side, _, run, number, printed, w1, w2 in edges(text)
+                for i, side, _, run, number, printed, w1, w2, flows in edges(text)
             ]
             if rows:
-                types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+                types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                    names=["k", "file", "page_num", "line_no", "side", "running", "number", "printed", "first_word", "last_word"],
+                    names=["k", "file", "page_num", "line_no", "side", "running", "number", "printed", "first_word", "last_word", "flows"],
                 )
 
     return pages.select("k", "file", "page_num", "t").mapInArrow(cut, EDGE_SCHEMA)
@@ -269,25 +274,38 @@ def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(``k``, ``line_no``, ``is_header``, ``is_number``): edge lines that are running matter or carry page numbers.
 
     A line is running matter if its folded form stands on several pages of its file, or if it begins or ends with the same
-    word as such a line and is alike in at least ``LEAST_LIKE`` of its folded characters.
+    word as such a line and is alike in at least ``LEAST_LIKE`` of its folded characters. Where it looks like a part of the
+    text, its folded form must stand on more than half of the file's pages, or on ``LEAST_FLOW_PAGES`` where it does not look
+    so: sentences that happen to break alike on a few pages are no running matter.
     """
+    formed = lines.where("length(running) >= 4")
+    steady = formed.where("not flows")
     forms = (
-        lines.where("length(running) >= 4")
+        steady
         .groupBy("file", "running")
         .agg(F.count_distinct("page_num").alias("n"), F.min("first_word").alias("h1"), F.min("last_word").alias("h2"))
     )
     repeated = forms.where(F.col("n") >= LEAST_PAGES)
     exact = repeated.select("file", "running")
     ends = [("first_word", "h1"), ("last_word", "h2")]
-    single = lines.where("length(running) >= 4").select("file", "running", "first_word", "last_word").distinct()
+    single = steady.select("file", "running", "first_word", "last_word").distinct()
     alike = [
         single.join(repeated.select(F.col("file").alias("f"), F.col("running").alias("r"), F.col(h).alias("h")), F.expr(f"file <=> f and {w} = h"))
         .where(F.levenshtein("running", "r") <= (1 - LEAST_LIKE) * F.length("r"))
         .select("file", "running")
         for w, h in ends
     ]
-    running = exact.union(alike[0]).union(alike[1]).distinct().select(
-        F.col("file").alias("f1"), F.col("running").alias("r1"), F.lit(True).alias("is_header")
+    pages = lines.groupBy(F.col("file").alias("f")).agg(F.count_distinct("page_num").alias("all"))
+    persistent = (
+        formed.groupBy("file", "running")
+        .agg(F.count_distinct("page_num").alias("n"), F.count_distinct(F.when(~F.col("flows"), F.col("page_num"))).alias("n_steady"))
+        .where(F.col("n") >= LEAST_FLOW_PAGES)
+        .join(pages, F.expr(f"file <=> f and (2 * n > all or n_steady >= {LEAST_FLOW_PAGES})"))
+        .select("file", "running", F.lit(True).alias("firm"))
+    )
+    likely = exact.union(alike[0]).union(alike[1]).withColumn("firm", F.lit(False))
+    running = likely.union(persistent).groupBy("file", "running").agg(F.max("firm").alias("firm")).select(
+        F.col("file").alias("f1"), F.col("running").alias("r1"), "firm"
     )
     steps = (
         lines.where("number is not null")
@@ -296,7 +314,8 @@ def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
         .where(F.col("n") >= LEAST_PAGES)
         .select(F.col("file").alias("f2"), F.col("step").alias("s2"), F.lit(True).alias("in_step"))
     )
-    out = lines.join(running, F.expr("file <=> f1 and running = r1"), "left").join(
+    marked = lines.join(running, F.expr("file <=> f1 and running = r1 and (firm or not flows)"), "left")
+    out = marked.withColumn("is_header", F.col("firm").isNotNull()).join(
         steps, F.expr("file <=> f2 and number - page_num = s2"), "left"
     )
     if labels is not None:
@@ -305,7 +324,7 @@ def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
     else:
         out = out.withColumn("label", F.lit(None).cast("string"))
     number = (F.col("in_step").isNotNull() | F.coalesce(F.lower("printed") == F.lower("label"), F.lit(False))) & F.col("number").isNotNull()
-    alone = F.col("running").isNull()
+    alone = F.col("running").isNull() | F.col("flows")
     return out.select(
         "k",
         "line_no",

@@ -153,6 +153,21 @@ def test_pages_are_repaired(spark):
     assert empty.count() == 0
 
 
+def test_headers_over_pages_that_continue_a_sentence(spark):
+    parts = ["plocha byla čistá a sondy", "stěny jámy zůstaly bez", "severní osa měřila deset", "výplň obsahovala mnoho", "na dně ležely dva", "okraj porušil mladší"]
+    ends = ["hrnce", "zlomky", "metrů", "kostí", "kameny", "příkop"]
+    rows = []
+    for i, (a, b) in enumerate(zip(parts, ends)):
+        # the same sentence happens to begin two pages: no header
+        first = "v rýze byly pozorovány" if i in (2, 4) else a
+        rows.append((i, "f", i + 1, f"Nálezová zpráva Lhota\n{first}\n{a} {b} z vrstvy\nvedle {b} a\nArchiv Praha, s. r. o."))
+    # a header most of whose pages begin anew is one on the others, too
+    rows += [(10 + i, "g", i + 1, f"Zpráva Kolín\n{a if i == 0 else a.capitalize()}\n{a} {b} z vrstvy\nvedle {b} a\nkonec {b}.") for i, (a, b) in enumerate(zip(parts, ends))]
+    log = spark.createDataFrame(rows, "k long, file string, page_num int, t string")
+    got = {(r["k"], r["line_no"]) for r in scans.furniture(scans.edge_lines(log), None).where("is_header").collect()}
+    assert got == {(i, n) for i in range(6) for n in (0, 4)} | {(10 + i, 0) for i in range(6)}
+
+
 def test_groups_of_corrections_give_the_same_result(spark, monkeypatch):
     rows = [(i, "m", None, "sondy vrstvy nálezu kostry studna severo-jižní půda") for i in range(20)]
     rows += [(50 + i, "f", i, f"Hlavička č1sla 7\ns0ndy vrst\\/y ko5try stu-\ndna a severo-\njižní p@da k0s-\ntry {i}") for i in range(3)]
