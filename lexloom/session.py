@@ -36,12 +36,33 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the cluster sees them."""
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm_path
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table is deleted when the application ends, or earlier by :func:`release`.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    files, place = _at(spark, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing reads any more."""
+    path = df.__dict__.pop("_scratch", None)
+    if path:
+        files, place = _at(df.sparkSession, path)
+        files.delete(place, True)
 
 
 #: A table of fewer splits than this (about 1 GB at the default split size) may be spread over the cores.
@@ -57,7 +78,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in ("documents", "qa_log"):
         return df
     cores = spark.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
 
 

@@ -306,13 +306,37 @@ def test_backends(spark):
         backends.answer_text({})
 
 
-def test_package_without_the_llm_folder_still_offers_the_rest(monkeypatch):
-    import __spark_entry__ as entry
-
-    monkeypatch.setattr(entry, "_llm", lambda: None)
-    names = entry.queries()
-    assert names and not [n for n in names if n[:1] == "p" and n[1:2].isdigit()]
-    assert set(entry.oracle_sql()) <= set(names)
+def test_package_without_the_llm_folder_still_offers_the_rest(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "lexloom", tmp_path / "lexloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); print(sum(n[:1] == 'p' and n[1:2].isdigit() for n in q))"
+    run = lambda: subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, capture_output=True, text=True)
+    assert run().stdout.strip() == "0"
+    # a subpackage that is there but cannot be imported is an error, not a smaller set of queries
+    (tmp_path / "lexloom" / "llm").mkdir()
+    (tmp_path / "lexloom" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "lexloom" / "llm" / "queries.py").write_text("import not_installed_anywhere")
+    assert "not_installed_anywhere" in run().stderr
+
+
+def test_scratch_tables_can_be_released(spark):
+    import os
+
+    from lexloom.session import materialize, release
+
+    table = materialize(spark.range(5), "numbers")
+    path = table._scratch.removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(path)
+    release(table)
+    release(table)
+    release(spark.range(1))
+    assert not os.path.isdir(path)
 
 
 def test_writers(spark, tmp_path):
