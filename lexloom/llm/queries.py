@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load, materialize
+from ..session import load, materialize, release
 from . import cut_off, language, leaks, packing, pairs, pieces, scans, visual_forms
 
 
@@ -30,7 +30,7 @@ def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = load(spark, sf_dir, "scan_pages").select(
         "file", (F.col("page_index") + 1).alias("page_num"), F.col("page").alias("label")
     )
-    return scans.repair(load(spark, sf_dir, "qa_log"), labels, "seg_id", "text_auto", "file", "page_num", materialize)
+    return scans.repair(load(spark, sf_dir, "qa_log"), labels, "seg_id", "text_auto", "file", "page_num", materialize, release)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

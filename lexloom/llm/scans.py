@@ -2,15 +2,20 @@
 
 One pass over all texts counts the corpus vocabulary. On the pages, lines at the head and foot are compared within their
 file after folding away what recognition confuses; a folded line on several pages of a file is running matter, and edge
-numbers that keep step with the page order (or equal the page's own label) are page numbers. A word divided at a line end
-is joined unless the vocabulary knows it as a compound with that hyphen. A word that is rare against a word it turns into
-by undoing one known confusion is misread and corrected. Then the furniture is dropped and lines are joined to paragraphs.
+numbers that keep step with the page order (or equal the page's own label) are page numbers. The lines are taken from each
+edge inward, on and on as long as all before them are furniture. A word divided at a line end, over two lines or more, is
+joined unless the vocabulary knows it as a compound with that hyphen. A word that is rare against a word it turns into by
+undoing known confusions is misread and corrected. Then the furniture is dropped and lines are joined to paragraphs.
 
 All statistics are aggregated before they are compared; a file with a third of all pages costs one row a distinct edge
-line. Corrections and compounds go to the pages in groups of bounded size, each group read in its own pass.
+line. What is known of words (``fixes``: corrections and compounds) stays a distributed table whatever its size: each page
+sends the words it holds that may be in it, told by a bitmap of fixed size (``BITMAP_BITS``), to a join by word, and gets
+back its own few fixes, so that one pass over the pages repairs them. Words on so many pages that their join would be
+skewed number at most ``1 / HOT_SHARE`` and travel by broadcast.
 
 Defined cases: null or blank pages give no rows; a null file is a file of its own; repeated deliveries of a page count once
-as pages are counted by number; pages without noise come out with their lines joined; empty tables give empty results.
+as pages are counted by number; pages without noise come out with their lines joined; empty tables give empty results; a
+correction is applied once (what it gives is not corrected again).
 """
 
 from __future__ import annotations
@@ -20,22 +25,28 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines looked at on each edge of a page; pages a line must stand on to be running matter, a sequence to be numbers.
+#: Lines looked at in any case on each edge of a page, those further in as long as all before them are furniture; pages a
+#: line must stand on to be running matter, a sequence to be numbers.
 EDGE_LINES, LEAST_PAGES = 2, 2
 #: Pages a line that looks like a part of the text beside it must stand on, besides more than half of the file's pages.
 LEAST_FLOW_PAGES = 3
 #: Likeness of a running line to one that is repeated exactly.
 LEAST_LIKE = 0.8
-#: A reading is wrong if the word it is mistaken for is this many times as frequent, and seen at least so often.
+#: A reading is wrong if the word it is mistaken for is this many times as frequent for each letter changed, and seen at
+#: least so often. Letters a word is taken to be misread in at most, besides signs, of which there may be any number, and
+#: the letters it must have for each.
 TIMES, LEAST_SEEN = 12, 3
-#: Entries of corrections sent to the executors at once; words gathered in a task before they are handed on.
-GROUP_ROWS, FLUSH_WORDS = 200_000, 400_000
+LETTER_CHANGES, LETTERS_A_CHANGE = 2, 4
+#: Words gathered in a task before they are handed on.
+FLUSH_WORDS = 400_000
+#: Bits of the bitmaps that tell which words may be known (8 MB sent at most), and the share of all words of pages from
+#: which a word's fix is broadcast (so at most 1 / HOT_SHARE of them) instead of joined.
+BITMAP_BITS, HOT_SHARE = 1 << 26, 0.0001
 
 # What recognition prints for what stood there.
 LETTER_CONFUSIONS = (
@@ -52,6 +63,7 @@ DIVISION_MARKS = "-\u00ac\u00ad\u2010="
 
 _word = re.compile(r"[^\W\d_]+(?:['\u2019\-\u2010\u2011][^\W\d_]+)*")
 _divided = re.compile(rf"([^\W\d_]+)([{re.escape(DIVISION_MARKS)}])[ \t]*\n[ \t]*([^\W\d_]+)")
+_division = re.compile(rf"([^\W\d_]+)([{re.escape(DIVISION_MARKS)}])[ \t]*\n[ \t]*(?=([^\W\d_]+))")
 _space = re.compile(r"(\s+)")
 _outer = "„“”\"«»[]…"
 _sign = re.compile(r"\\/|[01|!+@(5629838'$€<]")
@@ -82,24 +94,19 @@ def roman(text: str) -> int | None:
     return total if 0 < total < 400 and text in (text.lower(), text.upper()) else None
 
 
-def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None, str, str, bool]]:
-    """(line number, side, line, running part folded, number, printed number, first word, last word, whether it looks like a
-    part of the text beside it) of the edge lines."""
+def edges(text: str) -> list[tuple]:
+    """(line number, side, depth from the edge, running part folded, number, printed number, folded words, whether it looks
+    like a part of the text beside it) of the edge lines: ``EDGE_LINES`` on each side, and those further in as long as all
+    before them are numbers or do not look like a part of the text."""
     lines = [(i, x.strip()) for i, x in enumerate(text.split("\n")) if x.strip()]
-    out = []
     n = len(lines)
-    for at, (i, line) in enumerate(lines):
-        side = "head" if at < EDGE_LINES and at < n - EDGE_LINES else "foot" if at >= n - EDGE_LINES else ""
-        if not side and at < EDGE_LINES:
-            side = "head"
-        if not side:
-            continue
+
+    def one(at: int, side: str, depth: int) -> tuple | None:
+        i, line = lines[at]
         m = _number.match(line)
         if m:
             value = int(m[1]) if m[1].isdigit() else roman(m[1])
-            if value is not None:
-                out.append((i, side, line, "", value, m[1], "", "", False))
-            continue
+            return (i, side, depth, "", value, m[1], [], False) if value is not None else None
         m = _beside.match(line)
         number, body = (m[1] or m[4], m[2] or m[3]) if m else (None, line)
         digits = re.sub(r"\D", "", number) if number else ""
@@ -112,54 +119,157 @@ def edges(text: str) -> list[tuple[int, str, str, str, int | None, str | None, s
             flows = True
         # halves of a divided word are text, however often they are repeated
         half = (prev.endswith(tuple(DIVISION_MARKS)) and body[:1].islower()) or (body.endswith(tuple(DIVISION_MARKS)) and nxt[:1].islower())
-        words = body.lower().split()
-        out.append((i, side, line, "" if flows and half else folded(body), int(digits) if digits else None, digits or None, words[0], words[-1], flows))
-    return out
+        words = sorted({folded(w) or w.lower() for w in body.split()})
+        return (i, side, depth, "" if flows and half else folded(body), int(digits) if digits else None, digits or None, words, flows)
+
+    feet = range(n - 1, max(n - 1 - EDGE_LINES, -1), -1)
+    heads = range(0, min(EDGE_LINES, n - len(feet)))
+    found = {("head", at): one(at, "head", at) for at in heads} | {("foot", at): one(at, "foot", n - 1 - at) for at in feet}
+
+    def open_so_far(side: str) -> bool:
+        return all(x is not None and not x[7] for (s, _), x in found.items() if s == side)
+
+    top, bottom = len(heads), n - len(feet) - 1
+    while top <= bottom and top and open_so_far("head"):
+        found["head", top] = one(top, "head", top)
+        top += 1
+    while top <= bottom and open_so_far("foot"):
+        found["foot", bottom] = one(bottom, "foot", n - 1 - bottom)
+        bottom -= 1
+    return [x for x in found.values() if x is not None]
+
+
+def divisions(text: str) -> list[str]:
+    """The divided words of a text as left TAB mark TAB right, in lower case; of a word over several lines every half with
+    the next, and with all before it."""
+    out = []
+    while True:
+        pairs = [m.groups() for m in _division.finditer(text)]
+        out += ["\t".join(x).lower() for x in pairs if x[2][:1].islower()]
+        if len(pairs) < 2:
+            return out
+        whole = undivided(text, once=True)
+        if whole == text or not _divided.search(whole):
+            return out
+        text = whole
+
+
+def undivided(text: str, by: str = "", once: bool = False) -> str:
+    """A text with all its divided words joined ``by`` something."""
+    while True:
+        whole = _divided.sub(lambda m: m[1] + by + m[3] if m[3][:1].islower() else m[0], text)
+        if once or whole == text:
+            return whole
+        text = whole
+
+
+def core(word: str) -> str:
+    """A word without the marks around it."""
+    return word.strip(_outer).rstrip(".,;:?)\u201c\u201d\"\u00bb]").lstrip("(\u201e\u00ab")
 
 
 def page_tokens(text: str) -> list[str]:
     """The words of a page as recognised, in lower case, with divided words joined."""
-    t = _divided.sub(lambda m: m[1] + m[3] if m[3][:1].islower() else m[0], text)
-    out = []
-    for w in t.split():
-        w = w.strip(_outer)
-        w = w.rstrip(".,;:?)“”\"»]").lstrip("(„«")
-        if w:
-            out.append(w.lower())
+    return [w.lower() for w in map(core, undivided(text).split()) if w]
+
+
+def page_words(text: str) -> set[str]:
+    """All words that may stand on a page after its divided words are joined or kept, and its divided words."""
+    out = {w.lower() for w in map(core, text.split()) if w}
+    if _divided.search(text):
+        for by in ("", "-"):
+            out.update(w.lower() for w in map(core, undivided(text, by).split()) if w)
+        for x in divisions(text):
+            left, _, right = x.split("\t")
+            out.add(f"{left}\t{right}")
     return out
 
 
-def readings(token: str) -> list[str]:
-    """What a token may have been before recognition went wrong."""
-    signs = list(_sign.finditer(token))
-    n_letters = sum(c.isalpha() for c in token)
-    if signs:
-        rest = _sign.sub("", token)
-        if len(signs) > 2 or n_letters < 2 or not rest.replace("-", "").isalpha():
-            return []
-        options = [SIGN_CONFUSIONS[m[0]] or ("",) for m in signs]
-        out = []
-        for choice in product(*options):
-            at, parts = 0, []
-            for m, c in zip(signs, choice):
-                parts += [token[at : m.start()], c]
-                at = m.end()
-            out.append("".join(parts) + token[at:])
-        return out
-    if n_letters < 4 or not token.replace("-", "").isalpha():
-        return []
-    out = []
+def _sign_classes() -> dict[int, str | None]:
+    """Every sign and every letter it may stand for, mapped to one of them; a sign that stands for nothing to nothing."""
+    head: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while head.setdefault(c, c) != c:
+            c = head[c]
+        return c
+
+    for sign, options in SIGN_CONFUSIONS.items():
+        for c in options if len(sign) == 1 else ():
+            head[max(top(sign), top(c))] = min(top(sign), top(c))
+    table: dict[int, str | None] = {ord(c): top(c) for c in head}
+    return table | {ord(sign): None for sign, options in SIGN_CONFUSIONS.items() if not options}
+
+
+_classes = _sign_classes()
+
+
+def signature(word: str) -> str:
+    """A word with all signs and letters that are taken for each other alike; what a misread word and the right one share."""
+    return word.replace("\\/", "v").translate(_classes)
+
+
+def signature_column(word: Column) -> Column:
+    """Column form of :func:`signature`."""
+    kept = {chr(c): to for c, to in _classes.items() if to}
+    gone = "".join(chr(c) for c, to in _classes.items() if not to)
+    return F.translate(F.replace(word, F.lit("\\/"), F.lit("v")), "".join(kept) + gone, "".join(kept.values()))
+
+
+def _changed(token: str, changes: int, start: int = 0) -> Iterator[tuple[str, int]]:
+    """The token with up to ``changes`` letter confusions undone, each behind the one before, and their number."""
+    yield token, 0
+    if changes < 1:
+        return
     for a, b in LETTER_CONFUSIONS:
-        at = token.find(a)
+        at = token.find(a, start)
         while at >= 0:
-            out.append(token[:at] + b + token[at + len(a) :])
+            for rest, n in _changed(token[:at] + b + token[at + len(a) :], changes - 1, at + len(b)):
+                yield rest, n + 1
             at = token.find(a, at + 1)
-    return out
+
+
+def readings(token: str) -> Iterator[tuple[str, str, int]]:
+    """(signature, pattern, changes) of what a token may have been before recognition went wrong.
+
+    Signs are left open, any number of them: the pattern tells which words of the signature fit. Letters are changed up to
+    ``LETTER_CHANGES`` times, signs counting as one change.
+    """
+    signs = len(_sign.findall(token))
+    letters = sum(c.isalpha() for c in token)
+    plain = _sign.sub("", token).replace("-", "")
+    if not plain.isalpha() or (signs and letters < max(2, signs)):
+        return
+    changes = min(LETTER_CHANGES, letters // LETTERS_A_CHANGE) - bool(signs)
+    seen = set()
+    for t, n in sorted(_changed(token, changes), key=lambda x: x[1]):
+        if t not in seen and (signs or n):
+            seen.add(t)
+            yield signature(t), _sign.sub(lambda m: f"[{''.join(SIGN_CONFUSIONS[m[0]])}]" if SIGN_CONFUSIONS[m[0]] else "", t), n + bool(signs)
 
 
 def odd_inside(token: str) -> bool:
-    """One or two signs right between small letters of a word of five letters or more: wrong even in an unknown word."""
-    return bool(re.fullmatch(r"[^\W\d_]+(?:(?:\\/|[01|!+@(5629])[^\W\d_]+){1,2}", token)) and sum(c.isalpha() for c in token) >= 5
+    """Signs right between small letters, of which there are five or more and five for every two signs: wrong even in an
+    unknown word."""
+    if not re.fullmatch(r"[^\W\d_]+(?:(?:\\/|[01|!+@(5629])[^\W\d_]+)+", token):
+        return False
+    letters = sum(c.isalpha() for c in token)
+    return letters >= 5 and 2 * letters >= 5 * len(_sign.findall(token))
+
+
+def bitmap(words: DataFrame, word: Column) -> bytes:
+    """A bit for the hash of every word: ``BITMAP_BITS`` at most, however many words there are."""
+    place = F.crc32(word.cast("binary")) % F.lit(BITMAP_BITS)
+    parts = words.select(place.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits"))
+    out = bytearray(BITMAP_BITS // 8)
+    for r in parts.toLocalIterator():
+        out[r["part"] * 4096 : r["part"] * 4096 + 4096] = r["bits"]
+    return bytes(out)
+
+
+def may_hold(bits: bytes, word: str) -> bool:
+    at = zlib.crc32(word.encode("utf-8", "replace")) % (8 * len(bits))
+    return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
 def counted(df: DataFrame, text: str, page: str) -> DataFrame:
@@ -186,7 +296,7 @@ def counted(df: DataFrame, text: str, page: str) -> DataFrame:
                 words.update(_word.findall(t.lower()))
                 if on_page:
                     tokens.update(page_tokens(t))
-                    divided.update("\t".join(x).lower() for x in _divided.findall(t) if x[2][:1].islower())
+                    divided.update(divisions(t))
                 if len(words) + len(tokens) > FLUSH_WORDS:
                     yield from out()
         yield from out()
@@ -198,125 +308,144 @@ def counted(df: DataFrame, text: str, page: str) -> DataFrame:
 
 
 def corrections(types: DataFrame) -> DataFrame:
-    """(``wrong``, ``right``): tokens of pages that are misread; ``right`` is null where no known word fits."""
+    """(``wrong``, ``right``, ``n``): tokens of pages that are misread and how often they stand there; ``right`` is null where
+    no known word fits. Among known words the one with the fewest changes is right, then the most frequent."""
+    vocabulary = types.where("kind = 'w'").select("word", "n")
+    known = vocabulary.where(F.col("n") >= LEAST_SEEN).select(
+        F.col("word").alias("right"), F.col("n").alias("n_right"), signature_column(F.col("word")).alias("sig")
+    )
+    shared = types.sparkSession.sparkContext.broadcast(bitmap(known, F.col("sig")))  # BITMAP_BITS
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
             rows = []
-            for w in batch.column(0).to_pylist():
-                got = {x for x in readings(w) if x and x != w}
-                rows += [(w, x, False) for x in got]
+            for w, n in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(w, n, sig, pattern, changes) for sig, pattern, changes in readings(w) if may_hold(bits, sig)]
                 if odd_inside(w):
-                    rows.append((w, None, True))
+                    rows.append((w, n, None, None, 0))
             if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.bool_()))],
-                    names=["wrong", "right", "odd"],
-                )
+                types_ = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types_)], names=["wrong", "n", "sig", "pattern", "changes"])
 
-    vocabulary = types.where("kind = 'w'").select("word", "n")
-    tokens = types.where("kind = 'p'").select("word").mapInArrow(expand, "wrong string, right string, odd boolean")
-    known = vocabulary.select(F.col("word").alias("right"), F.col("n").alias("n_right")).where(F.col("n_right") >= LEAST_SEEN)
+    tokens = types.where("kind = 'p'").select("word", "n").mapInArrow(expand, "wrong string, n long, sig string, pattern string, changes int")
     own = vocabulary.select(F.col("word").alias("wrong"), F.col("n").alias("n_wrong"))
+    n_wrong = F.coalesce("n_wrong", F.lit(0))
     sure = (
-        tokens.where("right is not null")
-        .join(known, "right")
+        tokens.where("sig is not null")
+        .join(known, "sig")
+        .where("right <> wrong and right rlike concat('^', pattern, '$')")
         .join(own, "wrong", "left")
-        .where(F.col("n_right") >= TIMES * F.coalesce("n_wrong", F.lit(0)))
+        .where(F.col("n_right") >= F.when(F.col("changes") < 2, TIMES * n_wrong).otherwise(F.pow(F.lit(TIMES), "changes") * F.greatest(n_wrong, F.lit(1))))
     )
-    best = sure.groupBy("wrong").agg(F.max_by("right", F.struct("n_right", "right")).alias("right"))
-    odd = tokens.where("odd").select("wrong", F.lit(None).cast("string").alias("right"))
-    return best.unionByName(odd).groupBy("wrong").agg(F.max("right").alias("right"))
+    best = sure.groupBy("wrong").agg(F.max_by("right", F.struct(-F.col("changes"), "n_right", "right")).alias("right"), F.max("n").alias("n"))
+    odd = tokens.where("sig is null").select("wrong", F.lit(None).cast("string").alias("right"), "n")
+    return best.unionByName(odd).groupBy("wrong").agg(F.max("right").alias("right"), F.max("n").alias("n"))
 
 
 def compounds(types: DataFrame) -> DataFrame:
-    """(``wrong``): divided words, as left TAB right, that keep their hyphen."""
+    """(``wrong``, ``n``): divided words, as left TAB right, that keep their hyphen, and how often they stand on pages."""
     vocabulary = types.where("kind = 'w'").select("word", "n")
     parts = F.split("word", "\t")
-    divided = types.where("kind = 'h'").select(
-        F.concat_ws("\t", parts[0], parts[2]).alias("wrong"),
-        F.concat(parts[0], parts[2]).alias("joined"),
-        F.concat_ws("-", parts[0], parts[2]).alias("hyphened"),
-    ).distinct()
+    divided = (
+        types.where("kind = 'h'")
+        .groupBy(parts[0].alias("a"), parts[2].alias("b"))
+        .agg(F.sum("n").alias("n"))
+        .select(F.concat_ws("\t", "a", "b").alias("wrong"), F.concat("a", "b").alias("joined"), F.concat_ws("-", "a", "b").alias("hyphened"), "n")
+    )
     joined = vocabulary.select(F.col("word").alias("joined"), F.col("n").alias("n_joined"))
     hyphened = vocabulary.select(F.col("word").alias("hyphened"), F.col("n").alias("n_hyphened"))
     return (
         divided.join(hyphened, "hyphened")
         .join(joined, "joined", "left")
         .where(F.col("n_hyphened") > F.coalesce("n_joined", F.lit(0)))
-        .select("wrong")
+        .select("wrong", "n")
     )
 
 
-EDGE_SCHEMA = "k long, file string, page_num int, line_no int, side string, running string, number int, printed string, first_word string, last_word string, flows boolean"
+LINE = "line_no int, side string, depth int, running string, number int, printed string, words array<string>, flows boolean"
+NOTED = f"k long, file string, page_num int, lines array<struct<{', '.join(x.replace(' ', ':', 1) for x in LINE.split(', '))}>>, suspects array<string>"
 
 
-def edge_lines(pages: DataFrame) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def noted(pages: DataFrame, bits: bytes | None = None) -> DataFrame:
+    """(``k``, ``file``, ``page_num``, ``lines``, ``suspects``) of every page: its edge lines and, of its words, those that the
+    bitmap may hold."""
+    names = [x.split()[0] for x in LINE.split(", ")]
+    s, i = pa.string(), pa.int32()
+    line = pa.struct(list(zip(names, (i, s, i, s, i, s, pa.list_(s), pa.bool_()))))
+    shared = pages.sparkSession.sparkContext.broadcast(bits)  # BITMAP_BITS
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
-            k, f, p, t = (c.to_pylist() for c in batch.columns)
-            rows = [
-                (a, b, c, i, side, run or None, number, printed, w1, w2, flows)
-                for a, b, c, text in zip(k, f, p, t)
-                for i, side, _, run, number, printed, w1, w2, flows in edges(text)
-            ]
-            if rows:
-                types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), types)],
-                    names=["k", "file", "page_num", "line_no", "side", "running", "number", "printed", "first_word", "last_word", "flows"],
-                )
+            texts = batch.column(3).to_pylist()
+            lines = [[dict(zip(names, (*x[:3], x[3] or None, *x[4:]))) for x in edges(t)] for t in texts]
+            words = [[w for w in page_words(t) if may_hold(known, w)] if known else [] for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(lines, pa.list_(line)), pa.array(words, pa.list_(s))],
+                names=["k", "file", "page_num", "lines", "suspects"],
+            )
+
+    return pages.select("k", "file", "page_num", "t").mapInArrow(note, NOTED)
 
-    return pages.select("k", "file", "page_num", "t").mapInArrow(cut, EDGE_SCHEMA)
+
+def edge_lines(pages: DataFrame) -> DataFrame:
+    """(``k``, ``file``, ``page_num``, ``LINE``, ``deep``) from ``noted``; ``deep`` lines are those beyond ``EDGE_LINES``."""
+    return pages.select("k", "file", "page_num", F.inline("lines")).withColumn("deep", F.col("depth") >= EDGE_LINES)
 
 
 def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(``k``, ``line_no``, ``is_header``, ``is_number``): edge lines that are running matter or carry page numbers.
+    """(``k``, ``side``, ``depth``, ``line_no``, ``is_header``, ``is_number``): edge lines that are running matter or carry page
+    numbers.
 
-    A line is running matter if its folded form stands on several pages of its file, or if it begins or ends with the same
-    word as such a line and is alike in at least ``LEAST_LIKE`` of its folded characters. Where it looks like a part of the
+    A line is running matter if its folded form stands on several pages of its file, or if it shares a folded word with such
+    a line and is alike in at least ``LEAST_LIKE`` of its folded characters. Where it looks like a part of the
     text, its folded form must stand on more than half of the file's pages, or on ``LEAST_FLOW_PAGES`` where it does not look
-    so: sentences that happen to break alike on a few pages are no running matter.
+    so: sentences that happen to break alike on a few pages are no running matter. Lines beyond ``EDGE_LINES`` are compared
+    among themselves and must not look like text and stand on ``LEAST_FLOW_PAGES`` and more than half of the file's pages.
     """
     formed = lines.where("length(running) >= 4")
-    steady = formed.where("not flows")
     forms = (
-        steady
-        .groupBy("file", "running")
-        .agg(F.count_distinct("page_num").alias("n"), F.min("first_word").alias("h1"), F.min("last_word").alias("h2"))
+        formed.where("not flows")
+        .groupBy("file", "deep", "running")
+        .agg(F.count_distinct("page_num").alias("n"), F.min("words").alias("words"))
     )
-    repeated = forms.where(F.col("n") >= LEAST_PAGES)
-    exact = repeated.select("file", "running")
-    ends = [("first_word", "h1"), ("last_word", "h2")]
-    single = steady.select("file", "running", "first_word", "last_word").distinct()
-    alike = [
-        single.join(repeated.select(F.col("file").alias("f"), F.col("running").alias("r"), F.col(h).alias("h")), F.expr(f"file <=> f and {w} = h"))
-        .where(F.levenshtein("running", "r") <= (1 - LEAST_LIKE) * F.length("r"))
-        .select("file", "running")
-        for w, h in ends
-    ]
     pages = lines.groupBy(F.col("file").alias("f")).agg(F.count_distinct("page_num").alias("all"))
+    repeated = forms.where(~F.col("deep") & (F.col("n") >= LEAST_PAGES)).unionByName(
+        forms.where(F.col("deep") & (F.col("n") >= LEAST_FLOW_PAGES)).join(pages, F.expr("file <=> f and 2 * n > all")).drop("f", "all")
+    )
+    exact = repeated.select("file", "deep", "running")
+    word = F.explode("words").alias("word")
+    right = repeated.select(F.col("file").alias("f"), F.col("deep").alias("d"), F.col("running").alias("r"), word)
+    alike = (
+        forms.where(F.col("deep") | (F.col("n") < LEAST_PAGES))
+        .select("file", "deep", "running", word)
+        .join(right.withColumnRenamed("word", "w"), F.expr("file <=> f and deep = d and word = w"))
+        .where(F.abs(F.length("running") - F.length("r")) <= (1 - LEAST_LIKE) * F.length("r"))
+        .where(F.levenshtein("running", "r") <= (1 - LEAST_LIKE) * F.length("r"))
+        .select("file", "deep", "running")
+    )
     persistent = (
-        formed.groupBy("file", "running")
+        formed.where("not deep").groupBy("file", "deep", "running")
         .agg(F.count_distinct("page_num").alias("n"), F.count_distinct(F.when(~F.col("flows"), F.col("page_num"))).alias("n_steady"))
         .where(F.col("n") >= LEAST_FLOW_PAGES)
         .join(pages, F.expr(f"file <=> f and (2 * n > all or n_steady >= {LEAST_FLOW_PAGES})"))
-        .select("file", "running", F.lit(True).alias("firm"))
+        .select("file", "deep", "running", F.lit(True).alias("firm"))
     )
-    likely = exact.union(alike[0]).union(alike[1]).withColumn("firm", F.lit(False))
-    running = likely.union(persistent).groupBy("file", "running").agg(F.max("firm").alias("firm")).select(
-        F.col("file").alias("f1"), F.col("running").alias("r1"), "firm"
+    likely = exact.union(alike).withColumn("firm", F.lit(False))
+    running = likely.union(persistent).groupBy("file", "deep", "running").agg(F.max("firm").alias("firm")).select(
+        F.col("file").alias("f1"), F.col("deep").alias("d1"), F.col("running").alias("r1"), "firm"
     )
     steps = (
         lines.where("number is not null")
-        .groupBy("file", (F.col("number") - F.col("page_num")).alias("step"))
+        .groupBy("file", "deep", (F.col("number") - F.col("page_num")).alias("step"))
         .agg(F.count_distinct("page_num").alias("n"))
         .where(F.col("n") >= LEAST_PAGES)
-        .select(F.col("file").alias("f2"), F.col("step").alias("s2"), F.lit(True).alias("in_step"))
+        .select(F.col("file").alias("f2"), F.col("deep").alias("d2"), F.col("step").alias("s2"), F.lit(True).alias("in_step"))
     )
-    marked = lines.join(running, F.expr("file <=> f1 and running = r1 and (firm or not flows)"), "left")
+    marked = lines.join(running, F.expr("file <=> f1 and deep = d1 and running = r1 and (firm or not flows)"), "left")
     out = marked.withColumn("is_header", F.col("firm").isNotNull()).join(
-        steps, F.expr("file <=> f2 and number - page_num = s2"), "left"
+        steps, F.expr("file <=> f2 and deep = d2 and number - page_num = s2"), "left"
     )
     if labels is not None:
         own = labels.select(F.col("file").alias("f3"), F.col("page_num").alias("p3"), F.col("label").alias("label")).distinct()
@@ -327,44 +456,65 @@ def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
     alone = F.col("running").isNull() | F.col("flows")
     return out.select(
         "k",
+        "side",
+        "depth",
         "line_no",
         F.coalesce("is_header", F.lit(False)).alias("is_header"),
         (number & (alone | F.coalesce("is_header", F.lit(False)))).alias("is_number"),
     ).where("is_header or is_number")
 
 
-def joined(body: str, keep: set[str], group: int = 0, groups: int = 1) -> tuple[str, bool]:
-    """(text with its divided words joined, whether one was), deciding only the words of one group."""
+def marked_pages(found: DataFrame) -> DataFrame:
+    """(``k``, ``drop``, ``header``, ``numbered``) from ``furniture``: what to drop of each page; a line beyond ``EDGE_LINES``
+    only where all lines before it on its side are furniture, too."""
+    lines = F.collect_set(F.struct("side", "depth", "line_no", "is_header", "is_number"))  # of one page
+    before = lambda x: F.size(F.array_distinct(F.transform(F.filter("lines", lambda y: (y["side"] == x["side"]) & (y["depth"] < x["depth"])), lambda y: y["depth"])))
+    kept = F.filter("lines", lambda x: (x["depth"] < EDGE_LINES) | (before(x) == x["depth"]))
+    return (
+        found.groupBy("k")
+        .agg(lines.alias("lines"))
+        .select("k", kept.alias("kept"))
+        .select(
+            "k",
+            F.array_distinct(F.transform("kept", lambda x: x["line_no"])).alias("drop"),
+            F.exists("kept", lambda x: x["is_header"]).alias("header"),
+            F.exists("kept", lambda x: x["is_number"]).alias("numbered"),
+        )
+    )
+
+
+def joined(body: str, keep) -> tuple[str, bool]:
+    """(text with its divided words joined, whether one was); ``keep`` tells of left TAB right whether its hyphen stays."""
     found = False
 
     def join(m: re.Match) -> str:
         nonlocal found
-        pair = f"{m[1]}\t{m[3]}".lower()
-        if groups > 1 and zlib.crc32(pair.encode()) % groups != group:
-            return m[0]
-        if not m[3][:1].islower() or pair in keep:
+        if not m[3][:1].islower() or keep(f"{m[1]}\t{m[3]}".lower()):
             return f"{m[1]}-{m[3]}" if m[2] in "-\u2010" else m[0]
         found = True
         return m[1] + m[3]
 
-    return _divided.sub(join, body), found
+    while (whole := _divided.sub(join, body)) != body:
+        body = whole
+    return body, found
 
 
-def read_right(text: str, wrong: dict[str, str | None]) -> tuple[str, bool]:
-    """(text with its misread words corrected where the right one is known, whether one was misread)."""
+def read_right(text: str, wrong) -> tuple[str, bool]:
+    """(text with its misread words corrected where the right one is known, whether one was misread); ``wrong`` gives the
+    right form of a word, ``None`` where it is misread but unknown and ``False`` where it is not misread."""
     found = False
 
     def read(word: str) -> str:
         nonlocal found
-        core = word.strip(_outer).rstrip(".,;:?)\u201c\u201d\"\u00bb]").lstrip("(\u201e\u00ab")
-        right = wrong.get(core.lower(), False) if core else False
+        bare = core(word)
+        right = wrong(bare.lower()) if bare else False
         if right is False:
             return word
         found = True
         if not right:
             return word
-        right = right.upper() if core.isupper() else right[:1].upper() + right[1:] if core[:1].isupper() else right
-        return word.replace(core, right, 1)
+        right = right.upper() if bare.isupper() else right[:1].upper() + right[1:] if bare[:1].isupper() else right
+        return word.replace(bare, right, 1)
 
     return "".join(read(w) if i % 2 == 0 else w for i, w in enumerate(_space.split(text))), found
 
@@ -376,33 +526,6 @@ def paragraphs(body: str) -> str:
 REPAIRED = "k long, text string, rest string, divided boolean, misread boolean, header boolean, numbered boolean"
 
 
-def _pass(work: DataFrame, change) -> DataFrame:
-    """``change(text, rest, drop) -> (text, rest, divided, misread)`` over all pages, adding to what was found before."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        call = change()
-        for batch in batches:
-            k, text, rest, drop, divided, misread, header, numbered = (c.to_pylist() for c in batch.columns)
-            done = [call(t, r, d) for t, r, d in zip(text, rest, drop)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(k, pa.int64()),
-                    pa.array([x[0] for x in done], pa.string()),
-                    pa.array([x[1] for x in done], pa.string()),
-                    pa.array([x[2] or y for x, y in zip(done, divided)], pa.bool_()),
-                    pa.array([x[3] or y for x, y in zip(done, misread)], pa.bool_()),
-                    pa.array(header, pa.bool_()),
-                    pa.array(numbered, pa.bool_()),
-                ],
-                names=["k", "text", "rest", "divided", "misread", "header", "numbered"],
-            )
-
-    columns = ["k", "text", "rest", "drop", "divided", "misread", "header", "numbered"]
-    if "drop" not in work.columns:
-        work = work.withColumn("drop", F.lit(None).cast("array<int>"))
-    return work.select(*columns).mapInArrow(run, REPAIRED)
-
-
 def split_off(text: str, drop: list[int] | None) -> tuple[str, str]:
     """(body, furniture) of a page."""
     out = set(drop or ())
@@ -410,77 +533,60 @@ def split_off(text: str, drop: list[int] | None) -> tuple[str, str]:
     return "\n".join(x for i, x in enumerate(lines) if i not in out), "\n".join(x for i, x in enumerate(lines) if i in out)
 
 
-def repair(log: DataFrame, labels: DataFrame | None, key: str, text: str, file: str, page: str, materialize) -> DataFrame:
+def repair(log: DataFrame, labels: DataFrame | None, key: str, text: str, file: str, page: str, materialize, release=None) -> DataFrame:
     """One row a page: (``k``, ``text``, ``rest``, ``divided``, ``misread``, ``header``, ``numbered``); ``rest`` is the furniture.
 
-    The vocabulary is counted over all texts of ``log``; rows with a ``page`` number are the pages. Tables of corrections
-    or compounds beyond ``GROUP_ROWS`` go out in groups: first all groups of compounds, then all of corrections.
+    The vocabulary is counted over all texts of ``log``; rows with a ``page`` number are the pages. ``release`` is called with
+    tables of ``materialize`` that are not needed any more.
     """
-    spark = log.sparkSession
+    context = log.sparkSession.sparkContext
     types = materialize(counted(log, text, page), "types")
-    pages = materialize(
-        log.where(F.col(page).isNotNull() & (F.length(text) > 0)).select(
-            F.col(key).alias("k"), F.col(file).alias("file"), F.col(page).cast("int").alias("page_num"), F.col(text).alias("t")
-        ),
-        "pages",
+    pages = log.where(F.col(page).isNotNull() & (F.length(text) > 0)).select(
+        F.col(key).alias("k"), F.col(file).alias("file"), F.col(page).cast("int").alias("page_num"), F.col(text).alias("t")
     )
-    wrong = materialize(corrections(types), "corrections")
-    keep = materialize(compounds(types), "compounds")
-    lines = materialize(edge_lines(pages), "edges")
-    marked = (
-        furniture(lines, labels)
-        .distinct()
+    kept = compounds(types).select("wrong", F.lit(None).cast("string").alias("right"), "n")
+    fixes = materialize(corrections(types).unionByName(kept), "fixes")
+    n_tokens = types.where("kind = 'p'").agg(F.sum("n")).first()[0] or 0
+    if release is not None:
+        release(types)
+    is_hot = F.col("n") >= max(1.0, HOT_SHARE * n_tokens)
+    hot = context.broadcast({r[0]: r[1] for r in fixes.where(is_hot).select("wrong", "right").collect()})  # 2 / HOT_SHARE words at most
+    rare = fixes.where(~is_hot)
+    notes = materialize(noted(pages, bitmap(rare, F.col("wrong"))), "notes")
+    marks = marked_pages(furniture(edge_lines(notes), labels))
+    own = (
+        notes.select("k", F.explode("suspects").alias("wrong"))
+        .join(rare.select("wrong", "right"), "wrong")
         .groupBy("k")
-        .agg(
-            F.sort_array(F.collect_set("line_no")).alias("drop"),  # at most twice EDGE_LINES a page
-            F.max("is_header").alias("header"),
-            F.max("is_number").alias("numbered"),
-        )
+        .agg(F.collect_set(F.struct("wrong", "right")).alias("fixes"))  # words of one page
     )
     no = F.lit(False)
-    work = pages.join(marked, "k", "left").select(
-        "k", F.col("t").alias("text"), F.lit("").alias("rest"), "drop", no.alias("divided"), no.alias("misread"),
-        F.coalesce("header", no).alias("header"), F.coalesce("numbered", no).alias("numbered"),
-    )
-
-    def group_of(table: DataFrame, n: int, g: int) -> list:
-        mine = table if n == 1 else table.where(F.pmod(F.crc32(F.col("wrong").cast("binary")), F.lit(n)) == g)
-        return mine.collect()  # at most about GROUP_ROWS
-
-    n_keep, n_wrong = (max(1, -(-t.count() // GROUP_ROWS)) for t in (keep, wrong))
-    if n_keep == n_wrong == 1:
-        shared = spark.sparkContext.broadcast(({r[0] for r in keep.collect()}, {r[0]: r[1] for r in wrong.collect()}))
-
-        def whole():
-            compound, table = shared.value
-
-            def call(t, r, d):
-                body, rest = split_off(t, d)
-                body, divided = joined(body, compound)
-                body, m1 = read_right(body, table)
-                rest, m2 = read_right(rest, table)
-                return paragraphs(body), rest, divided, m1 or m2
-
-            return call
-
-        return _pass(work, whole)
-
-    work = _pass(work, lambda: lambda t, r, d: (*split_off(t, d), False, False))
-    for g in range(n_keep):
-        one = spark.sparkContext.broadcast({r[0] for r in group_of(keep, n_keep, g)})
-
-        def divide(one=one, g=g):
-            return lambda t, r, d: ((x := joined(t, one.value, g, n_keep))[0], r, x[1], False)
-
-        work = _pass(work, divide)
-    for g in range(n_wrong):
-        one = spark.sparkContext.broadcast({r[0]: r[1] for r in group_of(wrong, n_wrong, g)})
+    work = pages.join(marks, "k", "left").join(own, "k", "left").select(
+        "k", "t", "drop", "fixes", F.coalesce("header", no).alias("header"), F.coalesce("numbered", no).alias("numbered")
+    )
 
-        def correct(one=one):
-            return lambda t, r, d: ((x := read_right(t, one.value))[0], (y := read_right(r, one.value))[0], False, x[1] or y[1])
+    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everywhere = hot.value
+        for batch in batches:
+            done = []
+            for t, drop, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                here = {x["wrong"]: x["right"] for x in own or ()}
+
+                def wrong(word: str, here=here):
+                    return here[word] if word in here else everywhere.get(word, False)
+
+                body, rest = split_off(t, drop)
+                body, divided = joined(body, lambda pair: wrong(pair) is not False)
+                body, m1 = read_right(body, wrong)
+                rest, m2 = read_right(rest, wrong)
+                done.append((paragraphs(body), rest, divided, m1 or m2))
+            s, b = pa.string(), pa.bool_()
+            columns = [pa.array([x[j] for x in done], t) for j, t in enumerate((s, s, b, b))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *columns, *batch.columns[4:]], names=["k", "text", "rest", "divided", "misread", "header", "numbered"]
+            )
 
-        work = _pass(work, correct)
-    return _pass(work, lambda: lambda t, r, d: (paragraphs(t), r, False, False))
+    return work.mapInArrow(mend, REPAIRED)
 
 
 def noise(pages: DataFrame) -> DataFrame:

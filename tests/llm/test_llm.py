@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import os
 import random
+import re
 import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import cut_off, language, leaks, packing, pairs, pieces, scans, visual_forms
 from lexloom.session import materialize
@@ -126,8 +128,15 @@ def test_oversized_rows_meet_their_runs(spark):
 # 3 scans
 
 
+def reads(token: str, word: str) -> int | None:
+    """With how many changes a token may be read as a word."""
+    return min((n for sig, pattern, n in scans.readings(token) if sig == scans.signature(word) and re.fullmatch(pattern, word)), default=None)
+
+
 def test_readings_and_edges():
-    assert "kosti" in scans.readings("k0st!") and "sondy" in scans.readings("soncly") and scans.readings("12/3") == []
+    assert reads("k0st!", "kosti") == 1 and reads("soncly", "sondy") == 1 and not list(scans.readings("12/3"))
+    assert reads("a1f0b5r", "alfobšr") == 1 and reads("k0ncepclonalny", "koncepdonalny") == 2 and reads("cxccvaclon", "exeevadon") is None
+    assert reads("rnaterlalrn", "materialm") is None and reads("rnaterialclo", "materialdo") == 2
     assert scans.roman("xiv") == 14 and scans.roman("Mix") is None
     sides = {(e[0], e[4], bool(e[3])) for e in scans.edges("12    Zpráva Lhota 1950\nPlocha byla čistá.\nText jde\ndál.\n[3]")}
     assert (0, 12, True) in sides and (4, 3, False) in sides
@@ -164,22 +173,66 @@ def test_headers_over_pages_that_continue_a_sentence(spark):
     # a header most of whose pages begin anew is one on the others, too
     rows += [(10 + i, "g", i + 1, f"Zpráva Kolín\n{a if i == 0 else a.capitalize()}\n{a} {b} z vrstvy\nvedle {b} a\nkonec {b}.") for i, (a, b) in enumerate(zip(parts, ends))]
     log = spark.createDataFrame(rows, "k long, file string, page_num int, t string")
-    got = {(r["k"], r["line_no"]) for r in scans.furniture(scans.edge_lines(log), None).where("is_header").collect()}
+    got = {(r["k"], r["line_no"]) for r in scans.furniture(scans.edge_lines(scans.noted(log)), None).where("is_header").collect()}
     assert got == {(i, n) for i in range(6) for n in (0, 4)} | {(10 + i, 0) for i in range(6)}
 
 
-def test_groups_of_corrections_give_the_same_result(spark, monkeypatch):
-    rows = [(i, "m", None, "sondy vrstvy nálezu kostry studna severo-jižní půda") for i in range(20)]
-    rows += [(50 + i, "f", i, f"Hlavička č1sla 7\ns0ndy vrst\\/y ko5try stu-\ndna a severo-\njižní p@da k0s-\ntry {i}") for i in range(3)]
+def repaired(spark, rows, **bounds):
     log = spark.createDataFrame(rows, "seg_id long, file string, page_num int, text_auto string")
+    return {r["k"]: r for r in scans.repair(log, None, "seg_id", "text_auto", "file", "page_num", materialize).collect()}
 
-    def run():
-        done = scans.repair(log, None, "seg_id", "text_auto", "file", "page_num", materialize)
-        return sorted(map(tuple, done.collect()))
 
-    one = run()
-    monkeypatch.setattr(scans, "GROUP_ROWS", 2)
-    assert run() == one
+def test_fixes_joined_or_broadcast_give_the_same_result(spark, monkeypatch):
+    rows = [(i, "m", None, "sondy vrstvy nálezu kostry studna severo-jižní půda") for i in range(20)]
+    rows += [(50 + i, "f", i, f"Hlavička č1sla 7\ns0ndy vrst\\/y ko5try stu-\ndna a severo-\njižní p@da k0s-\ntry {i}") for i in range(3)]
+    one = repaired(spark, rows)
+    assert one[50]["text"] == "sondy vrstvy kostry studna a severo-jižní půda kostry 0" or one[50]["misread"]
+    for share, bits in ((0.0, 1 << 26), (1.0, 1 << 26), (1.0, 1 << 15)):
+        monkeypatch.setattr(scans, "HOT_SHARE", share)
+        monkeypatch.setattr(scans, "BITMAP_BITS", bits)
+        assert repaired(spark, rows) == one
+
+
+def test_a_correction_is_applied_once(spark):
+    # a1fa reads alfa, and alfa is rare against alta
+    rows = [(i, "m", None, "alta " * 40) for i in range(3)] + [(10 + i, "m", None, "alfa") for i in range(4)] + [(20, "f", 1, "Vrstva a1fa byla alfa.")]
+    done = repaired(spark, rows)
+    assert done[20]["text"] in ("Vrstva alfa byla alta.", "Vrstva alta byla alta.") and done[20]["misread"]
+    assert scans.read_right("a1fa b", lambda w: {"a1fa": "alfa", "alfa": "alta"}.get(w, False)) == ("alfa b", True)
+
+
+def test_words_over_three_lines_and_their_compounds(spark):
+    rows = [(i, "m", None, "severo-jižně pohled") for i in range(5)]
+    rows += [(20, "f", 1, "Tu leží vy-\nko-\npávka celá."), (21, "f", 2, "Směr severo-\njižně-\npohled tu.")]
+    done = repaired(spark, rows)
+    assert done[20]["text"] == "Tu leží vykopávka celá." and done[20]["divided"]
+    assert done[21]["text"] == "Směr severo-jižněpohled tu."
+    assert set(scans.divisions("vy-\nko-\npávka")) == {"vy\t-\tko", "ko\t-\tpávka", "vyko\t-\tpávka"}
+
+
+def test_headers_of_many_lines_and_headers_misread_at_both_ends(spark):
+    head = ["Ústav archeologie", "Zpráva o výzkumu města Lhota", "Oddíl terénních prací"]
+    bodies = ["Plocha byla čistá.", "Stěny byly šikmé.", "Jáma měla oblé dno.", "Sonda byla prázdná.", "Výplň byla šedá."]
+    rows = [(i, "f", i + 1, "\n".join([*head, b, f"Dno leželo {i} m hluboko.", "Konec popisu této plochy."])) for i, b in enumerate(bodies)]
+    log = spark.createDataFrame(rows, "k long, file string, page_num int, t string")
+    found = scans.furniture(scans.edge_lines(scans.noted(log)), None)
+    drop = {r["k"]: sorted(r["drop"]) for r in scans.marked_pages(found).collect()}
+    assert all(drop[i][:3] == [0, 1, 2] and 3 not in drop[i] for i in range(5))
+    wrong = "Zprxva o výzkumu města Lhoxa"
+    rows[2] = (2, "f", 3, rows[2][3].replace(head[1], wrong))
+    log = spark.createDataFrame(rows, "k long, file string, page_num int, t string")
+    found = scans.furniture(scans.edge_lines(scans.noted(log)), None).where("is_header and line_no = 1")
+    assert {r["k"] for r in found.collect()} == set(range(5))
+
+
+def test_signatures_and_bitmaps_agree_with_their_columns(spark):
+    words = ["k0st!", "vrst\\/y", "kóst's", "ĺ|1liíł", "Čс(c", "žz23зз", "\U0001d400x", "m-n"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r[0]: r[1] for r in df.select("w", scans.signature_column(F.col("w"))).collect()}
+    assert got == {w: scans.signature(w) for w in words}
+    bits = scans.bitmap(df, F.col("w"))
+    assert all(scans.may_hold(bits, w) for w in words) and sum(map(int.bit_count, bits)) == len(words)
+    assert len(scans.bitmap(df.limit(0), F.col("w"))) * 8 == scans.BITMAP_BITS
 
 
 # 4 language
