@@ -25,6 +25,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -62,8 +63,8 @@ SIGN_CONFUSIONS = {
 DIVISION_MARKS = "-\u00ac\u00ad\u2010="
 
 _word = re.compile(r"[^\W\d_]+(?:['\u2019\-\u2010\u2011][^\W\d_]+)*")
-_divided = re.compile(rf"([^\W\d_]+)([{re.escape(DIVISION_MARKS)}])[ \t]*\n[ \t]*([^\W\d_]+)")
-_division = re.compile(rf"([^\W\d_]+)([{re.escape(DIVISION_MARKS)}])[ \t]*\n[ \t]*(?=([^\W\d_]+))")
+_break = re.compile(rf"[{re.escape(DIVISION_MARKS)}][ \t]*\n[ \t]*")
+_letters = re.compile(r"[^\W\d_]+")
 _space = re.compile(r"(\s+)")
 _outer = "„“”\"«»[]…"
 _sign = re.compile(r"\\/|[01|!+@(5629838'$€<]")
@@ -87,6 +88,11 @@ def folded(line: str) -> str:
     return "".join(c for c in t.translate(_fold_signs) if c.isalnum())
 
 
+@lru_cache(1 << 17)
+def folded_word(word: str) -> str:
+    return folded(word) or word.lower()
+
+
 def roman(text: str) -> int | None:
     value = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
     n = [value[c] for c in text.lower()]
@@ -119,7 +125,7 @@ def edges(text: str) -> list[tuple]:
             flows = True
         # halves of a divided word are text, however often they are repeated
         half = (prev.endswith(tuple(DIVISION_MARKS)) and body[:1].islower()) or (body.endswith(tuple(DIVISION_MARKS)) and nxt[:1].islower())
-        words = sorted({folded(w) or w.lower() for w in body.split()})
+        words = [] if flows else sorted(set(map(folded_word, body.split())))
         return (i, side, depth, "" if flows and half else folded(body), int(digits) if digits else None, digits or None, words, flows)
 
     feet = range(n - 1, max(n - 1 - EDGE_LINES, -1), -1)
@@ -139,28 +145,55 @@ def edges(text: str) -> list[tuple]:
     return [x for x in found.values() if x is not None]
 
 
+def _is_letter(c: str) -> bool:
+    return c.isalnum() and not c.isdecimal()
+
+
+def _breaks(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, mark, right half) of every mark at a line end between two letters."""
+    for m in _break.finditer(text):
+        a, b = m.span()
+        if a and _is_letter(text[a - 1]) and (right := _letters.match(text, b)):
+            yield a, b, text[a], right[0]
+
+
+def _left(text: str, end: int, start: int = 0) -> str:
+    """The letters right before ``end``."""
+    i = end
+    while i > start and _is_letter(text[i - 1]):
+        i -= 1
+    return text[i:end]
+
+
 def divisions(text: str) -> list[str]:
     """The divided words of a text as left TAB mark TAB right, in lower case; of a word over several lines every half with
     the next, and with all before it."""
-    out = []
-    while True:
-        pairs = [m.groups() for m in _division.finditer(text)]
-        out += ["\t".join(x).lower() for x in pairs if x[2][:1].islower()]
-        if len(pairs) < 2:
-            return out
-        whole = undivided(text, once=True)
-        if whole == text or not _divided.search(whole):
-            return out
-        text = whole
-
-
-def undivided(text: str, by: str = "", once: bool = False) -> str:
-    """A text with all its divided words joined ``by`` something."""
-    while True:
-        whole = _divided.sub(lambda m: m[1] + by + m[3] if m[3][:1].islower() else m[0], text)
-        if once or whole == text:
-            return whole
-        text = whole
+    out, last, lefts = [], -1, []
+    for a, b, mark, right in _breaks(text):
+        word = _left(text, a)
+        lefts = [*[x + word for x in lefts], word] if a - len(word) == last else [word]
+        last = b
+        if right[:1].islower():
+            out += [f"{x}\t{mark}\t{right}".lower() for x in lefts]
+    return out
+
+
+def rejoined(text: str, decide) -> str:
+    """A text with its divided words joined, from left to right; ``decide`` gives for (left, mark, right) what to join them by,
+    or ``None`` to leave them; ``left`` holds all halves joined before."""
+    out, last, carried = [], 0, ""
+    for a, b, mark, right in _breaks(text):
+        word = _left(text, a, last)
+        whole = carried + word if a - len(word) == last else word
+        by = decide(whole, mark, right)
+        if by is not None:
+            out += [text[last:a], by]
+            last, carried = b, "" if by else whole
+    return "".join([*out, text[last:]]) if out else text
+
+
+def undivided(text: str) -> str:
+    return rejoined(text, lambda left, mark, right: "" if right[:1].islower() else None)
 
 
 def core(word: str) -> str:
@@ -168,20 +201,22 @@ def core(word: str) -> str:
     return word.strip(_outer).rstrip(".,;:?)\u201c\u201d\"\u00bb]").lstrip("(\u201e\u00ab")
 
 
-def page_tokens(text: str) -> list[str]:
-    """The words of a page as recognised, in lower case, with divided words joined."""
-    return [w.lower() for w in map(core, undivided(text).split()) if w]
+@lru_cache(1 << 17)
+def bare(word: str) -> str:
+    return core(word).lower()
 
 
 def page_words(text: str) -> set[str]:
     """All words that may stand on a page after its divided words are joined or kept, and its divided words."""
-    out = {w.lower() for w in map(core, text.split()) if w}
-    if _divided.search(text):
-        for by in ("", "-"):
-            out.update(w.lower() for w in map(core, undivided(text, by).split()) if w)
-        for x in divisions(text):
-            left, _, right = x.split("\t")
-            out.add(f"{left}\t{right}")
+    words = set(text.split())
+    pairs = divisions(text)
+    if _break.search(text):
+        words.update(undivided(text).split(), rejoined(text, lambda left, mark, right: "-").split())
+    out = set(map(bare, words))
+    out.discard("")
+    for x in pairs:
+        left, _, right = x.split("\t")
+        out.add(f"{left}\t{right}")
     return out
 
 
@@ -279,7 +314,11 @@ def counted(df: DataFrame, text: str, page: str) -> DataFrame:
         words, tokens, divided = Counter(), Counter(), Counter()
 
         def out():
-            rows = [(k, w, n) for k, c in (("w", words), ("p", tokens), ("h", divided)) for w, n in c.items()]
+            bared = Counter()
+            for w, n in tokens.items():
+                bared[bare(w)] += n
+            bared.pop("", None)
+            rows = [(k, w, n) for k, c in (("w", words), ("p", bared), ("h", divided)) for w, n in c.items()]
             for c in (words, tokens, divided):
                 c.clear()
             for i in range(0, len(rows), 100_000):
@@ -295,7 +334,7 @@ def counted(df: DataFrame, text: str, page: str) -> DataFrame:
                     continue
                 words.update(_word.findall(t.lower()))
                 if on_page:
-                    tokens.update(page_tokens(t))
+                    tokens.update(undivided(t).split())
                     divided.update(divisions(t))
                 if len(words) + len(tokens) > FLUSH_WORDS:
                     yield from out()
@@ -377,10 +416,11 @@ def noted(pages: DataFrame, bits: bytes | None = None) -> DataFrame:
 
     def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
+        told = lru_cache(1 << 17)(lambda w: may_hold(known, w))
         for batch in batches:
             texts = batch.column(3).to_pylist()
             lines = [[dict(zip(names, (*x[:3], x[3] or None, *x[4:]))) for x in edges(t)] for t in texts]
-            words = [[w for w in page_words(t) if may_hold(known, w)] if known else [] for t in texts]
+            words = [list(filter(told, page_words(t))) if known else [] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(lines, pa.list_(line)), pa.array(words, pa.list_(s))],
                 names=["k", "file", "page_num", "lines", "suspects"],
@@ -487,36 +527,31 @@ def joined(body: str, keep) -> tuple[str, bool]:
     """(text with its divided words joined, whether one was); ``keep`` tells of left TAB right whether its hyphen stays."""
     found = False
 
-    def join(m: re.Match) -> str:
+    def by(left: str, mark: str, right: str) -> str | None:
         nonlocal found
-        if not m[3][:1].islower() or keep(f"{m[1]}\t{m[3]}".lower()):
-            return f"{m[1]}-{m[3]}" if m[2] in "-\u2010" else m[0]
+        if not right[:1].islower() or keep(f"{left}\t{right}".lower()):
+            return "-" if mark in "-\u2010" else None
         found = True
-        return m[1] + m[3]
+        return ""
 
-    while (whole := _divided.sub(join, body)) != body:
-        body = whole
-    return body, found
+    return rejoined(body, by), found
 
 
 def read_right(text: str, wrong) -> tuple[str, bool]:
     """(text with its misread words corrected where the right one is known, whether one was misread); ``wrong`` gives the
     right form of a word, ``None`` where it is misread but unknown and ``False`` where it is not misread."""
-    found = False
+    misread = {w for w in set(text.split()) if bare(w) and wrong(bare(w)) is not False}
+    if not misread:
+        return text, False
 
     def read(word: str) -> str:
-        nonlocal found
-        bare = core(word)
-        right = wrong(bare.lower()) if bare else False
-        if right is False:
-            return word
-        found = True
+        right, inner = wrong(bare(word)), core(word)
         if not right:
             return word
-        right = right.upper() if bare.isupper() else right[:1].upper() + right[1:] if bare[:1].isupper() else right
-        return word.replace(bare, right, 1)
+        right = right.upper() if inner.isupper() else right[:1].upper() + right[1:] if inner[:1].isupper() else right
+        return word.replace(inner, right, 1)
 
-    return "".join(read(w) if i % 2 == 0 else w for i, w in enumerate(_space.split(text))), found
+    return "".join(read(w) if w in misread else w for w in _space.split(text)), True
 
 
 def paragraphs(body: str) -> str:
