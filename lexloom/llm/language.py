@@ -15,7 +15,11 @@ consistent form.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import samples
-from .visual_forms import _suspect, unify
+from .visual_forms import _suspect, unify, unify_letter
 
-LANGUAGES = ("cs", "de", "en", "pl", "sk", "uk")
 #: Bounds of the sample a model is fitted on.
 SAMPLE_DOCS, SAMPLE_BYTES = 300, 300_000
 ORDER = 5
@@ -35,10 +38,11 @@ MARGIN_BITS, MARGIN_RATE = 20.0, 0.45
 ALIEN_RATE, LEAST_LETTERS = 4.2, 10
 BLOCK_BYTES = 1 << 20
 
-# Codes of the languages in two and three letters (ISO 639).
+# Three-letter codes of languages beside their two-letter ones (ISO 639).
 CODES = {
-    "cs": "cs", "cze": "cs", "ces": "cs", "sk": "sk", "slk": "sk", "slo": "sk", "pl": "pl", "pol": "pl",
-    "de": "de", "ger": "de", "deu": "de", "en": "en", "eng": "en", "uk": "uk", "ukr": "uk",
+    "cze": "cs", "ces": "cs", "slk": "sk", "slo": "sk", "pol": "pl", "ger": "de", "deu": "de", "eng": "en", "ukr": "uk",
+    "rus": "ru", "fra": "fr", "fre": "fr", "ita": "it", "spa": "es", "hun": "hu", "slv": "sl", "hrv": "hr", "bul": "bg",
+    "nld": "nl", "dut": "nl", "lat": "la", "lav": "lv", "lit": "lt", "est": "et", "ron": "ro", "rum": "ro", "hin": "hi",
 }
 
 _fold = np.arange(256, dtype=np.uint8)
@@ -196,7 +200,7 @@ class _Lookup:
 
 
 class Sentences:
-    """Per sentence of a block of texts: its text, byte range, letters and bits by language."""
+    """Per sentence of a block of texts: its text, its range in bytes and characters, letters and bits by language."""
 
     def __init__(self, model: PpmModel, texts: list[str]):
         pad = b" " * model.order
@@ -239,6 +243,8 @@ class Sentences:
             sums, self.letters = np.zeros((0, n)), np.zeros(0, dtype=np.int64)
         self.owner, self.bits = owner, sums
         self.start, self.end = starts - first[owner], ends - first[owner]
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # of UTF-8: bytes that begin one
+        self.char_start, self.char_end = chars[starts] - chars[first[owner]], chars[ends] - chars[first[owner]]
 
 
 def judged(model: PpmModel, texts: list[str]) -> tuple[Sentences, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,20 +283,33 @@ def blocks(texts: list[str], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
 
 
 def train(documents: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> PpmModel:
-    """A model of all languages of ``LANGUAGES`` from a bounded sample of rightly labelled documents."""
-    usable = documents.where(F.col(label).isin(*LANGUAGES) & (F.length(text) > 0))
-    rows = samples.per_class(usable, label, key, [label, text, key], SAMPLE_DOCS)
-    by: dict[str, list[str]] = {c: [] for c in LANGUAGES}
+    """A model of every language that labels of ``documents`` name, from a bounded sample of each."""
+    usable = documents.where(F.length(text) > 0).select(named_language(F.col(label)).alias("_label"), F.col(text).alias("_text"), F.col(key).alias("_key"))
+    rows = samples.per_class(usable.where("_label is not null"), "_label", "_key", ["_label", "_text", "_key"], SAMPLE_DOCS)
+    by: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: str(r[2])):
-        by[r[0]].append(unify(r[1]))
-    return PpmModel({c: t for c, t in by.items() if t})
+        by.setdefault(r[0], []).append(unify(r[1]))
+    return PpmModel(by)
 
 
 def label_code(label: str | None) -> str | None:
-    """The two-letter code that a label names, ``None`` if it names no language of ``LANGUAGES``."""
+    """The two-letter code that a label names; of other labels the part before the region; ``None`` for what is no code."""
     if label is None:
         return None
-    return CODES.get(label.strip().lower().replace("_", "-").split("-")[0])
+    code = label.strip(" ").lower().replace("_", "-").split("-")[0]
+    return CODES.get(code, code) if re.fullmatch("[a-z]{2,3}", code) else None
+
+
+def places(text: str, form: str, bounds: list[int]) -> list[int]:
+    """Where places of the consistent form stand in the text it was made of: both are followed by their letters and marks with
+    a shape, which the form keeps in number and order."""
+    if text == form:
+        return bounds
+    shaped = lambda c: sum(not x.isspace() and not unicodedata.combining(x) for x in unicodedata.normalize("NFD", c))
+    before = list(accumulate((shaped(c) for c in form), initial=0))
+    soft = lambda i: text[i] == "\u00ad" and text[i + 1 : i + 3].lstrip("\r")[:1] == "\n"
+    after = list(accumulate((1 if soft(i) else shaped(unify_letter(c)) for i, c in enumerate(text)), initial=0))
+    return [bisect_left(after, before[b]) if b < len(form) else len(text) for b in bounds]
 
 
 STRETCHES = "k long, label string, lang string, confidence double, start int, end int, n_languages int"
@@ -298,7 +317,7 @@ STRETCHES = "k long, label string, lang string, confidence double, start int, en
 
 def stretches(df: DataFrame, model: PpmModel, key: str, text: str, label: str) -> DataFrame:
     """One row for every stretch of one language of every text: (``k``, ``label``, ``lang``, ``confidence``, ``start``,
-    ``end`` in UTF-8 bytes of the consistent form, ``n_languages`` of the text). Texts of no language give no row."""
+    ``end`` in characters of the text as stored, ``n_languages`` of the text). Texts of no language give no row."""
     if not model.languages:  # nothing to learn from
         return df.sparkSession.createDataFrame([], STRETCHES)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE_BYTES a language
@@ -308,13 +327,14 @@ def stretches(df: DataFrame, model: PpmModel, key: str, text: str, label: str) -
         names = np.array(m.languages, dtype=object)
         for batch in batches:
             keys, labels = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
-            texts = [unify(t) if t and _suspect.search(t) else t or "" for t in batch.column(1).to_pylist()]
+            stored = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [unify(t) if _suspect.search(t) else t for t in stored]
             for a, b in blocks(texts):
                 s, language, main, confidence = judged(m, texts[a:b])
                 if not len(s.owner):
                     continue
                 use = language >= 0
-                owner, lang, start, end, bits = s.owner[use], language[use], s.start[use], s.end[use], s.bits[use]
+                owner, lang, bits = s.owner[use], language[use], s.bits[use]
                 if not len(owner):
                     continue
                 new = np.append(True, (owner[1:] != owner[:-1]) | (lang[1:] != lang[:-1]))
@@ -327,14 +347,17 @@ def stretches(df: DataFrame, model: PpmModel, key: str, text: str, label: str) -
                 pair = np.unique(owner.astype(np.int64) * 64 + lang)
                 n_langs = np.bincount(pair // 64, minlength=b - a)
                 own = owner[at]
+                start, end = s.char_start[use][at], s.char_end[use][last]
+                for i in np.flatnonzero([stored[a + o] is not texts[a + o] for o in own.tolist()]).tolist():
+                    start[i], end[i] = places(stored[a + own[i]], texts[a + own[i]], [int(start[i]), int(end[i])])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(keys[a:b][own], pa.int64()),
                         pa.array([labels[a + i] for i in own.tolist()], pa.string()),
                         pa.array(names[lang[at]], pa.string()),
                         pa.array(sure, pa.float64()),
-                        pa.array(start[at], pa.int32()),
-                        pa.array(end[last], pa.int32()),
+                        pa.array(start, pa.int32()),
+                        pa.array(end, pa.int32()),
                         pa.array(n_langs[own], pa.int32()),
                     ],
                     names=["k", "label", "lang", "confidence", "start", "end", "n_languages"],
@@ -346,7 +369,7 @@ def stretches(df: DataFrame, model: PpmModel, key: str, text: str, label: str) -
 def named_language(label):
     """Column form of :func:`label_code`."""
     code = F.element_at(F.split(F.regexp_replace(F.lower(F.trim(label)), "_", "-"), "-"), 1)
-    return F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), code)
+    return F.when(code.rlike("^[a-z]{2,3}$"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv]), code), code))
 
 
 def wrong_labels(df: DataFrame, model: PpmModel, key: str, text: str, label: str, min_chars: int) -> DataFrame:
