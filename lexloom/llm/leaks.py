@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -117,26 +118,43 @@ class Items:
         return best if best[2] >= self.window else None
 
 
+_automata: dict[str, Items] = {}
+
+
+def _automaton(name: str, group) -> Items:
+    """The automaton of a group, built once a worker; the last two are kept."""
+    if name not in _automata:
+        while len(_automata) > 1:
+            _automata.pop(next(iter(_automata)))
+        _automata[name] = Items(group.value)
+    return _automata[name]
+
+
+def grouped(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """The items in groups of at most ``MAX_ITEM_CHARS``, one at a time."""
+    group, size = [], 0
+    for r in items.toLocalIterator():
+        if size + len(r[1]) > MAX_ITEM_CHARS and group:
+            yield group
+            group, size = [], 0
+        group.append((str(r[0]), r[1]))
+        size += len(r[1])
+    yield group
+
+
 SCHEMA = "k long, item_id string, words int, start int, end int"
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str, text: str, item_id: str, item_text: str) -> DataFrame:
     """(``k``, ``item_id``, ``words``, ``start``, ``end``): items found in documents, with the longest stretch of each."""
     held = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(item_id, item_text).distinct()
-    groups: list[list[tuple[str, str]]] = [[]]
-    size = 0
-    for r in held.orderBy(item_id, item_text).toLocalIterator():
-        if size + len(r[1]) > MAX_ITEM_CHARS and groups[-1]:
-            groups.append([])
-            size = 0
-        groups[-1].append((str(r[0]), r[1]))
-        size += len(r[1])
     out = None
-    for group in groups:
-        shared = docs.sparkSession.sparkContext.broadcast(group)  # at most MAX_ITEM_CHARS
+    for group in grouped(held.orderBy(item_id, item_text)):
+        shared = docs.sparkSession.sparkContext.broadcast(group)  # at most MAX_ITEM_CHARS, or one item
+        name = uuid.uuid4().hex
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = Items(shared.value)
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(name, shared)
             for batch in batches:
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 rows = []
