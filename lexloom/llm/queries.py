@@ -14,6 +14,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("seg_a"), F.col("b").alias("seg_b"))
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class of texts that look the same: its representative (the first row), its rows and its spellings."""
+    rows = visual_forms.lookalike_classes(load(spark, sf_dir, "qa_log"), "seg_id", "text_auto", 40).distinct()
+    by = rows.groupBy(F.hex("form_id").alias("form_id"), "text_id").agg(F.min("k").alias("k"), F.count("*").alias("n"))
+    return by.groupBy("form_id").agg(F.min("k").alias("representative"), F.sum("n").alias("n_rows"), F.count("*").alias("n_spellings"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = pieces.oversized_pieces(load(spark, sf_dir, "qa_log"), load(spark, sf_dir, "runs"), "seg_id", "text_auto")
     kind = F.when(F.col("cut.longest_stretch") > F.col("chunk_limit"), "solid").otherwise("plain")
@@ -64,6 +71,10 @@ def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, kinds, "doc_id", "text", "source", materialize)
 
 
+def p6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.mixtures(p6_pack(spark, sf_dir))
+
+
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fills(p6_pack(spark, sf_dir))
 
@@ -85,14 +96,27 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("is_cut").select(F.col("k").alias("doc_id")).distinct()
 
 
+def p8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``p8_found`` with what tells that they are cut."""
+    found = cut_off.find_cut(load(spark, sf_dir, "documents"), "doc_id", "text", "source", materialize)
+    return found.where("is_cut").select(F.col("k").alias("doc_id"), "source", "reason").distinct()
+
+
 def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_off.cut_share(
         cut_off.find_cut(load(spark, sf_dir, "documents"), "doc_id", "text", "source", materialize)
-    )
+    ).drop("field")
+
+
+def p8_log_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share cut of each column of the log, by file: at spikes only."""
+    log = load(spark, sf_dir, "qa_log").dropDuplicates(["seg_id"])
+    return cut_off.cut_share(cut_off.find_cut(log, "seg_id", ["text_auto", "text_en"], "file", materialize, False))
 
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
@@ -102,10 +126,13 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_pack": p6_pack,
     "p6_fill": p6_fill,
+    "p6_mixture": p6_mixture,
     "p7_found": p7_found,
     "p7_spans": p7_spans,
     "p8_found": p8_found,
     "p8_share": p8_share,
+    "p8_reasons": p8_reasons,
+    "p8_log_share": p8_log_share,
 }
 
 #: SQL where DuckDB can state the same result over whole tables in reasonable time.
