@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -55,26 +58,77 @@ def summary(segments: DataFrame) -> DataFrame:
     )
 
 
-def chrf(hypothesis: Column, reference: Column, order: int = 3, beta: float = 2.0) -> Column:
-    """Mean character n-gram F-score (n up to ``order``), in percent, white space left out; null without any n-gram."""
-    h, r = (F.regexp_replace(c, r"(?U)\s+", "") for c in (hypothesis, reference))
-
-    def grams(t: Column, n: int) -> Column:
-        last = F.length(t) - (n - 1)
-        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-    def score(n: int) -> Column:
-        a, b = grams(h, n), grams(r, n)
-
-        def both(total: Column, g: Column) -> Column:
-            return total + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g)))
-
-        shared = F.aggregate(F.array_distinct(a), F.lit(0), both)
-        p, q = F.try_divide(shared, F.size(a)), F.try_divide(shared, F.size(b))
-        return F.coalesce(F.try_divide((1 + beta * beta) * p * q, beta * beta * p + q), F.lit(0.0))
-
-    scores = [score(n) for n in range(1, order + 1)]
-    total = scores[0]
-    for s in scores[1:]:
-        total = total + s
-    return F.round(100 * total / order, 2)
+def _grams(items, order: int) -> list[Counter]:
+    """Counts of the n-grams of every n up to ``order``."""
+    n_items = len(items)
+    if isinstance(items, str):
+        return [Counter(items[i : i + n] for i in range(n_items - n + 1)) for n in range(1, order + 1)]
+    return [Counter(tuple(items[i : i + n]) for i in range(n_items - n + 1)) for n in range(1, order + 1)]
+
+
+def chrf_of(hypothesis: str, reference: str, order: int = 6, beta: float = 2.0) -> float:
+    """Character n-gram F-score in percent: mean precision and recall over the n that both texts have n-grams of, white space
+    left out; 0 where there is none."""
+    a, b = (_grams("".join(t.split()), order) for t in (hypothesis, reference))
+    ratios = [((x & y).total(), x.total(), y.total()) for x, y in zip(a, b) if x and y]
+    if not ratios:
+        return 0.0
+    p, r = (sum(m[0] / m[j] for m in ratios) / len(ratios) for j in (1, 2))
+    return round(100 * (1 + beta * beta) * p * r / (beta * beta * p + r), 2) if p + r else 0.0
+
+
+# The rules of the public mteval-v13a tokenizer.
+ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
+TOKEN_RULES = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
+)
+_rules = [(re.compile(a), b) for a, b in TOKEN_RULES]
+
+
+def mt_tokens(text: str) -> list[str]:
+    text = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for entity, sign in ENTITIES:
+        text = text.replace(entity, sign)
+    text = f" {text} "
+    for rule, by in _rules:
+        text = rule.sub(by, text)
+    return text.split()
+
+
+def bleu_of(hypothesis: str, reference: str, order: int = 4) -> float:
+    """Sentence BLEU in percent: tokens of mteval-v13a, n-grams as far as the hypothesis has any, empty matches halved again
+    and again, brevity penalty."""
+    h, r = mt_tokens(hypothesis), mt_tokens(reference)
+    logs, halved, any_match = [], 1, False
+    for x, y in zip(_grams(h, order), _grams(r, order)):
+        if not x:
+            break
+        match = (x & y).total()
+        any_match = any_match or match > 0
+        if not match:
+            halved *= 2
+        logs.append(math.log(match / x.total() if match else 1 / (halved * x.total())))
+    if not any_match:
+        return 0.0
+    brevity = 0.0 if len(h) >= len(r) else 1 - len(r) / len(h)
+    return round(100 * math.exp(brevity + sum(logs) / len(logs)), 2)
+
+
+def _scored(score, hypothesis: Column, reference: Column) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for a, b in pairs:
+            yield pd.Series([None if x is None or y is None else score(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return run(hypothesis, reference)
+
+
+def chrf(hypothesis: Column, reference: Column) -> Column:
+    """Column form of :func:`chrf_of`; null if either is null."""
+    return _scored(chrf_of, hypothesis, reference)
+
+
+def bleu(hypothesis: Column, reference: Column) -> Column:
+    """Column form of :func:`bleu_of`; null if either is null."""
+    return _scored(bleu_of, hypothesis, reference)

@@ -9,7 +9,7 @@ from ..functions import text as fx
 from ..operators import evaluation, glossary
 from ..session import load
 from .language import _VOCAB
-from .oracles import trim
+from .oracles import trim, words
 from .registry import query
 
 
@@ -82,10 +82,51 @@ def refs_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file", "id", "backend").distinct().join(refs, key == F.col("file_id"), "left").select("file", "id", "backend", "reference")
 
 
-@query()
-def chrf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Character n-gram F-score of every backend's translation against the first backend's."""
+_SCORED = """
+    seg AS (SELECT DISTINCT file, id, backend, src, tgt FROM eval_rows),
+    refs AS (SELECT file, id, min(tgt) AS reference FROM seg WHERE backend = 'remote_nmt' GROUP BY ALL),
+    pairs AS MATERIALIZED (SELECT row_number() OVER () AS i, file, id, backend, coalesce(tgt, '') AS h, coalesce(reference, '') AS r FROM seg JOIN refs USING (file, id))"""
+
+
+def _against_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _segments(spark, sf_dir)
     refs = rows.where("backend = 'remote_nmt'").groupBy("file", "id").agg(F.min("tgt").alias("reference"))
-    scored = rows.join(refs, ["file", "id"])
-    return scored.select("file", "id", "backend", evaluation.chrf(F.coalesce("tgt", F.lit("")), F.coalesce("reference", F.lit(""))).alias("chrf"))
+    return rows.join(refs, ["file", "id"]).withColumns({"h": F.coalesce("tgt", F.lit("")), "r": F.coalesce("reference", F.lit(""))})
+
+
+@query(
+    f"""WITH {_SCORED},
+    bare AS (SELECT i, array_to_string({words("h")}, '') AS h, array_to_string({words("r")}, '') AS r FROM pairs),
+    sides AS (SELECT i, 'h' AS side, h AS t FROM bare UNION ALL SELECT i, 'r', r FROM bare),
+    places AS (SELECT i, side, t, n, unnest(generate_series(1, length(t) - n + 1)) AS k FROM sides, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS n)),
+    grams AS (SELECT i, n, substr(t, k, n) AS g, count(*) FILTER (side = 'h') AS a, count(*) FILTER (side = 'r') AS b FROM places GROUP BY i, n, substr(t, k, n)),
+    ratios AS (SELECT i, n, sum(least(a, b)) / sum(a) AS p, sum(least(a, b)) / sum(b) AS q FROM grams GROUP BY i, n HAVING sum(a) > 0 AND sum(b) > 0),
+    means AS (SELECT i, avg(p) AS p, avg(q) AS q FROM ratios GROUP BY i)
+    SELECT file, id, backend, CASE WHEN p + q > 0 THEN round(100 * 5 * p * q / (4 * p + q), 2) ELSE 0.0 END AS chrf FROM pairs LEFT JOIN means USING (i)"""
+)
+def chrf_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character n-gram F-score of every backend's translation against the first backend's."""
+    return _against_first(spark, sf_dir).select("file", "id", "backend", evaluation.chrf(F.col("h"), F.col("r")).alias("chrf"))
+
+
+_MT = r"""string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    ' ' || replace(replace(replace(replace(replace(replace(replace({0}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' ',
+    '([\{{-~\[-` -&(-+:-@/])', ' \1 ', 'g'), '([^0-9])([.,])', '\1 \2 ', 'g'), '([.,])([^0-9])', ' \1 \2', 'g'), '([0-9])(-)', '\1 \2 ', 'g'),
+    '[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g')), ' ')"""
+
+
+@query(
+    f"""WITH {_SCORED},
+    tokens AS (SELECT i, list_filter({_MT.format("h")}, lambda x: x <> '') AS h, list_filter({_MT.format("r")}, lambda x: x <> '') AS r FROM pairs),
+    sides AS (SELECT i, 'h' AS side, h AS t FROM tokens UNION ALL SELECT i, 'r', r FROM tokens),
+    places AS (SELECT i, side, t, n, unnest(generate_series(1, len(t) - n + 1)) AS k FROM sides, (SELECT unnest([1, 2, 3, 4]) AS n)),
+    grams AS (SELECT i, n, t[k : k + n - 1] AS g, count(*) FILTER (side = 'h') AS a, count(*) FILTER (side = 'r') AS b FROM places GROUP BY i, n, t[k : k + n - 1]),
+    hits AS (SELECT i, n, sum(least(a, b)) AS m, sum(a) AS total FROM grams GROUP BY i, n HAVING sum(a) > 0),
+    smooth AS (SELECT *, count(*) FILTER (m = 0) OVER (PARTITION BY i ORDER BY n) AS misses FROM hits),
+    logs AS (SELECT i, avg(ln(CASE WHEN m > 0 THEN m / total ELSE 1 / (pow(2, misses) * total) END)) AS l, sum(m) AS m FROM smooth GROUP BY i)
+    SELECT file, id, backend, CASE WHEN m > 0 THEN round(100 * exp(l + CASE WHEN len(t.h) < len(t.r) THEN 1 - len(t.r) / len(t.h) ELSE 0 END), 2) ELSE 0.0 END AS bleu
+    FROM pairs JOIN tokens t USING (i) LEFT JOIN logs USING (i)"""
+)
+def bleu_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence BLEU of every backend's translation against the first backend's."""
+    return _against_first(spark, sf_dir).select("file", "id", "backend", evaluation.bleu(F.col("h"), F.col("r")).alias("bleu"))
