@@ -10,7 +10,7 @@ from ..session import load
 from ..sinks import writers
 from ..sources import xml_nodes
 from .registry import query
-from .sources import _metadata_files
+from .sources import PREFIXES, _metadata_files
 
 
 @query(
@@ -39,7 +39,7 @@ def run_log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def metadata_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Described texts translated in place and read again from the rewritten files."""
     files = _metadata_files(spark, sf_dir).where("content is not null")
-    hits = xml_nodes.fields(xml_nodes.node_table(files), ["//amcr:dokument/amcr:popis"])
+    hits = xml_nodes.fields(files, ["//amcr:dokument/amcr:popis"], PREFIXES)
     changes = hits.select("doc_id", "node_id", F.lit("text").alias("kind"), F.concat(F.lit("EN:"), "original").alias("value"), F.lit(0).alias("ord"))
-    again = xml_nodes.fields(xml_nodes.node_table(writers.rewritten(files, changes)), ["//amcr:dokument/amcr:popis"])
+    again = xml_nodes.fields(writers.rewritten(files, changes), ["//amcr:dokument/amcr:popis"], PREFIXES)
     return again.select("doc_id", F.col("original").alias("text"))

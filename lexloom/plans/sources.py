@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from ..operators import layout
 from ..session import load
+from ..sinks import writers
 from ..sources import readers, xml_nodes
 from ..streaming import streams
 from .language import _VOCAB
@@ -103,12 +104,17 @@ def alto_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml_nodes.layout_strings(_alto_files(spark, sf_dir))
 
 
+#: What the namespaces of the record format and the envelope hold, and the one that stands in for a record's.
+PREFIXES = {"amcr": ("amcr", "https://api.example/schema/amcr/2.2/"), "oai": ("OAI-PMH", None)}
+
+
 def _metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     xml = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><oai:OAI-PMH xmlns:oai="http://www.openarchives.org/OAI-PMH/2.0/"><oai:record>'),
         F.lit('<amcr:amcr xmlns:amcr="https://api.example/schema/amcr/2.1/"><amcr:dokument><amcr:popis>'), _escaped(F.col("text")),
-        F.lit("<amcr:b/>tail</amcr:popis><amcr:typ>"), F.coalesce("kind", F.lit("")), F.lit("</amcr:typ></amcr:dokument></amcr:amcr></oai:record></oai:OAI-PMH>"),
+        F.lit("<amcr:b/>tail</amcr:popis><amcr:typ>"), F.coalesce("kind", F.lit("")), F.lit('</amcr:typ><x:typ xmlns:x="urn:x">foreign</x:typ><amcr:poznamka druh="a">first</amcr:poznamka><amcr:poznamka druh="a">second</amcr:poznamka>'),
+        F.lit('<amcr:poznamka druh="b">other</amcr:poznamka></amcr:dokument></amcr:amcr></oai:record></oai:OAI-PMH>'),
     )
     return docs.select("doc_id", xml.alias("content"))
 
@@ -116,20 +122,32 @@ def _metadata_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""WITH d AS (SELECT doc_id, replace(replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t, coalesce(kind, '') AS k FROM documents)
     SELECT doc_id, 0 AS xpath_ord, t AS original FROM d WHERE regexp_matches(t, '\S')
-    UNION ALL SELECT doc_id, 1, k FROM d WHERE regexp_matches(k, '\S')"""
+    UNION ALL SELECT doc_id, 1, k FROM d WHERE regexp_matches(k, '\S')
+    UNION ALL SELECT doc_id, 4, 'second' FROM d WHERE t IS NOT NULL
+    UNION ALL SELECT doc_id, 5, 'other' FROM d WHERE t IS NOT NULL
+    UNION ALL SELECT doc_id, 6, 'second' FROM d WHERE t IS NOT NULL"""
 )
 def xpath_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leading text of the described fields; a tail after a child element is not part of it."""
-    nodes = xml_nodes.node_table(_metadata_files(spark, sf_dir))
-    found = xml_nodes.fields(nodes, ["//amcr:dokument/amcr:popis", "/OAI-PMH/record//amcr:typ", "bad path["])
-    return found.select("doc_id", "xpath_ord", "original")
+    """The leading text of the described fields; a tail after a child element is not part of it, nor is an element of the
+    same name in another namespace."""
+    paths = [
+        "//amcr:dokument/amcr:popis", "/oai:OAI-PMH/oai:record//amcr:typ", "bad path[", "//nobody:typ", "//amcr:poznamka[2]",
+        "//amcr:poznamka[@druh='b']", "//amcr:poznamka[@druh='a'][last()]",
+    ]
+    return xml_nodes.fields(_metadata_files(spark, sf_dir), paths, PREFIXES).select("doc_id", "xpath_ord", "original")
 
 
 @query(
-    """SELECT doc_id, 'https://api.example/schema/amcr/2.1/' AS record_ns, 'http://www.openarchives.org/OAI-PMH/2.0/' AS oai_ns FROM documents WHERE text IS NOT NULL"""
+    """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://api.example/schema/amcr/2.1/' WHEN 1 THEN 'https://api.example/schema/amcr/2.0/' ELSE 'https://api.example/schema/amcr/2.2/' END AS record_ns,
+    CASE WHEN doc_id % 3 = 0 THEN 'http://www.openarchives.org/OAI-PMH/2.0/' END AS oai_ns FROM documents WHERE text IS NOT NULL"""
 )
 def namespace_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return xml_nodes.namespaces(xml_nodes.node_table(_metadata_files(spark, sf_dir).where("content is not null")))
+    """A third of the files declares both namespaces, a third one it does not use, a third none."""
+    unused = F.lit('<r xmlns:x="https://api.example/schema/amcr/2.0/" xmlns:y="https://api.example/schema/amcr/1.0/"><a/></r>')
+    kind = F.pmod("doc_id", F.lit(3))
+    files = _metadata_files(spark, sf_dir).where("content is not null")
+    files = files.withColumn("content", F.when(kind == 0, F.col("content")).when(kind == 1, unused).otherwise("<r><a/></r>"))
+    return xml_nodes.namespaces(xml_nodes.node_table(files), PREFIXES["amcr"][1])
 
 
 @query("SELECT doc_id, true AS same_outside, true AS texts_replaced FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S')")
@@ -184,17 +202,14 @@ def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of rewritten files: layout files keep both suffixes, others their own."""
     names = load(spark, sf_dir, "qa_log").select(F.col("file").alias("name")).distinct()
     given = F.concat("name", F.when(F.col("name").startswith("C-TX"), ".alto.xml").otherwise(".xml"))
-    base = F.regexp_replace(given, r"(?i)(\.alto)?\.xml$", "")
-    suffix = F.when(F.lower(given).endswith(".alto.xml"), ".alto.xml").otherwise(F.lit(".xml"))
-    return names.select("name", F.concat(base, F.lit("_en"), suffix).alias("output"))
+    return names.select("name", writers.output_name(given, "en").alias("output"))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n_events FROM events GROUP BY ALL")
 def stream_output_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = streams.event_stream(spark, sf_dir, "events", load(spark, sf_dir, "events").schema)
-    out = streams.appended(streams.counted(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "counts", "complete")
-    last = out.agg(F.max("batch")).first()[0]  # complete mode: the last batch holds the whole result
-    return out.where(F.col("batch") == last).select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n_events")
+    out = streams.appended(streams.counted(stream.withColumn("ts", F.col("ts").cast("timestamp"))), "counts", "update")
+    return streams.latest(out, ["w", "event_type"], "n_events").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n_events")
 
 
 @query(

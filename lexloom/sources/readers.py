@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.text import canonical_doc_id, ws_trim
 
@@ -56,12 +55,13 @@ def components(lines: DataFrame) -> DataFrame:
 def conllu(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(``key``, ``tok_idx``, ``word``, ``lemma``, ``number``) of CoNLL-U text: comments, blank and short lines, multi-word
     ranges and empty nodes are skipped; ``number`` is the value of that feature or ''."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    cells = F.split("line", "\t")
-    tokens = lines.where(~F.col("line").startswith("#") & (F.size(cells) >= 6) & ~cells[0].rlike("[-.]"))
-    number = F.regexp_extract(cells[5], r"(?:^|\|)Number=([^|]*)", 1)
-    out = tokens.select(key, "line_no", cells[1].alias("word"), cells[2].alias("lemma"), number.alias("number"))
-    return out.select(key, F.row_number().over(W.partitionBy(key).orderBy("line_no")).alias("tok_idx"), "word", "lemma", "number")
+    cells = F.transform(F.split(text, "\n"), lambda x: F.split(x, "\t"))
+    tokens = F.filter(cells, lambda c: ~c[0].startswith("#") & (F.size(c) >= 6) & ~c[0].rlike("[-.]"))  # numbered in the row: no shuffle
+    token = F.col("token")
+    number = F.regexp_extract(token[5], r"(?:^|\|)Number=([^|]*)", 1)
+    return docs.select(key, F.posexplode(tokens).alias("at", "token")).select(
+        key, (F.col("at") + 1).alias("tok_idx"), token[1].alias("word"), token[2].alias("lemma"), number.alias("number")
+    )
 
 
 def records(spark: SparkSession, path: str, current_major: int) -> DataFrame:
@@ -75,19 +75,32 @@ def records(spark: SparkSession, path: str, current_major: int) -> DataFrame:
 
 def bilingual(source: DataFrame, target: DataFrame) -> DataFrame:
     """Terms of two languages joined on their id as text; the last target of an id counts, blanks are dropped."""
-    last = F.row_number().over(W.partitionBy(F.col("id").cast("string")).orderBy(F.desc("ord")))
-    t = target.withColumn("_r", last).where("_r = 1").select(F.col("id").cast("string").alias("id"), F.col("label").alias("target"))
+    t = target.groupBy(F.col("id").cast("string").alias("id")).agg(F.max_by("label", "ord").alias("target"))
     s = source.select(F.col("id").cast("string").alias("id"), F.col("label").alias("term"))
     return s.join(t, "id").where("trim(term) <> '' and trim(target) <> ''")
 
 
 def model_pairs(payload: DataFrame, fallback: tuple[str, ...]) -> DataFrame:
-    """Model names of a catalogue answer (``value``: JSON); the fixed pairs where it cannot be read."""
+    """(``pair``): the models that catalogue answers (``value``: JSON) name, in an object or a plain list; an answer that is
+    no JSON stands for the fixed pairs, one of another form for none."""
     names = F.from_json("value", "struct<_embedded: struct<item: array<struct<model: string>>>>")["_embedded"]["item"]
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>"))
     known = F.array(*[F.lit(p) for p in fallback])
-    return payload.select(F.explode(F.coalesce(F.transform(names, lambda x: x["model"]), known)).alias("pair")).distinct()
+    given = F.coalesce(F.transform(names, lambda x: x["model"]), listed, F.array().cast("array<string>"))
+    readable = F.try_parse_json(F.col("value")).isNotNull()
+    return payload.select(F.explode(F.when(readable, given).otherwise(known)).alias("pair")).distinct()
 
 
-def label(by_lang, prefs: list[str]):
-    """The first non-blank label of a map by language preference."""
-    return F.coalesce(*[F.nullif(F.trim(by_lang[p]), F.lit("")) for p in prefs])
+def label(by_key, lists, prefs: list[str]):
+    """The first non-blank label by language preference: of keys that are or end with a language code, then of entries of
+    nested lists; ``by_key`` is a map of texts, ``lists`` an array of (``lang``, ``value``) or null."""
+
+    def entry(p: str):
+        own = F.filter(F.map_entries(by_key), lambda e: F.lower(e["key"]).endswith(p) & (F.trim(e["value"]) != ""))
+        return F.trim(F.get(own, F.lit(0))["value"])
+
+    out = [entry(p) for p in prefs]
+    if lists is not None:
+        nested = F.filter(lists, lambda e: F.lower(e["lang"]).isin(*prefs) & (F.trim(e["value"]) != ""))
+        out.append(F.trim(F.get(nested, F.lit(0))["value"]))
+    return F.coalesce(*out)

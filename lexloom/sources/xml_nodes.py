@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 NODES = (
     "node_id int, parent_id int, depth int, tag string, ns_uri string, path string, attrs map<string,string>, text string, "
-    "text_from int, text_to int, tag_from int, tag_to int"
+    "text_from int, text_to int, tag_from int, tag_to int, declared array<string>"
 )
 
 
@@ -38,6 +38,8 @@ class Node:
     text_to: int = -1
     tag_from: int = -1
     tag_to: int = -1
+    declared: list[str] = field(default_factory=list)
+    children: list[int] = field(default_factory=list)
 
     @property
     def text(self) -> str | None:
@@ -51,6 +53,7 @@ def shred(content: bytes) -> list[Node]:
     parser.ordered_attributes = True
     nodes: list[Node] = []
     stack: list[Node] = []
+    declared: list[str] = []  # namespaces of the element to come
 
     def start(name: str, attrs: list[str]) -> None:
         uri, _, local = name.rpartition("\n")
@@ -60,7 +63,10 @@ def shred(content: bytes) -> list[Node]:
         parent = stack[-1] if stack else None
         pairs = {a.rpartition("\n")[2]: v for a, v in zip(attrs[::2], attrs[1::2])}
         path = (parent.path if parent else "") + "/" + local
-        node = Node(len(nodes), parent.node_id if parent else -1, len(stack), local, uri, path, pairs, tag_from=at)
+        node = Node(len(nodes), parent.node_id if parent else -1, len(stack), local, uri, path, pairs, tag_from=at, declared=[*declared])
+        declared.clear()
+        if parent:
+            parent.children.append(node.node_id)
         nodes.append(node)
         stack.append(node)
 
@@ -90,6 +96,7 @@ def shred(content: bytes) -> list[Node]:
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
     parser.CommentHandler = parser.ProcessingInstructionHandler = stop_text
     parser.EntityDeclHandler = refuse
+    parser.StartNamespaceDeclHandler = lambda prefix, uri: declared.append(uri) if uri else None
     try:
         parser.Parse(content, True)
     except expat.ExpatError as e:
@@ -128,60 +135,139 @@ def node_table(files: DataFrame, key: str = "doc_id", content: str = "content")
                 try:
                     found = shred(bytes(c) if not isinstance(c, str) else c.encode())
                 except (ValueError, TypeError):
-                    rows.append((k, *[None] * 12))
+                    rows.append((k, *[None] * 13))
                     continue
                 rows += [
-                    (k, n.node_id, n.parent_id, n.depth, n.tag, n.ns_uri, n.path, list(n.attrs.items()), n.text, n.text_from, n.text_to, n.tag_from, n.tag_to)
+                    (k, n.node_id, n.parent_id, n.depth, n.tag, n.ns_uri, n.path, list(n.attrs.items()), n.text, n.text_from, n.text_to, n.tag_from, n.tag_to, n.declared)
                     for n in found
                 ]
             i, s = pa.int32(), pa.string()
-            types = (batch.schema.field(0).type, i, i, i, s, s, s, pa.map_(s, s), s, i, i, i, i)
+            types = (batch.schema.field(0).type, i, i, i, s, s, s, pa.map_(s, s), s, i, i, i, i, pa.list_(s))
             names = [key, *[x.split()[0] for x in NODES.split(", ")]]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
 
     return files.select(key, content).mapInArrow(read, f"{key} {kind}, {NODES}")
 
 
-_step = re.compile(r"(//|/)((?:[\w.-]+:)?[\w.*-]+)((?:\[[^\]]+\])*)")
+_step = re.compile(r"(//|/|)(?:([^\W\d][\w.-]*):)?([^\W\d][\w.-]*|\*)((?:\[[^\]]*\])*)")
+_test = re.compile(r"""\[\s*(?:(\d+)|(last\(\))|(@?)(?:([^\W\d][\w.-]*):)?(text\(\)|[^\W\d][\w.-]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'))?)\s*\]""")
 
 
-def path_pattern(xpath: str) -> str:
-    """A path of child and descendant steps as a pattern over node paths; prefixes are left out, ``*`` is any element."""
-    out, at = "^", 0
+def parsed_path(xpath: str) -> list[tuple[bool, str | None, str, list[tuple]]]:
+    """The steps of a path as (whether at any depth, prefix, name or ``*``, predicates).
+
+    Child and descendant steps with predicates on the position, an attribute, a child's text or the own one; anything else
+    is refused. A path without a slash begins at the children of the root element.
+    """
+    steps, at = [], 0
     for m in _step.finditer(xpath):
-        if m.start() != at:
+        if m.start() != at or (at and not m[1]):
             raise ValueError(f"unsupported path: {xpath}")
-        at = m.end()
-        name = m[2].rpartition(":")[2]
-        out += ("(?:/[^/]+)*/" if m[1] == "//" else "/") + ("[^/]+" if name == "*" else re.escape(name))
-    if at != len(xpath) or at == 0:
+        at, tests, end = m.end(), [], 0
+        for t in _test.finditer(m[4]):
+            if t.start() != end:
+                break
+            end = t.end()
+            tests.append((int(t[1]) if t[1] else -1 if t[2] else None, t[3] == "@", t[4], t[5], t[6] if t[6] is not None else t[7]))
+        if end != len(m[4]):
+            raise ValueError(f"unsupported predicate: {xpath}")
+        if not steps and not m[1]:
+            steps.append((False, None, "*", []))
+        steps.append((m[1] == "//", m[2], m[3], tests))
+    if at != len(xpath) or not steps:
         raise ValueError(f"unsupported path: {xpath}")
-    return out + "$"
-
-
-def fields(nodes: DataFrame, xpaths: list[str], key: str = "doc_id") -> DataFrame:
-    """(``key``, ``xpath_ord``, ``hit_ord``, ``xpath``, ``node_id``, ``original``): non-blank leading texts by path, in
-    order; paths that cannot be read are left out."""
-    out = None
+    return steps
+
+
+def _prefixes(steps: list[tuple]) -> set[str]:
+    return {p for _, p, _, _ in steps if p} | {t[2] for *_, tests in steps for t in tests if t[2]}
+
+
+def _passes(nodes: list[Node], hits: list[Node], test: tuple, uris: dict[str, str]) -> list[Node]:
+    """The hits among the children of one element that a predicate lets through."""
+    place, is_attribute, prefix, name, value = test
+    if place is not None:
+        return hits[-1:] if place < 0 else hits[place - 1 : place] if place else []
+    if is_attribute:
+        return [n for n in hits if name in n.attrs and (value is None or n.attrs[name] == value)]
+    if name == "text()":
+        return [n for n in hits if n.text is not None and (value is None or n.text == value)]
+    uri = uris[prefix] if prefix else ""
+    of = lambda n: (c for c in map(nodes.__getitem__, n.children) if c.tag == name and c.ns_uri == uri)
+    return [n for n in hits if any(value is None or (c.text or "") == value for c in of(n))]
+
+
+def found(nodes: list[Node], steps: list[tuple], uris: dict[str, str]) -> list[Node]:
+    """The elements of a path, in document order; names without a prefix are in no namespace."""
+    now: set[int] = {-1}  # the document
+    for deep, prefix, name, tests in steps:
+        uri = uris[prefix] if prefix else ""
+        parents = now
+        if deep:
+            parents = set(now)
+            for n in nodes:  # a parent stands before its children
+                if n.parent_id in parents:
+                    parents.add(n.node_id)
+        out = set()
+        for p in parents:
+            hits = [nodes[c] for c in (nodes[p].children if p >= 0 else [0] if nodes else [])]
+            hits = [n for n in hits if name == "*" or (n.tag == name and n.ns_uri == uri)]
+            for test in tests:
+                hits = _passes(nodes, hits, test, uris)
+            out.update(n.node_id for n in hits)
+        now = out
+    return [nodes[i] for i in sorted(now)]
+
+
+def declared_namespace(nodes: list[Node], part: str) -> str | None:
+    """The first namespace declared in a file that holds ``part``."""
+    return next((uri for n in nodes for uri in n.declared if part in uri), None)
+
+
+def fields(
+    files: DataFrame, xpaths: list[str], prefixes: dict[str, tuple[str, str | None]], key: str = "doc_id", content: str = "content"
+) -> DataFrame:
+    """(``key``, ``xpath_ord``, ``hit_ord``, ``xpath``, ``node_id``, ``original``): non-blank leading texts by path, in order.
+
+    ``prefixes`` gives for every prefix what its namespace holds and which one stands in where a file declares none such;
+    paths that cannot be read, or whose prefix a file does not resolve, give nothing. A file is read once for all paths
+    and nothing is shuffled; files that are not well-formed give no rows.
+    """
+    paths = []
     for i, xpath in enumerate(xpaths):
         try:
-            pattern = path_pattern(xpath)
+            paths.append((i, xpath, parsed_path(xpath)))
         except ValueError:
             continue
-        hit = nodes.where(F.col("path").rlike(pattern) & (F.length(F.regexp_replace("text", r"(?U)\s+", "")) > 0))
-        part = hit.select(key, F.lit(i).alias("xpath_ord"), F.lit(xpath).alias("xpath"), "node_id", F.col("text").alias("original"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError("no readable path")
-    from pyspark.sql import Window as W
+    kind = dict(files.dtypes)[key]
+    i32, s = pa.int32(), pa.string()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, c in zip(*(x.to_pylist() for x in batch.columns)):
+                try:
+                    nodes = shred(bytes(c) if not isinstance(c, str) else c.encode())
+                except (ValueError, TypeError):
+                    continue
+                uris = {p: declared_namespace(nodes, part) or default for p, (part, default) in prefixes.items()}
+                for i, xpath, steps in paths:
+                    if any(uris.get(p) is None for p in _prefixes(steps)):
+                        continue
+                    texts = [(n.node_id, n.text) for n in found(nodes, steps, uris) if n.text and n.text.strip()]
+                    rows += [(k, i, j + 1, xpath, node, text) for j, (node, text) in enumerate(texts)]
+            types = (batch.schema.field(0).type, i32, i32, s, i32, s)
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=[key, "xpath_ord", "hit_ord", "xpath", "node_id", "original"])
 
-    return out.withColumn("hit_ord", F.row_number().over(W.partitionBy(key, "xpath_ord").orderBy("node_id")))
+    return files.select(key, content).mapInArrow(read, f"{key} {kind}, xpath_ord int, hit_ord int, xpath string, node_id int, original string")
 
 
-def namespaces(nodes: DataFrame, key: str = "doc_id", fallback: str = "http://www.openarchives.org/OAI/2.0/") -> DataFrame:
-    """(``key``, ``record_ns``, ``oai_ns``): the first namespace of a file that names the record format or the envelope."""
-    first = lambda part: F.min_by("ns_uri", F.when(F.contains("ns_uri", F.lit(part)), F.col("node_id")))
-    return nodes.groupBy(key).agg(first("amcr").alias("record_ns"), F.coalesce(first("OAI-PMH"), F.lit(fallback)).alias("oai_ns"))
+def namespaces(nodes: DataFrame, record_fallback: str, key: str = "doc_id") -> DataFrame:
+    """(``key``, ``record_ns``, ``oai_ns``): the first namespace a file declares for the record format, else the fallback, and
+    for the envelope, else null."""
+    holds = lambda part: F.get(F.filter("declared", lambda u: F.contains(u, F.lit(part))), F.lit(0))
+    first = lambda part: F.min_by(holds(part), F.when(holds(part).isNotNull(), F.col("node_id")))
+    return nodes.groupBy(key).agg(F.coalesce(first("amcr"), F.lit(record_fallback)).alias("record_ns"), first("OAI-PMH").alias("oai_ns"))
 
 
 LAYOUT = "page_idx int, block_idx int, line_idx int, line_id string, str_idx int, content string"
@@ -250,7 +336,9 @@ def splice(content: bytes, texts: dict[int, str], contents: dict[int, str]) -> b
     return content
 
 
-def evaluation_segments(files: DataFrame, xpaths: list[str], limit: int = 0, key: str = "doc_id") -> DataFrame:
+def evaluation_segments(
+    files: DataFrame, xpaths: list[str], prefixes: dict[str, tuple[str, str | None]], limit: int = 0
+) -> DataFrame:
     """(``file``, ``kind``, ``id``, ``src``): the blocks of layout files and the described fields of others, files in order of
     name, malformed ones left out; ``limit`` keeps the first segments (0: all)."""
     from pyspark.sql import Window as W
@@ -264,7 +352,7 @@ def evaluation_segments(files: DataFrame, xpaths: list[str], limit: int = 0, key
     )
     nth = F.row_number().over(W.partitionBy("name").orderBy("page_idx", "block_idx")) - 1
     a = blocks.select(F.col("name").alias("file"), F.lit("alto").alias("kind"), nth.alias("n"), "src")
-    hits = fields(node_table(files.where(~F.lower("name").endswith(".alto.xml")).select("name", "content"), "name"), xpaths, "name")
+    hits = fields(files.where(~F.lower("name").endswith(".alto.xml")).select("name", "content"), xpaths, prefixes, "name")
     nth = F.row_number().over(W.partitionBy("name").orderBy("xpath_ord", "hit_ord")) - 1
     b = hits.select(F.col("name").alias("file"), F.lit("metadata").alias("kind"), nth.alias("n"), F.trim("original").alias("src"))
     out = a.unionByName(b).withColumn("id", F.concat(F.when(F.col("kind") == "alto", "block").otherwise("field"), "n"))

@@ -26,7 +26,8 @@ def run_available(stream: DataFrame, apply, label: str, mode: str = "append") ->
 
 
 def counted(stream: DataFrame, late: str = "10 minutes", window: str = "1 day") -> DataFrame:
-    """Events by day and type; state of a day is dropped once no event that late can come."""
+    """Events by day and type; state of a day is dropped once no event that late can come, which needs the output mode
+    ``update`` or ``append``. Events later than that are left out."""
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n_events"))
 
 
@@ -55,3 +56,8 @@ def appended(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
 
     run_available(stream, keep, label, mode)
     return spark.read.option("basePath", at).parquet(at)
+
+
+def latest(emitted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The last value each key was emitted with, of a stream in update mode kept by :func:`appended`."""
+    return emitted.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
