@@ -67,7 +67,7 @@ def canonical_doc_id(name: Column) -> Column:
 LANGUAGE_CODES = {
     "ces": "cs", "cze": "cs", "slk": "sk", "slo": "sk", "pol": "pl", "deu": "de", "ger": "de", "eng": "en", "ukr": "uk",
     "rus": "ru", "fra": "fr", "fre": "fr", "ita": "it", "spa": "es", "hun": "hu", "slv": "sl", "hrv": "hr", "bul": "bg",
-    "nld": "nl", "lat": "la",
+    "nld": "nl", "lat": "la", "lav": "lv", "lit": "lt", "est": "et", "ron": "ro", "hin": "hi",
 }
 
 

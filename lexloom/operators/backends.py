@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import urllib.parse
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..sources.harvest import Throttle, http, with_retry
 from .chunk import chunks
+from .routing import KNOWN_PAIRS
 
 
 class Backend(Protocol):
@@ -69,8 +71,11 @@ class Chat:
 
     name, supports_glossary = "chat", True
 
-    def __init__(self, url: str, model: str, interval: float = 0.0, fetch: Callable[[str, bytes | None], bytes] = http):
-        self.url, self.model, self.interval, self.fetch = url, model, interval, fetch
+    def __init__(
+        self, url: str, model: str, interval: float = 0.0, fetch: Callable[[str, bytes | None], bytes] = http,
+        glossary: tuple[tuple[str, str], ...] = (),
+    ):
+        self.url, self.model, self.interval, self.fetch, self.glossary = url, model, interval, fetch, tuple(glossary)
 
     @staticmethod
     def messages(text: str, source: str, target: str, glossary: list[tuple[str, str]] = ()) -> list[dict]:
@@ -83,9 +88,10 @@ class Chat:
         out = []
         for part in chunks(text, 4000):
             throttle.wait()
-            body = {"model": self.model, "temperature": 0, "max_tokens": 2048, "messages": self.messages(part, source, target)}
+            messages = self.messages(part, source, target, terms_of(part, self.glossary))
+            body = {"model": self.model, "temperature": 0, "max_tokens": 2048, "messages": messages}
             answer = with_retry(lambda body=body: self.fetch(self.url, json.dumps(body).encode()))
-            out.append(answer_text(json.loads(answer)))
+            out.append(guarded(part, answer_text(json.loads(answer))))
         return "\n".join(out)
 
     def translate(self, text: Column, source: str, target: str) -> Column:
@@ -101,12 +107,15 @@ class Chat:
 
 
 class FormService(Chat):
-    """A service with one address a language pair that takes a form and returns plain text, one request a chunk."""
+    """A service with one address a language pair that takes a form and returns plain text, one request a chunk; a pair it
+    does not know goes to the model that serves for all (``FALLBACK_PAIR``), languages included."""
 
     name, supports_glossary = "form", False
 
     def one(self, text: str, source: str, target: str, throttle: Throttle) -> str:
         out = []
+        if f"{source}-{target}" not in KNOWN_PAIRS:
+            source, target = FALLBACK_PAIR
         for part in chunks(text, 4000):
             throttle.wait()
             body = urllib.parse.urlencode({"input_text": part, "src": source, "tgt": target}).encode()
@@ -136,6 +145,26 @@ def annotated(df: DataFrame, key: str, text: str, url: str, fetch: Callable[[str
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, conllu string")
 
 
+#: Terms of the glossary a request names at most, the longest first: a limit of the prompt, as the services know it.
+MOST_TERMS = 40
+FALLBACK_PAIR = ("cs", "en")
+
+
+def terms_of(text: str, glossary: tuple[tuple[str, str], ...], most: int = MOST_TERMS) -> list[tuple[str, str]]:
+    """The terms of a glossary that stand in a text as whole words, in any case, the longest first."""
+    low = text.lower()
+    found = [(a, b) for a, b in glossary if a.lower() in low and re.search(rf"(?<!\w){re.escape(a.lower())}(?!\w)", low)]
+    return sorted(found, key=lambda x: -len(x[0]))[:most]
+
+
+def guarded(source: str, target: str, least_chars: int = 16, low: float = 0.25, high: float = 4.0) -> str:
+    """The translation; an error if it is empty or, for a source of some length, out of proportion."""
+    n, m = len(source.strip()), len(target.strip())
+    if not m or (n >= least_chars and not n * low <= m <= n * high):
+        raise ValueError(f"answer of {m} characters to a text of {n}")
+    return target
+
+
 def answer_text(answer: dict) -> str:
     """The text of a chat answer; an answer without one is an error."""
     try:

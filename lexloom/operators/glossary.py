@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -28,8 +29,8 @@ def clean(vocab: DataFrame) -> DataFrame:
     rows = vocab.select("ord", F.lower(ws_trim(F.col("term"))).alias("term"), ws_trim(F.col("target")).alias("target"))
     first = (F.col("ord") == 0) & F.col("term").isin(*HEADERS)
     usable = rows.where(~F.coalesce(first, F.lit(False)) & (F.col("term") != "") & F.col("target").isNotNull())
-    last = F.row_number().over(W.partitionBy("term").orderBy(F.desc("ord")))
-    return usable.withColumn("rank", last).where("rank = 1").drop("rank")
+    last = usable.groupBy("term").agg(F.max_by(F.struct("ord", "target"), "ord").alias("last"))
+    return last.select("last.ord", "term", "last.target")
 
 
 def longest_first(terms: DataFrame, limit: int) -> DataFrame:
@@ -67,6 +68,29 @@ def folded(text: str) -> str:
     return low if low.isascii() else low.translate(_SAME_UPPER)
 
 
+_automata: dict[str, object] = {}
+
+
+def _automaton(name: str, group, fold: Callable[[str], str]):
+    """The automaton of a group of terms, built once a worker; the last two are kept."""
+    import ahocorasick
+
+    if name not in _automata:
+        automaton, alike = ahocorasick.Automaton(), defaultdict(list)
+        for i, (term, _) in enumerate(group.value):
+            if fold is str.lower:
+                alike[term] = [i]
+            else:
+                alike[fold(term)].append(i)
+        for term, ids in alike.items():
+            automaton.add_word(term, (ids, len(term)))
+        automaton.make_automaton()
+        while len(_automata) > 1:
+            _automata.pop(next(iter(_automata)))
+        _automata[name] = automaton
+    return _automata[name]
+
+
 def matches(
     df: DataFrame, key: str, text: str, terms: DataFrame, whole_word: bool, fold: Callable[[str], str] = str.lower
 ) -> DataFrame:
@@ -79,19 +103,10 @@ def matches(
     out = None
     for group in _groups(terms):
         shared = df.sparkSession.sparkContext.broadcast(group)  # at most GROUP_CHARS
+        name = uuid.uuid4().hex
 
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            automaton, alike = ahocorasick.Automaton(), defaultdict(list)
-            for i, (term, _) in enumerate(shared.value):
-                if fold is str.lower:
-                    alike[term] = [i]
-                else:
-                    alike[fold(term)].append(i)
-            for term, ids in alike.items():
-                automaton.add_word(term, (ids, len(term)))
-            automaton.make_automaton()
+        def find(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(name, shared, fold)
             for batch in batches:
                 rows = []
                 for k, t in zip(*(c.to_pylist() for c in batch.columns)):
@@ -229,3 +244,11 @@ def protected_words(
             )
 
     return rows.drop("annotation").mapInArrow(fold, columns)
+
+
+def lemma_hits(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(``term``, ``target``, ``n_tokens``): tokens (``word``, ``lemma``, ``number``) whose lemma is a term, without plural words and
+    sentinels; counted before they meet the glossary."""
+    usable = tokens.where((F.coalesce("number", F.lit("")) != "Plur") & ~F.col("word").rlike(r"(?i)Xtermzzz\d+z"))
+    counted = usable.groupBy(F.lower("lemma").alias("term")).agg(F.count("*").alias("n_tokens"))
+    return counted.join(terms.select("term", "target"), "term").select("term", "target", "n_tokens")

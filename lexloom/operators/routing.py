@@ -10,7 +10,7 @@ from ..functions.text import is_blank, two_letter_code, ws_split, ws_trim
 #: Language used where nothing better is known; confidence above which a detected one counts.
 FALLBACK, CONFIDENCE = "cs", 0.2
 # Model pairs known without asking the service; lemma and translation models by language.
-KNOWN_PAIRS = ("cs-en", "en-cs", "fr-en", "en-fr", "de-en", "en-de")
+KNOWN_PAIRS = ("fr-en", "cs-en", "de-en", "uk-en", "ru-en", "pl-en")
 LEMMA_MODELS = {
     "cs": "czech-pdt-ud-2.15-241121", "sk": "slovak-snk-ud-2.15-241121", "pl": "polish-pdb-ud-2.15-241121",
     "de": "german-gsd-ud-2.15-241121", "fr": "french-gsd-ud-2.15-241121", "en": "english-ewt-ud-2.15-241121",

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import glossary, routing
+from ..operators import glossary, identify, routing
 from ..session import load
+from ..sources import readers
 from .oracles import LINES, trim, words
 from .registry import query
 
@@ -57,15 +58,16 @@ _TOKEN = r"regexp_replace(lower(w), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')"
 
 
 @query(
-    f"""WITH {_VOCAB}, t AS (SELECT unnest({words("text")}) AS w FROM documents)
-    SELECT term, target, count(*) AS n_tokens FROM (SELECT {_TOKEN} AS lemma FROM t) JOIN terms ON lemma = term GROUP BY term, target"""
+    f"""WITH {_VOCAB}, d AS (SELECT {words("text")} AS w FROM documents), t AS (SELECT w[i] AS w, i FROM (SELECT w, unnest(generate_series(1, len(w))) AS i FROM d))
+    SELECT term, target, count(*) AS n_tokens FROM (SELECT {_TOKEN} AS lemma FROM t WHERE i % 2 = 0 AND NOT regexp_matches(w, '(?i)Xtermzzz\\d+z')) JOIN terms ON lemma = term GROUP BY term, target"""
 )
 def lemma_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens whose lemma (here: the token, case folded, marks off) is a term; counted before they meet the glossary."""
-    token = F.explode(fx.ws_split(F.col("text")))
-    lemma = F.regexp_replace(F.lower("w"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    counted = load(spark, sf_dir, "documents").select(token.alias("w")).groupBy(lemma.alias("lemma")).agg(F.count("*").alias("n_tokens"))
-    return counted.join(_terms(spark, sf_dir), F.col("lemma") == F.col("term")).select("term", "target", "n_tokens")
+    """Tokens whose lemma (here: the token, case folded, marks off) is a term, every other one being plural; counted before they
+    meet the glossary."""
+    words_ = load(spark, sf_dir, "documents").select(F.posexplode(fx.ws_split(F.col("text"))).alias("at", "word"))
+    lemma = F.regexp_replace(F.lower("word"), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    tokens = words_.select("word", lemma.alias("lemma"), F.when(F.col("at") % 2 == 0, "Plur").otherwise("Sing").alias("number"))
+    return glossary.lemma_hits(tokens, _terms(spark, sf_dir))
 
 
 @query(f"WITH {_HITS} SELECT file, count(*) AS n_protected, grouping(file) = 1 AS is_total FROM hits GROUP BY ROLLUP (file)")
@@ -76,7 +78,14 @@ def protected_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(files, "seg_id").rollup("file").agg(F.count("*").alias("n_protected"), (F.grouping("file") == 1).alias("is_total"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_VOCAB},
+    multi AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY length(term) DESC, ord) AS r FROM terms WHERE contains(term, ' ')),
+    folded(doc_id, r, t, k) AS (SELECT doc_id, CAST(0 AS BIGINT), text, 0 FROM documents UNION ALL
+      SELECT doc_id, r, CASE WHEN p > 0 THEN substr(t, 1, p - 1) || 'Xtermzzz' || k || 'z' || substr(t, p + n) ELSE t END, k + CASE WHEN p > 0 THEN 1 ELSE 0 END
+      FROM (SELECT f.doc_id, m.r, f.t, f.k, coalesce(strpos(lower(f.t), m.term), 0) AS p, length(m.term) AS n FROM folded f JOIN multi m ON m.r = f.r + 1))
+    SELECT doc_id, t AS protected_text, k AS n_tags FROM folded WHERE r = (SELECT count(*) FROM multi)"""
+)
 def tag_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = glossary.protected(load(spark, sf_dir, "documents"), "doc_id", "text", _terms(spark, sf_dir))
     return done.select("doc_id", "protected_text", F.size("targets").alias("n_tags"))
@@ -115,7 +124,10 @@ def scrub_debris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("seg_id", fx.scrub(broken).alias("scrubbed")).distinct()
 
 
-_CODES = ", ".join(f"('{a}', '{b}')" for a, b in fx.LANGUAGE_CODES.items())
+#: Codes and names are written out here, not taken from the package, so that these statements stand for themselves.
+_CODES = """('ces', 'cs'), ('cze', 'cs'), ('slk', 'sk'), ('slo', 'sk'), ('pol', 'pl'), ('deu', 'de'), ('ger', 'de'), ('eng', 'en'), ('ukr', 'uk'),
+    ('rus', 'ru'), ('fra', 'fr'), ('fre', 'fr'), ('ita', 'it'), ('spa', 'es'), ('hun', 'hu'), ('slv', 'sl'), ('hrv', 'hr'), ('bul', 'bg'),
+    ('nld', 'nl'), ('lat', 'la'), ('lav', 'lv'), ('lit', 'lt'), ('est', 'et'), ('ron', 'ro'), ('hin', 'hi')"""
 _CODED = f"""
     codes(long, short) AS (VALUES {_CODES}),
     coded AS (SELECT seg_id, lang, text_auto, text_en, coalesce(short, part) AS code
@@ -155,7 +167,15 @@ def lang_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "confidence", routing.gated(F.col("lang"), F.col("confidence")).alias("gated"))
 
 
-_PAIRS = ", ".join(f"'{p}'" for p in routing.KNOWN_PAIRS)
+@query()
+def lang_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every logged text by a model fitted on labelled documents, gated by its confidence."""
+    model = identify.fitted(load(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    found = identify.identified(load(spark, sf_dir, "qa_log"), model, "seg_id", "text_auto").distinct()
+    return found.select("seg_id", "lang", "confidence", routing.gated(F.col("lang"), F.col("confidence")).alias("gated"))
+
+
+_PAIRS = "'fr-en', 'cs-en', 'de-en', 'uk-en', 'ru-en', 'pl-en'"
 
 
 @query(
@@ -166,6 +186,17 @@ def pair_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coded(spark, sf_dir).groupBy(routing.pair(F.col("code"), F.lit("en")).alias("pair")).agg(F.count("*").alias("n_rows"))
 
 
+_LONG_CODES = "'ces', 'eng', 'fra', 'deu', 'rus', 'pol', 'ukr', 'slk', 'bul', 'hrv', 'slv', 'lav', 'lit', 'est', 'hun', 'ron', 'spa', 'ita', 'nld', 'hin', 'xyz'"
+_SHORT_CODES = "'cs', 'en', 'fr', 'de', 'ru', 'pl', 'uk', 'sk', 'bg', 'hr', 'sl', 'lv', 'lt', 'et', 'hu', 'ro', 'es', 'it', 'nl', 'hi', 'xyz'"
+
+
+@query(f"SELECT doc_id, [{_LONG_CODES}][doc_id % 21 + 1] AS code, [{_SHORT_CODES}][doc_id % 21 + 1] AS short FROM documents")
+def iso_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every code that the language models name, dealt over the documents, in its short form."""
+    code = F.get(F.expr(f"array({_LONG_CODES})"), F.pmod("doc_id", F.lit(21)).cast("int"))
+    return load(spark, sf_dir, "documents").select("doc_id", code.alias("code")).withColumn("short", fx.two_letter_code(F.col("code")))
+
+
 @query(
     """WITH codes AS (SELECT unnest(['cs','sk','pl','de','en','uk','hu']) AS lang)
     SELECT lang, CASE lang WHEN 'cs' THEN 'czech-pdt-ud-2.15-241121' WHEN 'sk' THEN 'slovak-snk-ud-2.15-241121'
@@ -180,12 +211,23 @@ def model_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT unnest(string_split(pair, '-')) AS code FROM (SELECT unnest([{_PAIRS}]) AS pair))
-    SELECT DISTINCT code FROM p"""
+    f"""WITH {_CODED}, c AS (SELECT DISTINCT code FROM coded WHERE regexp_matches(code, '^[a-z]{{2}}$')),
+    p AS (SELECT 'object' AS answer, code || '-en' AS pair FROM c UNION SELECT 'list', 'en-' || code FROM c UNION SELECT 'broken', unnest([{_PAIRS}]))
+    SELECT answer, pair, list_sort(string_split(pair, '-')) AS codes FROM p"""
 )
 def supported_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.createDataFrame([(p,) for p in routing.KNOWN_PAIRS], "pair string")
-    return pairs.select(F.explode(F.split("pair", "-")).alias("code")).distinct()
+    """The model pairs of three catalogue answers, an object, a plain list and a broken one, made of the codes of the log."""
+    codes = _coded(spark, sf_dir).select("code").distinct().where(F.col("code").rlike("^[a-z]{2}$"))
+    all_codes = codes.agg(F.sort_array(F.collect_set("code")).alias("c"))  # of two letters: some hundreds at most
+    item = lambda c: F.struct(F.concat(c, F.lit("-en")).alias("model"))
+    object_ = F.to_json(F.struct(F.struct(F.transform("c", item).alias("item")).alias("_embedded")))
+    plain = F.to_json(F.transform("c", lambda c: F.concat(F.lit("en-"), c)))
+    out = None
+    for name, answer in (("object", object_), ("list", plain), ("broken", F.lit("<html>busy</html>"))):
+        pairs = readers.model_pairs(all_codes.select(answer.alias("value")), routing.KNOWN_PAIRS)
+        part = pairs.select(F.lit(name).alias("answer"), "pair", F.sort_array(F.split("pair", "-")).alias("codes"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _LINE_LANG = r"CASE WHEN regexp_matches(line, '[\x{0400}-\x{04FF}]') THEN 'uk' ELSE 'other' END"
