@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,13 @@ def totals(runs: DataFrame) -> DataFrame:
 
 
 def merged(runs: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
-    """Stages of a group as one run: first inputs, last processed, sums, the earliest start and the latest end (as text)."""
-    return runs.groupBy(*keys).agg(
+    """Stages of a group as one run: first inputs, last processed, sums, the earliest start and the latest end (as text), the
+    outputs of all stages summed by type and all skips in the order of the stages. A group has as many stages as a pipeline."""
+    entries = F.flatten(F.collect_list(F.map_entries("statistics.output_counts_by_type")))
+    stages = F.sort_array(F.collect_list(F.struct(F.col(ord_col).alias("at"), F.coalesce("skipped", F.array().cast(runs.schema["skipped"].dataType)).alias("skipped"))))
+    types = lambda e: F.array_sort(F.array_distinct(F.transform(e, lambda x: x["key"])))
+    summed = lambda e, t: F.aggregate(F.filter(e, lambda x: x["key"] == t), F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x["value"], F.lit(0)))
+    out = runs.groupBy(*keys).agg(
         F.count("*").alias("n_stages"),
         F.min_by("statistics.input_files_total", ord_col).alias("input_files_total"),
         F.max_by("statistics.successfully_processed", ord_col).alias("successfully_processed"),
@@ -52,9 +59,53 @@ def merged(runs: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),
         F.min_by("tool_version", F.when(F.col("tool_version") != "", F.col(ord_col))).alias("tool_version"),
+        entries.alias("_entries"),
+        F.flatten(F.transform(stages, lambda s: s["skipped"])).alias("skipped"),
+    )
+    formats = F.map_from_entries(F.transform(types(F.col("_entries")), lambda t: F.struct(t.alias("type"), summed(F.col("_entries"), t).alias("n"))))
+    return out.withColumn("formats", formats).drop("_entries")
+
+
+def merged_steps(logs: DataFrame, keys: list[str], ord_col: str) -> DataFrame:
+    """The logs of one input file as one: ``steps`` (program, version, run, duration, licence) in order, their number and the sum
+    of their durations to three places. Their licences are united by ``licences``."""
+    step = F.struct(F.col(ord_col).alias("ord"), "program", "tool_version", "run_id", "duration_seconds", "license")
+    return logs.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(step)).alias("steps"),  # of one file
+        F.count("*").alias("step_count"),
+        F.round(F.sum(F.coalesce("duration_seconds", F.lit(0.0))), 3).alias("total_duration_seconds"),
     )
 
 
+def repository(config: dict[str, str], program: str, table: dict[str, str], variable: str = "RUNNER_REPOSITORY", default: str = "") -> str:
+    """Where the code of a program is: by the environment, the configuration, the table of programs, else ``default``."""
+    return os.environ.get(variable) or config.get("repository_fallback") or table.get(program) or default
+
+
+class RunLog:
+    """A run's events, gathered by a driver and written once, also when the run fails; errors are never swallowed."""
+
+    def __init__(self, run_id: str, program: str, write):
+        self.run_id, self.program, self.write, self.events, self.done = run_id, program, write, [], False
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, kind, error, trace) -> bool:
+        if error is not None:
+            self.log("error", name=kind.__name__, detail=str(error))
+        self.finalise()
+        return False
+
+    def log(self, event: str, name: str | None = None, detail: str | None = None, count: int | None = None) -> None:
+        self.events.append((self.run_id, len(self.events), event, name, detail, count))
+
+    def finalise(self) -> None:
+        if not self.done:
+            self.done = True
+            self.write(list(self.events))
+
+
 def skips(runs: DataFrame) -> DataFrame:
     """(``reason``, ``n_skipped``, ``n_runs``): why files were left out."""
     return (

@@ -11,7 +11,7 @@ from ..session import load
 from ..sources import xml_nodes
 from .records import _UNION, ORIGINS, _components
 from .registry import query
-from .sources import _alto_files, _metadata_files
+from .sources import PREFIXES, _alto_files, _metadata_files
 
 # Web events stand for run events: a user is a run, a purchase a processed document, an error a skip, a view an output.
 _EVENTS = """SELECT CAST(user_id AS STRING) AS run_id, event_id AS ord,
@@ -79,16 +79,20 @@ def several_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT DISTINCT file AS doc_id, 'ocr:' || ocr.engine AS origin FROM scan_pages WHERE ocr.engine IS NOT NULL),
-    b AS (SELECT DISTINCT file AS doc_id, CASE WHEN category IS NULL THEN 'digital-convert' ELSE 'alto-postprocess' END AS program FROM scan_pages)
-    SELECT b.doc_id, program, origin FROM b JOIN o USING (doc_id) WHERE program <> 'alto-postprocess'"""
+    """WITH o AS (SELECT DISTINCT file AS doc_id, CASE WHEN ocr.engine IS NULL THEN 'digital-born-pdf' ELSE 'ocr:' || ocr.engine END AS origin FROM scan_pages),
+    b AS (SELECT DISTINCT file AS doc_id, CASE WHEN category IS NULL THEN 'digital-convert' ELSE 'alto-postprocess' END AS program FROM scan_pages),
+    asked AS (SELECT DISTINCT file AS doc_id FROM scan_pages WHERE needs_ocr)
+    SELECT b.doc_id, program, origin FROM b JOIN o USING (doc_id) WHERE (program = 'digital-convert') <> (origin LIKE 'digital-born%')
+      AND NOT (program = 'alto-postprocess' AND b.doc_id IN (SELECT doc_id FROM asked))"""
 )
 def originator_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "scan_pages")
-    origins = pages.where("ocr.engine is not null").select(F.col("file").alias("doc_id"), F.concat(F.lit("ocr:"), "ocr.engine").alias("origin")).distinct()
+    origin = F.when(F.col("ocr.engine").isNull(), "digital-born-pdf").otherwise(F.concat(F.lit("ocr:"), "ocr.engine"))
+    origins = pages.select(F.col("file").alias("doc_id"), origin.alias("origin")).distinct()
     program = F.when(F.col("category").isNull(), "digital-convert").otherwise("alto-postprocess")
     blocks = pages.select(F.col("file").alias("doc_id"), program.alias("program")).distinct()
-    return records.originator_audit(blocks, origins, ORIGINS).select("doc_id", "program", "origin")
+    asked = pages.where("needs_ocr").select(F.col("file").alias("doc_id"))
+    return records.originator_audit(blocks, origins, ORIGINS, asked).select("doc_id", "program", "origin")
 
 
 @query("SELECT doc_id, CASE WHEN trim(coalesce(file, '')) <> '' THEN file ELSE 'doc-' || doc_id END AS record_id FROM documents")
@@ -123,4 +127,4 @@ def evaluation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _alto_files(spark, sf_dir).select(name(".alto.xml"), "content").unionByName(
         _metadata_files(spark, sf_dir).where("content is not null").select(name(".xml"), "content")
     )
-    return xml_nodes.evaluation_segments(files, ["//amcr:dokument/amcr:popis"])
+    return xml_nodes.evaluation_segments(files, ["//amcr:dokument/amcr:popis"], PREFIXES)

@@ -113,6 +113,50 @@ def owner_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.owner_violations(writes, owners).select("event_id", "block", "program")
 
 
+@query(
+    f"""WITH o(block, program) AS (VALUES {", ".join(f"('{b}', '{p}')" for b, p in OWNERS)}), g(program, block, field) AS (VALUES {_GRANTED}),
+    w AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'assembled' ELSE block END AS block, program FROM ({_WRITES} FROM events))
+    SELECT event_id, block, program, block = 'assembled' AS is_reserved,
+      EXISTS (SELECT 1 FROM o WHERE o.block = w.block) AND NOT EXISTS (SELECT 1 FROM o WHERE o.block = w.block AND o.program = w.program) AS is_foreign,
+      CASE WHEN block = 'pages' THEN 'page-classification' ELSE '' END AS others FROM w"""
+)
+def write_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is to be said of writes of whole blocks: reserved, foreign, or at the cost of a co-contributor's fields."""
+    writes = spark.sql(_WRITES + " FROM {events}", events=load(spark, sf_dir, "events"))
+    writes = writes.withColumn("block", F.when(F.col("event_id") % 7 == 0, "assembled").otherwise(F.col("block")))
+    verdicts = records.write_verdicts(writes, spark.createDataFrame(OWNERS, "block string, program string"), _grants(spark))
+    return verdicts.withColumn("others", F.array_join("others", ","))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT file AS doc_id, page AS record FROM scan_pages WHERE page_index = 0), p AS (SELECT DISTINCT file AS doc_id FROM qa_log)
+    SELECT p.doc_id, record, record IS NOT NULL AS had_baseline FROM p LEFT JOIN b USING (doc_id)"""
+)
+def record_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of logged files on the record of their first scanned page, where there is one."""
+    base = load(spark, sf_dir, "scan_pages").where("page_index = 0").select(F.col("file").alias("doc_id"), F.col("page").alias("record")).distinct()
+    return records.opened(load(spark, sf_dir, "qa_log").select(F.col("file").alias("doc_id")).distinct(), base)
+
+
+@query(
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, event_type AS block, max(event_id) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL)
+    SELECT doc_id, block, CASE WHEN block = 'click' THEN 'new' ELSE CAST(n AS VARCHAR) END AS payload, CASE WHEN block = 'click' THEN 'translator' ELSE 'reader' END AS program,
+      CASE WHEN block = 'click' THEN '2026-01-01' ELSE '2025-01-01' END AS updated_at FROM e"""
+)
+def block_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One block of every record replaced whole and stamped."""
+    rows = load(spark, sf_dir, "events").where("event_type is not null").groupBy(F.col("user_id").cast("string").alias("doc_id"), F.col("event_type").alias("block"))
+    there = rows.agg(F.max("event_id").cast("string").alias("payload")).withColumns({"program": F.lit("reader"), "updated_at": F.lit("2025-01-01")})
+    new = there.where("block = 'click'").withColumn("payload", F.lit("new"))
+    return records.replaced(there, new, "translator", F.lit("2026-01-01"))
+
+
+@query("SELECT user_id, event_type, arg_max(props, event_id) AS props FROM events WHERE props IS NOT NULL GROUP BY ALL")
+def key_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within one record the last entry of a key counts."""
+    return records.last_writer(load(spark, sf_dir, "events").where("props is not null"), ["user_id", "event_type"], "props", "event_id")
+
+
 @query(
     """WITH e AS (SELECT DISTINCT file, ocr.engine AS engine FROM scan_pages),
     o AS (SELECT file, engine, CASE WHEN engine LIKE 'engine-a%' THEN 'OCR:' || engine WHEN engine IS NULL THEN 'Digital-Born-PDF' ELSE engine END AS origin FROM e)
@@ -198,10 +242,15 @@ def migrate_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, CAST(user_id AS VARCHAR) || chr(31) || coalesce(event_type, 'null') || chr(31) || CAST(CAST(event_id AS BIGINT) AS VARCHAR) AS record_key FROM events"""
+    """SELECT user_id, CAST(user_id AS VARCHAR) || chr(31) || coalesce(event_type, 'null') || chr(31) || CAST(CAST(event_id AS BIGINT) AS VARCHAR) || chr(31)
+      || CAST(CAST(event_id AS BIGINT) * 10000000000 AS VARCHAR) || chr(31) || '1.0' || chr(31) || 'true' || chr(31) || '[' || event_id || ',' || (event_id + 1) || ']' AS record_key FROM events"""
 )
 def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = records.canonical_key(F.col("user_id"), F.col("event_type"), F.col("event_id").cast("decimal(20,1)"))
+    """Keys of an integer, a text, a decimal, a large double, a text that looks like a number, a boolean and an array."""
+    n = F.col("event_id")
+    key = records.canonical_key(
+        F.col("user_id"), F.col("event_type"), n.cast("decimal(20,1)"), n.cast("double") * 1e10, F.lit("1.0"), F.lit(True), records.as_json(F.array(n, n + 1))
+    )
     return load(spark, sf_dir, "events").select("user_id", key.alias("record_key"))
 
 
@@ -209,9 +258,18 @@ def canonical_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LICENCE = """CASE split_part(source, '-', 1) WHEN 'museum' THEN ' CC-BY-NC-4.0' WHEN 'scan' THEN 'MIT License' WHEN 'oai' THEN 'cc0'
     WHEN 'csv' THEN 'Apache 2.0' WHEN 'legacy' THEN 'GPL 3.0' WHEN 'upload' THEN 'House rules' WHEN 'mail' THEN 'cc-by-nc-sa-4.0' ELSE 'CC BY 4.0' END"""
 _COMPONENTS = f"SELECT file, source AS name, {_LICENCE} AS license, doc_id AS ord FROM documents WHERE file IS NOT NULL"
-_ALL_ALIASES = ", ".join(f"('{a}', '{c}')" for a, c in [*licences.ALIASES, *[(n.lower(), n) for n, _ in licences.RANKS]])
+# spellings and ranks are written out here, not taken from the package, so that these statements stand for themselves
+_ALL_ALIASES = """('public domain', 'Public Domain'), ('cc0', 'CC0'), ('mit', 'MIT'), ('mit license', 'MIT'), ('apache-2.0', 'Apache-2.0'), ('apache 2.0', 'Apache-2.0'),
+    ('apache license 2.0', 'Apache-2.0'), ('bsd-3-clause', 'BSD-3-Clause'), ('mpl 2.0', 'MPL 2.0'), ('mpl-2.0', 'MPL 2.0'), ('lgpl-3.0', 'LGPL-3.0'),
+    ('gpl-3.0', 'GPL-3.0'), ('gpl 3.0', 'GPL-3.0'), ('gpl-3.0 license', 'GPL-3.0'), ('agpl-3.0', 'AGPL-3.0'), ('agpl 3.0', 'AGPL-3.0'),
+    ('agpl-3.0 license', 'AGPL-3.0'), ('agplv3', 'AGPL-3.0'), ('gnu affero general public license v3.0', 'AGPL-3.0'), ('cc by 4.0', 'CC BY 4.0'),
+    ('cc-by-4.0', 'CC BY 4.0'), ('cc by-sa 4.0', 'CC BY-SA 4.0'), ('cc by-nc 4.0', 'CC BY-NC 4.0'), ('cc-by-nc-4.0', 'CC BY-NC 4.0'),
+    ('attribution-noncommercial 4.0 international', 'CC BY-NC 4.0'), ('cc by-nc-sa 4.0', 'CC BY-NC-SA 4.0'), ('cc-by-nc-sa-4.0', 'CC BY-NC-SA 4.0'),
+    ('attribution-noncommercial-sharealike 4.0 international', 'CC BY-NC-SA 4.0'), ('glm-4', 'glm-4'), ('glm4', 'glm-4'), ('glm-4 license', 'glm-4')"""
+_ALL_RANKS = """('Public Domain', 0), ('CC0', 0), ('MIT', 1), ('Apache-2.0', 1), ('BSD-3-Clause', 1), ('MPL 2.0', 2), ('LGPL-3.0', 3), ('GPL-3.0', 4),
+    ('AGPL-3.0', 4), ('CC BY 4.0', 1), ('CC BY-SA 4.0', 3), ('CC BY-NC 4.0', 5), ('CC BY-NC-SA 4.0', 6), ('glm-4', 5)"""
 _NORMAL = f"""
-    alias(a, c) AS (VALUES {_ALL_ALIASES}), ranks(l, r) AS (VALUES {", ".join(f"('{n}', {r})" for n, r in licences.RANKS)}),
+    alias(a, c) AS (VALUES {_ALL_ALIASES}), ranks(l, r) AS (VALUES {_ALL_RANKS}),
     comp AS ({_COMPONENTS}),
     named AS (SELECT file, name, coalesce(c, trim(license)) AS license, ord FROM comp LEFT JOIN alias ON lower(trim(license)) = a),
     normal AS (SELECT file, name, license, ord, coalesce(r, -1) AS rank FROM named LEFT JOIN ranks ON license = l)"""
@@ -230,6 +288,48 @@ def normalise_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _components(spark, sf_dir).select("name", "license", "rank").distinct()
 
 
+_SPELLINGS = """' GPL-3.0 License', 'agpl-3.0 license', 'GNU Affero General Public License v3.0', 'Attribution-NonCommercial 4.0 International',
+    'Attribution-NonCommercial-ShareAlike 4.0 International', 'GLM-4 License', 'AGPLv3', 'Public Domain', 'Own terms', ''"""
+
+
+@query(
+    f"""WITH alias(a, c) AS (VALUES {_ALL_ALIASES}), ranks(l, r) AS (VALUES {_ALL_RANKS}), d AS (SELECT doc_id, [{_SPELLINGS}][doc_id % 10 + 1] AS spelled FROM documents),
+    n AS (SELECT doc_id, spelled, coalesce(c, trim(spelled)) AS license FROM d LEFT JOIN alias ON lower(trim(spelled)) = a)
+    SELECT doc_id, spelled, license, CAST(coalesce(r, -1) AS INTEGER) AS rank, CASE license WHEN 'GPL-3.0' THEN 'https://www.gnu.org/licenses/gpl-3.0.html'
+      WHEN 'AGPL-3.0' THEN 'https://www.gnu.org/licenses/agpl-3.0.html' WHEN 'CC BY-NC 4.0' THEN 'https://creativecommons.org/licenses/by-nc/4.0/'
+      WHEN 'CC BY-NC-SA 4.0' THEN 'https://creativecommons.org/licenses/by-nc-sa/4.0/' WHEN 'glm-4' THEN 'https://huggingface.co/THUDM/glm-4v-9b/blob/main/LICENSE'
+      WHEN 'Public Domain' THEN 'https://creativecommons.org/publicdomain/mark/1.0/' ELSE '' END AS license_url FROM n LEFT JOIN ranks ON license = l"""
+)
+def license_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long and rare spellings of licences, dealt over the documents, with name, rank and address."""
+    spelled = F.get(F.expr(f"array({_SPELLINGS})"), F.pmod("doc_id", F.lit(10)).cast("int"))
+    rows = load(spark, sf_dir, "documents").select("doc_id", spelled.alias("spelled")).withColumn("license", F.col("spelled"))
+    return licences.normalised(rows).select("doc_id", "spelled", "license", "rank", "license_url")
+
+
+@query(
+    f"""WITH {_UNION}, f AS (SELECT DISTINCT file FROM qa_log), e AS (SELECT file, arg_min(license, ord) FILTER (weight = worst) AS l FROM top GROUP BY file)
+    SELECT f.file, coalesce(l, 'CC BY-NC 4.0') AS effective_license, coalesce(l, 'CC BY-NC 4.0') IN ('CC BY-NC 4.0', 'CC BY-NC-SA 4.0', 'glm-4') AS is_non_commercial FROM f LEFT JOIN e USING (file)"""
+)
+def license_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every logged file; a file without known components is not free for commercial use."""
+    one = licences.distinct_components(_components(spark, sf_dir), ["file"])
+    files = load(spark, sf_dir, "qa_log").select("file")
+    return licences.licensed(files, licences.effective(one, ["file"]), ["file"]).select("file", "effective_license", "is_non_commercial")
+
+
+@query(
+    f"""WITH {_NORMAL}, s AS (SELECT *, CASE WHEN ord % 2 = 0 THEN 0 ELSE 1 END AS step FROM normal),
+    u AS (SELECT file, name, license, min(struct_pack(step := step, ord := ord)) AS place FROM s GROUP BY ALL)
+    SELECT file, name, license, place.step = 0 AS was_there FROM u"""
+)
+def license_accretion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components that a record names (those of even documents) with those that a tool adds."""
+    rows = _components(spark, sf_dir)
+    both = licences.united(rows.where("ord % 2 = 0"), rows.where("ord % 2 <> 0"), ["file"])
+    return both.select("file", "name", "license", (F.col("ord.step") == 0).alias("was_there"))
+
+
 @query(f"WITH {_UNION} SELECT file, name, license, ord FROM uni")
 def license_union_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.distinct_components(_components(spark, sf_dir), ["file"]).select("file", "name", "license", "ord")
@@ -285,22 +385,32 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_RUNS} SELECT program, substr(run_id, 1, 6) AS day, count(*) AS n_stages, arg_min_null(statistics.input_files_total, run_id) AS input_files_total,
     arg_max_null(statistics.successfully_processed, run_id) AS successfully_processed, CAST(sum(statistics.skipped_files) AS BIGINT) AS skipped_files,
     round(sum(duration_seconds), 3) AS duration_seconds, min(start_time) AS start_time, max(end_time) AS end_time,
-    arg_min(tool_version, run_id) FILTER (tool_version <> '') AS tool_version FROM r GROUP BY ALL"""
+    arg_min(tool_version, run_id) FILTER (tool_version <> '') AS tool_version, any_value(formats) AS formats, CAST(sum(coalesce(len(skipped), 0)) AS BIGINT) AS n_skips
+    FROM r LEFT JOIN (SELECT program AS p, d, string_agg(k || '=' || n, ',' ORDER BY k) AS formats FROM (SELECT program, substr(run_id, 1, 6) AS d, e.key AS k, CAST(sum(e.value) AS BIGINT) AS n
+      FROM (SELECT program, run_id, unnest(map_entries(statistics.output_counts_by_type)) AS e FROM r) GROUP BY ALL) GROUP BY ALL) f ON p IS NOT DISTINCT FROM program AND d = substr(run_id, 1, 6) GROUP BY program, substr(run_id, 1, 6)"""
 )
 def merge_run_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.merged(_runs(spark, sf_dir).withColumn("day", F.substr("run_id", F.lit(1), F.lit(6))), ["program", "day"], "run_id")
+    out = runs.merged(_runs(spark, sf_dir).withColumn("day", F.substr("run_id", F.lit(1), F.lit(6))), ["program", "day"], "run_id")
+    formats = F.array_join(F.transform(F.map_entries("formats"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return out.withColumns({"formats": F.nullif(formats, F.lit("")), "n_skips": F.size("skipped").cast("long")}).drop("skipped")
+
+
+_TERMS = "CASE WHEN coalesce(duration_seconds, 0) >= 100 THEN 'gpl-3.0 license' WHEN coalesce(duration_seconds, 0) >= 50 THEN 'Attribution-NonCommercial 4.0 International' ELSE 'mit' END"
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT file, page_index, quality_score FROM scan_pages)
-    SELECT file, count(*) AS n_steps, string_agg(CAST(page_index AS VARCHAR), ',' ORDER BY page_index) AS steps, round(sum(quality_score), 3) AS total
-    FROM s GROUP BY file"""
+    f"""WITH {_RUNS}, s AS (SELECT substr(run_id, 1, 6) AS input_file, run_id, duration_seconds, {_TERMS} AS t FROM r)
+    SELECT input_file, string_agg(run_id, ',' ORDER BY run_id) AS steps, count(*) AS step_count, round(sum(coalesce(duration_seconds, 0)), 3) AS total_duration_seconds,
+    CASE WHEN bool_or(t LIKE 'Attr%') THEN 'CC BY-NC 4.0' WHEN bool_or(t LIKE 'gpl%') THEN 'GPL-3.0' ELSE 'MIT' END AS effective_license FROM s GROUP BY input_file"""
 )
 def merge_file_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The steps of a file in order with the sum of their measure; a file has as many steps as pages."""
-    steps = load(spark, sf_dir, "scan_pages").select("file", "page_index", "quality_score").distinct()
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list("page_index")), lambda x: x.cast("string")), ",")
-    return steps.groupBy("file").agg(F.count("*").alias("n_steps"), listed.alias("steps"), F.round(F.sum("quality_score"), 3).alias("total"))
+    """The logs of one day as those of one input file: steps in order, their durations, and the licence of all together."""
+    logs = _runs(spark, sf_dir).withColumns({"input_file": F.substr("run_id", F.lit(1), F.lit(6)), "license": F.expr(_TERMS)})
+    merged = runs.merged_steps(logs, ["input_file"], "run_id")
+    parts = licences.normalised(logs.select("input_file", F.col("run_id").alias("name"), "license", F.col("run_id").alias("ord")))
+    terms = licences.effective(parts, ["input_file"]).select("input_file", "effective_license")
+    steps = F.array_join(F.transform("steps", lambda s: s["run_id"]), ",")
+    return merged.join(terms, "input_file").select("input_file", steps.alias("steps"), "step_count", "total_duration_seconds", "effective_license")
 
 
 @query(f"WITH {_RUNS}, s AS (SELECT run_id, unnest(skipped) AS s FROM r) SELECT s.reason AS reason, count(*) AS n_skipped, count(DISTINCT run_id) AS n_runs FROM s GROUP BY s.reason")

@@ -247,12 +247,10 @@ def test_splice_changes_only_values():
 
 
 def test_paths():
-    import re
-
-    assert re.search(xml_nodes.path_pattern("//p:a/p:b"), "/r/x/a/b")
-    assert not re.search(xml_nodes.path_pattern("/a/b"), "/r/a/b")
+    xml = "<r xmlns:p='u'><x><p:a><p:b>1</p:b></p:a></x><a><b>2</b></a></r>"
+    assert hits(xml, "//p:a/p:b", {"p": "u"}) == ["1"] and hits(xml, "/a/b") == []
     with pytest.raises(ValueError):
-        xml_nodes.path_pattern("a b")
+        xml_nodes.parsed_path("a b")
 
 
 def test_conllu_skips_ranges_and_empty_nodes(spark):
@@ -367,3 +365,149 @@ def test_rewriting_takes_the_last_pass_over_a_node(spark):
     changes = spark.createDataFrame([("d", 1, "text", "EN:x", 0), ("d", 1, "text", "EN:EN:x", 1)], "doc_id string, node_id int, kind string, value string, ord int")
     got = {r["doc_id"]: bytes(r["content"]) for r in writers.rewritten(files, changes).collect()}
     assert got == {"d": b"<a><b>EN:EN:x</b></a>", "e": b"<a/>"}
+
+
+# scores
+
+
+def test_scores_of_known_pairs(spark):
+    assert evaluation.chrf_of("abc", "abc") == 100.0 and evaluation.chrf_of("", "abc") == 0.0 and evaluation.chrf_of("ab", "cd") == 0.0
+    # one-, two- and three-grams by hand: 3/4 and 3/4, 1/3 and 1/3, 0 and 0, 0 and 0
+    assert evaluation.chrf_of("abxc", "abyc") == round(100 * (3 / 4 + 1 / 3) / 4, 2)
+    same = "The pit was filled with stones."
+    assert evaluation.bleu_of(same, same) == 100.0 and evaluation.bleu_of("", same) == 0.0 and evaluation.bleu_of("x", same) == 0.0
+    import math
+
+    # three of four words, two of three pairs, one of two triples, no run of four
+    want = math.exp((math.log(4 / 5) + math.log(2 / 4) + math.log(1 / 3) + math.log(1 / 4)) / 4)
+    assert evaluation.bleu_of("a b c x d", "a b c d e") == round(100 * want, 2)
+    assert evaluation.mt_tokens("It's 3.5-4 m, &quot;wide&quot;.") == ["It's", "3.5", "-", "4", "m", ",", '"', "wide", '"', "."]
+    rows = spark.createDataFrame([("a b", "a b"), (None, "a")], "h string, r string")
+    assert [r["c"] for r in rows.select(evaluation.chrf(F.col("h"), F.col("r")).alias("c")).collect()] == [100.0, None]
+
+
+# paths
+
+
+def hits(xml: str, path: str, prefixes=None) -> list[str]:
+    nodes = xml_nodes.shred(xml.encode())
+    uris = prefixes or {}
+    return [n.text or "" for n in xml_nodes.found(nodes, xml_nodes.parsed_path(path), uris)]
+
+
+def test_paths_with_predicates_and_namespaces():
+    xml = "<r xmlns:p='urn:p'><a t='1'><b>1</b><b>2</b><c>x</c></a><a><b>3</b><p:b>4</p:b></a><d><a t='2'><b>5</b></a></d></r>"
+    assert hits(xml, "//a[@t='1']/b[2]") == ["2"] and hits(xml, "//a[@t]/b") == ["1", "2", "5"] and hits(xml, "/r/a/b") == ["1", "2", "3"]
+    assert hits(xml, "//b[last()]") == ["2", "3", "5"] and hits(xml, "//p:b", {"p": "urn:p"}) == ["4"] and hits(xml, "//a[c='x']/b[1]") == ["1"]
+    assert hits(xml, "//b[text()='3']") == ["3"] and hits(xml, "/r/*/*[1]") == ["1", "3", ""] and hits(xml, "a/b") == ["1", "2", "3"]
+    assert hits(xml, "//r") == [""] and hits(xml, "//a[7]") == [] and hits(xml, "//a[0]") == []
+    for bad in ("//a[position()<3]", "//a[@t='1' and b]", "//a/..", "count(//a)", "//a|//b", "", "//", "a b"):
+        with pytest.raises(ValueError):
+            xml_nodes.parsed_path(bad)
+
+
+def test_fields_are_read_in_one_pass(spark):
+    rows = [(1, "<r xmlns:x='http://a/amcr/1'><x:t> v </x:t><t>w</t></r>", "k"), (2, "<r><t>w</t></r>", "k"), (3, "<r", "k"), (4, None, "k")]
+    files = spark.createDataFrame(rows, "doc_id long, content string, original string")
+    got = xml_nodes.fields(files, ["//q:t", "//t", "//nobody:t", "//["], {"q": ("amcr", None)}).collect()
+    assert sorted((r["doc_id"], r["xpath_ord"], r["original"]) for r in got) == [(1, 0, " v "), (1, 1, "w"), (2, 1, "w")]
+    ns = xml_nodes.namespaces(xml_nodes.node_table(files.where("doc_id < 3")), "urn:stand-in").collect()
+    assert {r["doc_id"]: r["record_ns"] for r in ns} == {1: "http://a/amcr/1", 2: "urn:stand-in"}
+
+
+def test_harvest_refuses_entities_and_reads_what_a_service_offers():
+    bomb = b'<!DOCTYPE r [<!ENTITY a "aaaa"><!ENTITY b "&a;&a;">]><r><record><identifier>1</identifier><l xml:lang="cs">&b;</l></record></r>'
+    assert list(harvest.oai_records("u", "p", lambda u, b: bomb)) == []
+    import json
+
+    schema = {"types": [{"name": "Query", "fields": [{"name": "search", "args": [{"name": "limit"}, {"name": "language"}], "type": {"ofType": {"name": "Term"}}}, {"name": "exportAll"}]}, {"name": "Term", "fields": [{"name": "id"}, {"name": "termName"}]}]}
+    asked = []
+
+    def service(url, body):
+        if body is None:
+            return b"whole"
+        call = json.loads(body)
+        asked.append(call)
+        if "__schema" in call["query"]:
+            return json.dumps({"data": {"__schema": schema}}).encode()
+        if "exportAll" in call["query"]:
+            return b'{"data": {"exportAll": "http://x/all"}}'
+        lang = call["variables"]["lang"]
+        return json.dumps({"data": {"search": [{"id": 7, "termName": f" kost {lang} "}]}}).encode()
+
+    assert list(harvest.searched("u", fetch=service)) == [("7", "cs", "kost CS"), ("7", "en", "kost EN")]
+    assert asked[-1]["variables"] == {"lang": "EN", "limit": 99_999}
+    assert harvest.harvested("u", lambda raw: [("1", "cs", raw.decode())], service) == [("1", "cs", "whole")]
+    assert len(harvest.harvested("u", None, service)) == 2
+    assert harvest.harvested("u", None, lambda u, b: b"{") == []
+
+
+def test_catalogue_answers_and_labels(spark):
+    answers = ['{"_embedded": {"item": [{"model": "a-b"}]}}', '["c-d", "e-f"]', "<html>", '{"other": 1}', "[]"]
+    got = [sorted(r["pair"] for r in readers.model_pairs(spark.createDataFrame([(a,)], "value string"), ("x-y",)).collect()) for a in answers]
+    assert got == [["a-b"], ["c-d", "e-f"], ["x-y"], [], []]
+    m = F.create_map(F.lit("label_cs"), F.lit(" "), F.lit("Name_EN"), F.lit(" bone "))
+    nested = F.array(F.struct(F.lit("CS").alias("lang"), F.lit("kost").alias("value")))
+    row = spark.range(1).select(readers.label(m, nested, ["cs"]).alias("a"), readers.label(m, nested, ["en"]).alias("b"), readers.label(m, None, ["de"]).alias("c")).first()
+    assert tuple(row) == ("kost", "bone", None)
+    paths = spark.createDataFrame([("a.XML",), ("b.txt",)], "path string")
+    assert [r["path"] for r in readers.single_file(paths, ["xml"]).collect()] == ["a.XML"]
+
+
+def test_chat_names_the_terms_of_a_text_and_guards_its_answers():
+    import json
+
+    sent = []
+
+    def service(url, body):
+        sent.append(json.loads(body)["messages"][0]["content"])
+        return b'{"choices": [{"message": {"content": "the bone of the horse"}}]}'
+
+    chat = backends.Chat("u", "m", fetch=service, glossary=(("kost", "bone"), ("zvířecí kost", "animal bone"), ("kostel", "church")))
+    throttle = harvest.Throttle(0)
+    assert chat.one("Zvířecí kost koně", "cs", "en", throttle) == "the bone of the horse"
+    assert "zvířecí kost = animal bone; kost = bone" in sent[0] and "church" not in sent[0]
+    with pytest.raises(ValueError):
+        chat.one("x" * 500, "cs", "en", throttle)
+    urls = []
+    form = backends.FormService("u", "models", fetch=lambda u, b: urls.append(u) or b"ok")
+    form.one("a", "hu", "en", throttle)
+    form.one("a", "uk", "en", throttle)
+    assert urls == ["u/models/cs-en", "u/models/uk-en"]
+
+
+def test_run_logs_are_written_once(monkeypatch):
+    written = []
+    with pytest.raises(KeyError):
+        with runs.RunLog("r", "p", written.append) as log:
+            log.log("document", "a")
+            raise KeyError("x")
+    log.finalise()
+    assert len(written) == 1 and [e[2] for e in written[0]] == ["document", "error"]
+    monkeypatch.delenv("RUNNER_REPOSITORY", raising=False)
+    assert runs.repository({}, "p", {"p": "t"}) == "t" and runs.repository({"repository_fallback": "c"}, "p", {"p": "t"}) == "c"
+    monkeypatch.setenv("RUNNER_REPOSITORY", "e")
+    assert runs.repository({}, "p", {}) == "e"
+    assert licences.backend_components("chat") == ["chat_service"] and "lemma_engine" in licences.backend_components("form", True)
+
+
+def test_strict_writes_fail(spark):
+    owners = spark.createDataFrame([("pages", "a"), ("lines", "b")], "block string, program string")
+    grants = spark.createDataFrame([("a", "pages", "x"), ("c", "pages", "y")], "program string, block string, field string")
+    writes = spark.createDataFrame([("pages", "a", 1), ("lines", "a", 2), ("assembled", "b", 3), ("free", "z", 4)], "block string, program string, n int")
+    got = {r["n"]: (r["is_reserved"], r["is_foreign"], r["others"]) for r in records.write_verdicts(writes, owners, grants).collect()}
+    assert got == {1: (False, False, ["c"]), 2: (False, True, []), 3: (True, False, []), 4: (False, False, [])}
+    assert records.strict(records.write_verdicts(writes.where("n = 4"), owners, grants)).count() == 1
+    with pytest.raises(Exception, match="must not be written"):
+        records.strict(records.write_verdicts(writes, owners, grants)).collect()
+
+
+def test_language_model_on_texts_it_has_not_seen(spark):
+    from lexloom.operators import identify
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = identify.fitted(docs, "text", "lang", "doc_id")
+    log = spark.read.parquet("/root/testdata/sf0.001/qa_log.parquet").where("length(text_auto) between 60 and 400 and length(lang) = 2 and page_num is null")
+    got = identify.identified(log, model, "seg_id", "text_auto").join(log.select("seg_id", F.lower("lang").alias("label")), "seg_id").where("label in ('cs', 'sk', 'pl', 'de', 'en', 'uk')").collect()
+    assert sum(r["lang"] == r["label"] for r in got) / len(got) > 0.85  # some labels are wrong
+    assert model.predict(None) == model.predict(" 12/3 ") == ("en", 0.0) == identify.Identifier({}).predict("kost")

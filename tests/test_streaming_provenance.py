@@ -60,8 +60,10 @@ def test_fan_in_and_audits(spark):
 def test_fields_search_and_fetch(spark):
     row = spark.createDataFrame([(["id", "Name_CS"],)], "n array<string>")
     assert row.select(fx.first_field(F.col("n"), ["label", "name"]).alias("x")).first()["x"] == "Name_CS"
-    assert harvest.search_query(["lang", "limit"], "cs", 5) == '{ search(lang: "cs", limit: 5) { id label } }'
-    assert harvest.search_query([], "cs") == "{ search { id label } }"
+    query, variables = harvest.search_query(["language", "limit"], "cs", ["id", "name"], 5)
+    assert query == 'query GetSearch($limit: Int!, $lang: Language!) { search(value: "", limit: $limit, language: $lang) { id name } }'
+    assert variables == {"lang": "CS", "limit": 5}
+    assert harvest.search_query([], "cs", ["id"]) == ('query GetSearch { search(value: "") { id } }', {})
     urls = spark.createDataFrame([("h://x?id=pre-1/2",), ("h://bad?id=pre-3",)], "url string")
 
     def fake(url, body):
@@ -91,7 +93,7 @@ def test_throttle_waits_between_calls():
 def test_evaluation_segments(spark, limit, n):
     alto = "<alto><Page><TextBlock><TextLine><String CONTENT='a'/><String CONTENT=''/><String CONTENT='b'/></TextLine><TextLine><String CONTENT='c'/></TextLine></TextBlock></Page></alto>"
     files = spark.createDataFrame([("z.alto.xml", alto), ("a.xml", "<r><d> one </d><d>two<x/></d><d> </d></r>"), ("bad.xml", "<r>")], "name string, content string")
-    got = [(r["file"], r["id"], r["src"]) for r in xml_nodes.evaluation_segments(files, ["//d"], limit).collect()]
+    got = [(r["file"], r["id"], r["src"]) for r in xml_nodes.evaluation_segments(files, ["//d"], {}, limit).collect()]
     want = [("a.xml", "field0", "one"), ("a.xml", "field1", "two"), ("z.alto.xml", "block0", "a b c")]
     assert sorted(got) == want[:n]
 
@@ -113,3 +115,33 @@ def test_services_and_notes(spark):
     assert [(r["k"], r["conllu"]) for r in got] == [(1, "1\ta"), (2, "")]
     rows = licences.flagged(spark.createDataFrame([("House", 2, "House,Own")], "effective_license string, n_components int, unknown_licenses string"))
     assert licences.notes(rows).first()["notes"] == "The output licence is House, the most restrictive of 2 component(s). Not recognised and treated as most restrictive: House, Own."
+
+
+def test_late_events_are_left_out_and_state_is_bounded(spark, tmp_path):
+    from lexloom.streaming import streams
+
+    folder = str(tmp_path / "in")
+
+    def batch(name, rows):
+        spark.createDataFrame(rows, "ts string, event_type string").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet/{name}")
+
+    batch("1", [("2026-01-01 10:00:00", "a"), ("2026-01-01 11:00:00", "a")])
+    schema = spark.read.parquet(f"{folder}/events.parquet/1").schema
+    stream = lambda: streams.event_stream(spark, folder, "events", schema)
+    state = str(tmp_path / "state")
+
+    def run(out):
+        kept = []
+        q = streams.counted(stream()).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda df, i: kept.extend((str(r["w"]["start"])[:10], r["n_events"]) for r in df.collect())).start()
+        q.awaitTermination()
+        out.append(sorted(kept))
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"] if q.lastProgress and q.lastProgress["stateOperators"] else None
+
+    seen = []
+    run(seen)
+    batch("2", [("2026-01-05 10:00:00", "a")])
+    run(seen)
+    batch("3", [("2026-01-01 12:00:00", "a"), ("2026-01-05 11:00:00", "a")])  # the first is four days late
+    rows = run(seen)
+    assert seen[0] == [("2026-01-01", 2)] and ("2026-01-01", 3) not in seen[2] and ("2026-01-05", 2) in seen[2]
+    assert rows in (None, 1)
