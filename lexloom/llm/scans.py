@@ -13,7 +13,7 @@ sends the words it holds that may be in it, told by a bitmap of fixed size (``BI
 back its own few fixes, so that one pass over the pages repairs them. Words on so many pages that their join would be
 skewed number at most ``1 / HOT_SHARE`` and travel by broadcast.
 
-Defined cases: null or blank pages give no rows; a null file is a file of its own; repeated deliveries of a page count once
+Defined cases: null or blank pages and pages without a key give no rows; a null file is a file of its own; repeated deliveries of a page count once
 as pages are counted by number; pages without noise come out with their lines joined; empty tables give empty results; a
 correction is applied once (what it gives is not corrected again).
 """
@@ -576,7 +576,7 @@ def repair(log: DataFrame, labels: DataFrame | None, key: str, text: str, file:
     """
     context = log.sparkSession.sparkContext
     types = materialize(counted(log, text, page), "types")
-    pages = log.where(F.col(page).isNotNull() & (F.length(text) > 0)).select(
+    pages = log.where(F.col(key).isNotNull() & F.col(page).isNotNull() & (F.length(text) > 0)).select(
         F.col(key).alias("k"), F.col(file).alias("file"), F.col(page).cast("int").alias("page_num"), F.col(text).alias("t")
     )
     kept = compounds(types).select("wrong", F.lit(None).cast("string").alias("right"), "n")
