@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,7 +54,8 @@ class TokenCounter(dict):
         import regex
         import tiktoken
 
-        with open(os.path.join(folder, ranks), "rb") as f:
+        sent = SparkFiles.get(ranks)  # what :func:`measured` sent to the executors, if it could
+        with open(sent if os.path.exists(sent) else os.path.join(folder, ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = regex.compile(PATTERN).findall
         self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
@@ -79,6 +81,9 @@ def measured(docs: DataFrame, key: str, text: str, source: str, folder: str = TO
             n = [counter.count(t) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["k", "source", "n"])
 
+    path = os.path.join(folder, ranks)
+    if os.path.exists(path):
+        docs.sparkSession.sparkContext.addFile(path)  # executors need not have the folder
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(source), F.lit("")).alias("source"), F.col(text).alias("t"))
     return rows.mapInArrow(count, "k long, source string, n long").where("n > 0")
 
