@@ -33,6 +33,8 @@ DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 #: Bounds of the sample of whole pairs the classifier is fitted on, in pairs and in characters of both sides, and the share
 #: of it held out to calibrate thresholds.
 SAMPLE_ROWS, SAMPLE_CHARS, HELD_OUT = 9_000, 16_000_000, 0.25
+#: Pairs the second layer, of 28 weights a defect, is fitted on at most.
+LAYER_PAIRS = 3_000
 GRAM, BITS, SCALE = 5, 18, 24.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,6 +105,7 @@ _marked = re.compile(r"(?:…|\.\.\.|\[\s*…?\s*\]?|\[\.\.\.\])$")
 _not_word = re.compile(r"[\W_]+")
 _letter = re.compile(r"[^\W\d_]")
 _number = re.compile(r"\d+")
+_last = re.compile(r"[^\W_](?=[\W_]*$)")
 _nonletters = re.compile(r"[\W\d_]+")
 
 
@@ -118,7 +121,7 @@ def sentences(text: str) -> int:
 
 def same(source: str, target: str) -> bool:
     """The target repeats the source, apart from case, spacing, final mark or a prefix of its own."""
-    if not target or len(target) + 12 < len(source) * 0.9:
+    if not target or len(target) + 12 < len(source) * 0.9 or _ends_apart(source, target):
         return False
     a, b = plain(source[-24:]).replace(" ", "")[-8:], plain(target[-24:]).replace(" ", "")[-8:]
     n = min(len(a), len(b))
@@ -128,6 +131,12 @@ def same(source: str, target: str) -> bool:
     return bool(a) and (a == b or (b.endswith(" " + a) and len(b) - len(a) <= 24 and not sentences_before(target, source)))
 
 
+def _ends_apart(a: str, b: str) -> bool:
+    """Whether the last letters or digits of two texts are plain ones and differ: a quick way to tell most pairs apart."""
+    x, y = _last.search(a[-12:]), _last.search(b[-12:])
+    return bool(x and y) and x[0].isascii() and y[0].isascii() and x[0].lower() != y[0].lower()
+
+
 def letters_only(text: str) -> str:
     """The consistent form of a text without digits and marks: what decides whether it may be repeated."""
     return _nonletters.sub(" ", unify(text) if _suspect.search(text) else text).strip()
@@ -191,6 +200,8 @@ def fit_grams(texts: list[str], y: np.ndarray, seed: int, epochs: int = 4) -> np
 def features(sources: list[str], targets: list[str], scores: np.ndarray, copyable: np.ndarray, known: set[str]) -> np.ndarray:
     """One row of pair features a pair; ``scores``: not English, refusal; ``copyable``: of repeated sources, else 0."""
     rows = np.zeros((len(sources), 28), dtype=np.float64)
+    copied = (1 / (1 + np.exp(-np.clip(SCALE * copyable, -30, 30)))).tolist()
+    scaled = np.clip(scores.astype(np.float64) * SCALE, -8, 8).tolist()
     for i, (a, e) in enumerate(zip(sources, targets)):
         r = rows[i]
         r[0] = 1
@@ -219,15 +230,14 @@ def features(sources: list[str], targets: list[str], scores: np.ndarray, copyabl
         r[9], r[10], r[11], r[12] = ratio < 0.3, 0.3 <= ratio < 0.5, 0.5 <= ratio < 0.65, ratio > 1.7
         is_same = same(a, e)
         r[13] = is_same
-        c = 1 / (1 + np.exp(-np.clip(SCALE * copyable[i], -30, 30)))
+        c = copied[i]
         r[14] = is_same * (1 - c) * 4
         r[15] = is_same * c * 4
-        r[16] = np.clip(scores[i, 0] * SCALE, -8, 8)
-        r[17] = np.clip(scores[i, 1] * SCALE, -8, 8)
+        r[16], r[17] = scaled[i]
         r[18] = len(e) < 12
         r[19] = (r[9] or r[10]) and (open_end or marked) and closed_a
-        r[20] = max(0.0, r[16]) * (1 - is_same)
-        r[21] = max(0.0, r[17]) * (1 - is_same)
+        r[20] = max(0.0, scaled[i][0]) * (1 - is_same)
+        r[21] = max(0.0, scaled[i][1]) * (1 - is_same)
         r[22] = not closed_e and len(a) > 60 and n_e >= 2
         r[23] = open_end and not closed_a and ratio < 0.5 and len(a) > 25
         if not closed_a and len(a) > 25:
@@ -344,7 +354,8 @@ class Pairs:
         spelled = [letters_only(a) for a in [*sources, *[a for a, _ in repeated]]]
         self.copy_weights = fit_grams(spelled, np.repeat([0.0, 1.0], [len(sources), len(repeated)]), 3)[:, None]
         self.known = {_number.sub("0", plain(a)) for a in sources if len(a) <= 60}
-        self.layer = fit_layer(*self.examples(rng, good, repeated, known))
+        some = rng.sample(good, min(LAYER_PAIRS, len(good)))
+        self.layer = fit_layer(*self.examples(rng, some, repeated[: len(some)], known))
 
     def native(self, pairs: list) -> list:
         """Repeated sources without long ones in another language: these are copies themselves and teach nothing."""
