@@ -58,6 +58,7 @@ PLAIN = (
     r"\u2013\u2014\u2018-\u201f\u2022\u2026\u20ac\u2116"
 )
 SUSPECT = rf"[^{PLAIN}]|  |\n |^[ \n]|[ \n]$| \n"
+_all_plain = rf"\A[\x20-\x7e{PLAIN}]*+\z"
 
 _shapeless = re.compile(f"[{SHAPELESS}]+")
 _soft_break = re.compile(r"\u00ad(?=\r?\n)")
@@ -204,7 +205,17 @@ def consistent_form(text: Column, table: Lookalikes | None = None) -> Column:
         for s in batches:
             yield pd.Series([table.form(x) for x in s.tolist()], dtype=object)
 
-    return F.coalesce(form(F.when(text.rlike(SUSPECT), text)), text)
+    return F.coalesce(form(F.when(suspect(text), text)), text)
+
+
+def suspect(text: Column) -> Column:
+    """Whether ``SUSPECT`` occurs in a text, said without alternatives to try at every character."""
+    out = ~text.rlike(_all_plain)
+    for pair in ("  ", "\n ", " \n"):
+        out = out | F.contains(text, F.lit(pair))
+    for blank in (" ", "\n"):
+        out = out | text.startswith(blank) | text.endswith(blank)
+    return out
 
 
 def unify_column(df: DataFrame, text: str = "text", out: str = "text_form") -> DataFrame:
