@@ -29,15 +29,30 @@ BYTE_SLACK = 3
 #: A last line is complete if its form ends at least this share of all values (and three of them).
 FORM_SHARE, FORM_ROWS = 0.0004, 3
 
-# What transfer leaves at a cut.
-CUT_MARK = r"(?:\s?\[(?:\.{3}|…)\]|\s?\((?:\.{3}|…)\)|…|\.{3}|�+|</?[a-zA-Z]{0,10}|&#?[a-zA-Z0-9]{0,8})$"
-CLOSED = r"[.!?…][\"'”’»“\)\]]*$"
+# What transfer leaves at a cut, at most ``TAIL`` characters but for runs of half characters; what may close a
+# sentence, and what may stand behind it; abbreviations that end in a stop.
+CUT_MARK = r"(?:\s?\[(?:\.{3}|…)\]|\s?\((?:\.{3}|…)\)|…|\.{3}|</?[a-zA-Z]{0,10}|&#?[a-zA-Z0-9]{0,8})$"
+HALF_CHARACTER, TAIL = "\ufffd", 16
+STOPS, CLOSERS = ".!?…", "\"'”’»“)]"
 ABBREVIATED = r"(?:^|[\s(])(?:č|čís|inv|obr|tab|fig|no|nr|srov|por|vgl|cf|přír|prír|str|p|s|м|р|св)\.$"
 TABLE_ROW = r"^[^|\n]+(?:\|[^|\n]+)+$"
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    return F.rtrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def cut_mark(t: Column) -> Column:
+    """What a cut has left at the very end of a text: only its tail is searched."""
+    halves = F.length(t) - F.length(F.rtrim(t, F.lit(HALF_CHARACTER)))
+    return F.when(halves > 0, F.right(t, halves)).otherwise(F.regexp_extract(F.right(t, F.lit(TAIL)), CUT_MARK, 0))
+
+
+def ends_sentence(t: Column) -> Column:
+    """Whether a text ends with a stop, closing marks aside, that is not that of an abbreviation."""
+    body = F.rtrim(t, F.lit(CLOSERS))
+    stop = F.right(body, F.lit(1)).isin(*STOPS)
+    return stop & ~F.right(t, F.lit(TAIL)).rlike(ABBREVIATED)
 
 
 def line_form(line: Column) -> Column:
@@ -51,7 +66,8 @@ def line_form(line: Column) -> Column:
 def measured(df: DataFrame, key: str, texts: list[str], source: str) -> DataFrame:
     """One light row a value: its column, its lengths without the mark of a cut, how it ends and the form of its last line."""
     t = _stripped(F.col("raw"))
-    mark = F.regexp_extract(F.col("t"), CUT_MARK, 0)
+    mark = cut_mark(F.col("t"))
+    stop = F.right(F.rtrim("t", F.lit(CLOSERS)), F.lit(1)).isin(*STOPS)
     last = F.substring_index(F.col("core"), "\n", -1)
     row = [F.col(key).alias("k"), F.col(source).alias("source")]
     if len(texts) == 1:
@@ -71,8 +87,8 @@ def measured(df: DataFrame, key: str, texts: list[str], source: str) -> DataFram
             "mark",
             F.length("core").alias("chars"),
             F.octet_length("core").alias("bytes"),
-            (F.col("t").rlike(CLOSED) & ~F.col("t").rlike(ABBREVIATED) & (F.col("mark") == "")).alias("closed"),
-            F.when(~F.col("t").rlike(CLOSED) | (F.col("mark") != ""), line_form(last)).alias("form"),
+            (ends_sentence(F.col("t")) & (F.col("mark") == "")).alias("closed"),
+            F.when(~stop | (F.col("mark") != ""), line_form(last)).alias("form"),
         )
     )
 

@@ -84,6 +84,13 @@ def test_hot_forms_are_split_with_the_same_result(spark, monkeypatch):
     assert [r["count"] for r in classes] == [60]
 
 
+def test_suspect_texts_are_told_alike_in_both_ways(spark):
+    rng = random.Random(2)
+    rows = [("".join(rng.choice("ab  \n\u017e\u00a0\u0131č–\u2019\t0") for _ in range(rng.randint(0, 6))),) for _ in range(600)] + [("a\n",), ("\r\n",), ("",), ("x" * 5000,)]
+    got = spark.createDataFrame(rows, "t string").select("t", visual_forms.suspect(F.col("t")).alias("s")).collect()
+    assert all(r["s"] == bool(re.search(visual_forms.SUSPECT, r["t"])) for r in got) and {r["s"] for r in got} == {True, False}
+
+
 def test_form_of_nothing():
     assert visual_forms.unify(None) is None and visual_forms.unify("") == "" and visual_forms.unify(" ​ ") == ""
 
@@ -620,6 +627,16 @@ def test_item_groups_find_the_same(spark, monkeypatch):
 # 8 cut-off texts
 
 
+def test_ends_of_texts(spark):
+    rows = {
+        "Celá věta.": ("", True), "Věta (viz výše.)": ("", True), "Řekl: „Ano!“": ("", True), "viz obr.": ("", False), "obr.": ("", False), "Plocha byla či\ufffd\ufffd": ("\ufffd\ufffd", False),
+        "Plocha […]": (" […]", True), "Plocha <b": ("<b", False), "x &am": ("&am", False), "Plocha...": ("...", True), "a" * 40 + "\ufffd" * 40: ("\ufffd" * 40, False), "bez konce": ("", False), ")": ("", False),
+        "s.": ("", False), "dlouhá věta o jámě s.": ("", False), "Byl to hrob.)]”": ("", True),
+    }
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select("t", cut_off.cut_mark(F.col("t")).alias("m"), cut_off.ends_sentence(F.col("t")).alias("e")).collect()
+    assert {r["t"]: (r["m"], r["e"]) for r in got} == rows
+
+
 def test_cut_texts(spark):
     rng = random.Random(7)
     words = ["Plocha", "byla", "čistá", "a", "sonda", "ležela", "hluboko", "pod", "terénem", "vedle", "cesty"]
