@@ -198,15 +198,15 @@ def iso_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH codes AS (SELECT unnest(['cs','sk','pl','de','en','uk','hu']) AS lang)
-    SELECT lang, CASE lang WHEN 'cs' THEN 'czech-pdt-ud-2.15-241121' WHEN 'sk' THEN 'slovak-snk-ud-2.15-241121'
-      WHEN 'pl' THEN 'polish-pdb-ud-2.15-241121' WHEN 'de' THEN 'german-gsd-ud-2.15-241121' WHEN 'en' THEN 'english-ewt-ud-2.15-241121'
+    f"""WITH {_CODED}, c AS (SELECT DISTINCT code AS lang FROM coded)
+    SELECT lang, CASE lang WHEN 'sk' THEN 'slovak-snk-ud-2.15-241121' WHEN 'pl' THEN 'polish-pdb-ud-2.15-241121' WHEN 'de' THEN 'german-gsd-ud-2.15-241121'
+      WHEN 'fr' THEN 'french-gsd-ud-2.15-241121' WHEN 'en' THEN 'english-ewt-ud-2.15-241121' WHEN 'ru' THEN 'russian-syntagrus-ud-2.15-241121'
       WHEN 'uk' THEN 'ukrainian-iu-ud-2.15-241121' ELSE 'czech-pdt-ud-2.15-241121' END AS lemma_model,
-      CASE lang WHEN 'cs' THEN 'ces_Latn' WHEN 'sk' THEN 'slk_Latn' WHEN 'pl' THEN 'pol_Latn' WHEN 'de' THEN 'deu_Latn'
-      WHEN 'uk' THEN 'ukr_Cyrl' ELSE 'eng_Latn' END AS nllb_code FROM codes"""
+      CASE lang WHEN 'cs' THEN 'ces_Latn' WHEN 'sk' THEN 'slk_Latn' WHEN 'pl' THEN 'pol_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'fr' THEN 'fra_Latn'
+      WHEN 'ru' THEN 'rus_Cyrl' WHEN 'uk' THEN 'ukr_Cyrl' ELSE 'eng_Latn' END AS nllb_code FROM c"""
 )
 def model_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = spark.createDataFrame([(c,) for c in ("cs", "sk", "pl", "de", "en", "uk", "hu")], "lang string")
+    codes = _coded(spark, sf_dir).select(F.col("code").alias("lang")).distinct()
     return codes.select("lang", routing.lemma_model(F.col("lang")).alias("lemma_model"), routing.nllb_code(F.col("lang")).alias("nllb_code"))
 
 

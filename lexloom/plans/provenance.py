@@ -110,10 +110,14 @@ def license_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.flagged(licences.effective(one, ["file"])).select("file", "effective_license", "is_non_commercial", "is_share_alike")
 
 
-@query("SELECT * FROM (VALUES (1, 'prefLabel'), (2, 'name_cs'), (3, NULL)) AS t(n, field)")
+@query(
+    """WITH k AS (SELECT run_id, map_keys(config) AS names FROM runs)
+    SELECT DISTINCT run_id, coalesce(list_filter(names, lambda n: contains(lower(n), 'overlap'))[1], list_filter(names, lambda n: contains(lower(n), 'chunk'))[1]) AS field FROM k"""
+)
 def field_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, ["id", "prefLabel", "label"]), (2, ["id", "name_cs"]), (3, ["id"])]
-    return spark.createDataFrame(rows, "n int, names array<string>").select("n", fx.first_field(F.col("names"), ["preflabel", "name", "label"]).alias("field"))
+    """Of the settings of every run the first that speaks of the overlap, else of chunks."""
+    names = F.map_keys("config")
+    return load(spark, sf_dir, "runs").select("run_id", fx.first_field(names, ["OVERLAP", "chunk"]).alias("field")).distinct()
 
 
 @query(

@@ -24,27 +24,34 @@ def url_safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", fx.url_safe_name(F.col("url"), "oai:archive:").alias("safe_name"))
 
 
-@query(
-    """WITH l AS (SELECT unnest(['http://a.example/1', '  http://b.example', 'https://c.example/x ', '', 'ftp://d', '# http', 'httpx']) AS v)
-    SELECT trim(v) AS url FROM l WHERE starts_with(v, 'http')"""
-)
+_URL_LINES = """SELECT CASE doc_id % 4 WHEN 0 THEN 'http://a.example/' || doc_id WHEN 1 THEN '  http://b.example/' || doc_id WHEN 2 THEN 'https://c.example/' || doc_id || ' '
+    ELSE '# http' || doc_id END AS value FROM documents"""
+
+
+@query(f"SELECT trim(value) AS url FROM ({_URL_LINES}) WHERE starts_with(value, 'http')")
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["http://a.example/1", "  http://b.example", "https://c.example/x ", "", "ftp://d", "# http", "httpx"]
-    return readers.url_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    """A list of addresses, one line a document: indented ones and comments are none."""
+    return readers.url_lines(spark.sql(_URL_LINES.replace("documents", "{docs}"), docs=load(spark, sf_dir, "documents")))
 
 
-@query("SELECT unnest(['//a/b', 'amcr:x', '/r/c']) AS xpath")
+_PATH_LINES = "SELECT CASE doc_id % 4 WHEN 0 THEN '//a/b' || doc_id WHEN 1 THEN '# note' WHEN 2 THEN '  amcr:x' || doc_id || ' ' ELSE ' ' END AS value FROM documents"
+
+
+@query(f"SELECT trim(value) AS xpath FROM ({_PATH_LINES}) WHERE NOT starts_with(value, '#') AND trim(value) <> ''")
 def xpath_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["//a/b", "# note", "", "  amcr:x ", "/r/c"]
-    return readers.xpath_lines(spark.createDataFrame([(x,) for x in lines], "value string"))
+    return readers.xpath_lines(spark.sql(_PATH_LINES.replace("documents", "{docs}"), docs=load(spark, sf_dir, "documents")))
+
+
+_COMPONENT_LINES = """SELECT CASE ord % 5 WHEN 0 THEN '# = catalogue' WHEN 1 THEN 'engine ' || ord || ' = MIT ; always ; runtime' WHEN 2 THEN 'model ' || ord || ' = CC BY 4.0'
+    WHEN 3 THEN 'tool ' || ord || ' =' ELSE 'no entry' END AS value, ord FROM vocab"""
 
 
 @query(
-    """SELECT * FROM (VALUES ('engine', 'MIT', 'always', 'runtime'), ('model', 'CC BY 4.0', '', ''), ('tool', '', '', '')) AS t(name, license, loaded, role)"""
+    f"""SELECT CASE ord % 5 WHEN 1 THEN 'engine ' WHEN 2 THEN 'model ' ELSE 'tool ' END || ord AS name, CASE ord % 5 WHEN 1 THEN 'MIT' WHEN 2 THEN 'CC BY 4.0' ELSE '' END AS license,
+    CASE ord % 5 WHEN 1 THEN 'always' ELSE '' END AS loaded, CASE ord % 5 WHEN 1 THEN 'runtime' ELSE '' END AS role FROM ({_COMPONENT_LINES}) WHERE ord % 5 IN (1, 2, 3)"""
 )
 def component_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = ["# catalogue", "engine = MIT ; always ; runtime", "model = CC BY 4.0", "tool =", "no entry"]
-    return readers.components(spark.createDataFrame([(x,) for x in lines], "value string"))
+    return readers.components(spark.sql(_COMPONENT_LINES.replace("vocab", "{vocab}"), vocab=load(spark, sf_dir, "vocab")))
 
 
 def _conllu_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
