@@ -63,6 +63,11 @@ def canonical_doc_id(name: Column) -> Column:
     return out
 
 
+def record_doc_id(record: Column) -> Column:
+    """The id a JSON record names, ``doc_id`` before ``id``; empty where it names none."""
+    return F.coalesce(F.get_json_object(record, "$.doc_id"), F.get_json_object(record, "$.id"), F.lit(""))
+
+
 # Three-letter language codes (ISO 639-3 and 639-2/B) with their two-letter form.
 LANGUAGE_CODES = {
     "ces": "cs", "cze": "cs", "slk": "sk", "slo": "sk", "pol": "pl", "deu": "de", "ger": "de", "eng": "en", "ukr": "uk",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_doc_id as canonical_name
+from ..functions.text import record_doc_id
 from ..operators import licences, records, runs
 from ..session import load
 from .registry import query
@@ -23,6 +24,15 @@ def canonical_doc_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.substring_index("path", "/", -1).alias("name"), canonical_name(F.col("path")).alias("canonical"))
 
 
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'r' || doc_id WHEN 1 THEN 's' || doc_id ELSE '' END AS record_id FROM documents")
+def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of records that name them in one way, the other, both or none."""
+    n = F.pmod("doc_id", F.lit(3))
+    r, s = F.concat(F.lit("r"), "doc_id"), F.concat(F.lit("s"), "doc_id")
+    record = F.to_json(F.struct(F.when(n == 0, r).alias("doc_id"), F.when(n < 2, s).alias("id"), F.col("kind").alias("kind")))
+    return load(spark, sf_dir, "documents").select("doc_id", record_doc_id(record).alias("record_id"))
+
+
 _PAGES_E = "SELECT DISTINCT file, page, category, quality_score FROM scan_pages"
 _PAGES_I = "SELECT DISTINCT file, page, 'TEXT' AS category, CAST(NULL AS DOUBLE) AS quality_score FROM scan_pages WHERE needs_ocr OR category IS NULL"
 

@@ -38,9 +38,14 @@ class Node:
     text_to: int = -1
     tag_from: int = -1
     tag_to: int = -1
-    declared: list[str] = field(default_factory=list)
+    scopes: list[tuple[str | None, str]] = field(default_factory=list)
     children: list[int] = field(default_factory=list)
 
+    @property
+    def declared(self) -> list[str]:
+        """The namespaces the element declares, in order."""
+        return [uri for _, uri in self.scopes]
+
     @property
     def text(self) -> str | None:
         return "".join(self.parts) if self.parts else None
@@ -53,7 +58,7 @@ def shred(content: bytes) -> list[Node]:
     parser.ordered_attributes = True
     nodes: list[Node] = []
     stack: list[Node] = []
-    declared: list[str] = []  # namespaces of the element to come
+    scopes: list[tuple[str | None, str]] = []  # prefixes and namespaces of the element to come
 
     def start(name: str, attrs: list[str]) -> None:
         uri, _, local = name.rpartition("\n")
@@ -63,8 +68,8 @@ def shred(content: bytes) -> list[Node]:
         parent = stack[-1] if stack else None
         pairs = {a.rpartition("\n")[2]: v for a, v in zip(attrs[::2], attrs[1::2])}
         path = (parent.path if parent else "") + "/" + local
-        node = Node(len(nodes), parent.node_id if parent else -1, len(stack), local, uri, path, pairs, tag_from=at, declared=[*declared])
-        declared.clear()
+        node = Node(len(nodes), parent.node_id if parent else -1, len(stack), local, uri, path, pairs, tag_from=at, scopes=[*scopes])
+        scopes.clear()
         if parent:
             parent.children.append(node.node_id)
         nodes.append(node)
@@ -96,7 +101,7 @@ def shred(content: bytes) -> list[Node]:
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
     parser.CommentHandler = parser.ProcessingInstructionHandler = stop_text
     parser.EntityDeclHandler = refuse
-    parser.StartNamespaceDeclHandler = lambda prefix, uri: declared.append(uri) if uri else None
+    parser.StartNamespaceDeclHandler = lambda prefix, uri: scopes.append((prefix, uri)) if uri else None
     try:
         parser.Parse(content, True)
     except expat.ExpatError as e:
@@ -275,10 +280,15 @@ LAYOUT = "page_idx int, block_idx int, line_idx int, line_id string, str_idx int
 
 def layout_of(nodes: list[Node]) -> Iterator[tuple[int, int, int, str, int, str]]:
     """(page, block, line, line id, string, content) of every string, all from 1 in document order within what holds them;
-    blocks may be nested in other elements; a line without an id is called by its number."""
+    blocks may be nested in other elements; a line without an id is called by its number. Elements count in the default
+    namespace of the root, else in the one it calls ``alto``, else in none."""
+    scopes = dict(nodes[0].scopes) if nodes else {}
+    own = scopes.get(None) or scopes.get("alto") or ""
     page = block = line = string = 0
     line_id = ""
     for n in nodes:
+        if n.ns_uri != own:
+            continue
         if n.tag == "Page":
             page, block, line, string = page + 1, 0, 0, 0
         elif n.tag == "TextBlock":

@@ -511,3 +511,15 @@ def test_language_model_on_texts_it_has_not_seen(spark):
     got = identify.identified(log, model, "seg_id", "text_auto").join(log.select("seg_id", F.lower("lang").alias("label")), "seg_id").where("label in ('cs', 'sk', 'pl', 'de', 'en', 'uk')").collect()
     assert sum(r["lang"] == r["label"] for r in got) / len(got) > 0.85  # some labels are wrong
     assert model.predict(None) == model.predict(" 12/3 ") == ("en", 0.0) == identify.Identifier({}).predict("kost")
+
+
+@pytest.mark.parametrize(
+    "head,n", [("<alto xmlns='u'>", 1), ("<alto>", 1), ("<a:alto xmlns:a='u'>", 1), ("<x:alto xmlns:x='u' xmlns:alto='u'>", 0), ("<alto xmlns='u' xmlns:q='v'>", 1)]
+)
+def test_layout_counts_in_the_namespace_of_the_root(head, n):
+    name = head[1:].split()[0].rstrip(">")
+    foreign = "<q:String CONTENT='no'/>" if "xmlns:q" in head else ""
+    xml = f"{head}<Page><TextBlock><TextLine><String CONTENT='a'/>{foreign}</TextLine></TextBlock></Page></{name}>"
+    assert len(list(xml_nodes.layout_of(xml_nodes.shred(xml.encode())))) == n
+    named = "<alto:alto xmlns:alto='u'><alto:Page><alto:TextBlock><alto:TextLine><alto:String CONTENT='a'/></alto:TextLine></alto:TextBlock></alto:Page></alto:alto>"
+    assert [r[5] for r in xml_nodes.layout_of(xml_nodes.shred(named.encode()))] == ["a"]
