@@ -270,6 +270,17 @@ def test_signatures_and_bitmaps_agree_with_their_columns(spark):
     assert len(scans.bitmap(df.limit(0), F.col("w"))) * 8 == scans.BITMAP_BITS
 
 
+def test_pages_without_keys_or_with_clashing_columns(spark):
+    rows = [(i, "m", None, "sondy vrstvy nálezu", i, None, "x") for i in range(20)]
+    rows += [(None, "f", 1, "s0ndy tu", 1, None, "y"), (50, "f", 2, "s0ndy tam", 1, None, "y"), (50, "f", 2, "s0ndy tam", 2, None, "y"), (51, None, None, None, 1, None, None)]
+    log = spark.createDataFrame(rows, "seg_id long, file string, page_num int, text_auto string, k int, fixes string, t string")
+    done = scans.repair(log, None, "seg_id", "text_auto", "file", "page_num", materialize).distinct().collect()
+    assert [(r["k"], r["text"], r["misread"]) for r in done] == [(50, "sondy tam", True)]
+    long = "sondy vrstvy nálezu " * 20_000
+    one = scans.repair(spark.createDataFrame([(1, "f", 1, long)], "seg_id long, file string, page_num int, text_auto string"), None, "seg_id", "text_auto", "file", "page_num", materialize).first()
+    assert one["text"] == long.strip()
+
+
 # 4 language
 
 
@@ -560,6 +571,32 @@ def test_every_kind_of_container_is_filled(spark):
     assert packing.pack(docs, kinds, "doc_id", "text", "source", materialize).select("container_kind").distinct().count() == 1050
 
 
+@pytest.mark.skipif(not RANKS_AT, reason="no tokenizer files")
+def test_packing_to_targets_with_nulls_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 3_000)
+    rng = random.Random(8)
+    rows = [(i, "slovo " * rng.choice((3, 20, 90)), rng.choice(("a", "b", "c", None)), i, 1.0) for i in range(600)] + [(None, "bez klíče", "a", 1, 1.0), (None, "bez klíče", "a", 1, 1.0), (7, "x", "b", 0, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, place int, share double")
+    kinds = spark.createDataFrame([("small", 64)], "container_kind string, capacity_tokens int")
+    counter = packing.TokenCounter()
+    total = sum(counter.count(r[1]) for r in rows)
+    for targets in (None, {"a": 0.5, "b": 0.5}, {"a": 0.2, "zz": 0.5}, {"c": 0.0}):
+        got = packing.pack(docs, kinds, "doc_id", "text", "source", materialize, targets).collect()
+        assert sum(r["n_tokens"] for r in got) == total and sum(r["doc_id"] is None for r in got) == 2
+        used = {}
+        for r in got:
+            used[r["container_id"]] = used.get(r["container_id"], 0) + r["n_tokens"]
+        assert max(used.values()) <= 64 and sum(used.values()) / (64 * len(used)) > 0.9
+        if targets == {"a": 0.5, "b": 0.5}:
+            first = [r for r in got if r["shard"] == 0]
+            share = sum(r["n_tokens"] for r in first if r["source"] == "a") / sum(r["n_tokens"] for r in first)
+            assert abs(share - 0.5) < 0.06
+    mixed = packing.mixtures(packing.pack(docs, kinds, "doc_id", "text", "source", materialize)).groupBy("shard", "pack_window").agg(F.sum("share").alias("s")).collect()
+    assert all(abs(r["s"] - 1) < 1e-4 for r in mixed)
+    with pytest.raises(ValueError):
+        packing.pack(docs, kinds, "doc_id", "text", "source", materialize, {"a": 0.9, "b": 0.9})
+
+
 # 7 leaks
 
 
