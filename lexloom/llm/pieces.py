@@ -46,6 +46,8 @@ RESULT = T.StructType(
 
 
 def _strength(atom: str) -> int:
+    if atom[-1] == " " and atom[-2:-1].isalnum():  # most atoms: a word and a space
+        return WORD
     body = atom.rstrip()
     tail = atom[len(body) :]
     if not tail:
