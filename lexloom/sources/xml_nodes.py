@@ -23,7 +23,7 @@ NODES = (
 )
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     node_id: int
     parent_id: int
@@ -38,8 +38,7 @@ class Node:
     text_to: int = -1
     tag_from: int = -1
     tag_to: int = -1
-    scopes: list[tuple[str | None, str]] = field(default_factory=list)
-    children: list[int] = field(default_factory=list)
+    scopes: tuple[tuple[str | None, str], ...] = ()
 
     @property
     def declared(self) -> list[str]:
@@ -68,10 +67,8 @@ def shred(content: bytes) -> list[Node]:
         parent = stack[-1] if stack else None
         pairs = {a.rpartition("\n")[2]: v for a, v in zip(attrs[::2], attrs[1::2])}
         path = (parent.path if parent else "") + "/" + local
-        node = Node(len(nodes), parent.node_id if parent else -1, len(stack), local, uri, path, pairs, tag_from=at, scopes=[*scopes])
+        node = Node(len(nodes), parent.node_id if parent else -1, len(stack), local, uri, path, pairs, tag_from=at, scopes=tuple(scopes))
         scopes.clear()
-        if parent:
-            parent.children.append(node.node_id)
         nodes.append(node)
         stack.append(node)
 
@@ -188,7 +185,7 @@ def _prefixes(steps: list[tuple]) -> set[str]:
     return {p for _, p, _, _ in steps if p} | {t[2] for *_, tests in steps for t in tests if t[2]}
 
 
-def _passes(nodes: list[Node], hits: list[Node], test: tuple, uris: dict[str, str]) -> list[Node]:
+def _passes(below: dict[int, list[Node]], hits: list[Node], test: tuple, uris: dict[str, str]) -> list[Node]:
     """The hits among the children of one element that a predicate lets through."""
     place, is_attribute, prefix, name, value = test
     if place is not None:
@@ -198,12 +195,15 @@ def _passes(nodes: list[Node], hits: list[Node], test: tuple, uris: dict[str, st
     if name == "text()":
         return [n for n in hits if n.text is not None and (value is None or n.text == value)]
     uri = uris[prefix] if prefix else ""
-    of = lambda n: (c for c in map(nodes.__getitem__, n.children) if c.tag == name and c.ns_uri == uri)
+    of = lambda n: (c for c in below.get(n.node_id, ()) if c.tag == name and c.ns_uri == uri)
     return [n for n in hits if any(value is None or (c.text or "") == value for c in of(n))]
 
 
 def found(nodes: list[Node], steps: list[tuple], uris: dict[str, str]) -> list[Node]:
     """The elements of a path, in document order; names without a prefix are in no namespace."""
+    below: dict[int, list[Node]] = {}
+    for n in nodes:
+        below.setdefault(n.parent_id, []).append(n)
     now: set[int] = {-1}  # the document
     for deep, prefix, name, tests in steps:
         uri = uris[prefix] if prefix else ""
@@ -215,10 +215,9 @@ def found(nodes: list[Node], steps: list[tuple], uris: dict[str, str]) -> list[N
                     parents.add(n.node_id)
         out = set()
         for p in parents:
-            hits = [nodes[c] for c in (nodes[p].children if p >= 0 else [0] if nodes else [])]
-            hits = [n for n in hits if name == "*" or (n.tag == name and n.ns_uri == uri)]
+            hits = [n for n in below.get(p, ()) if name == "*" or (n.tag == name and n.ns_uri == uri)]
             for test in tests:
-                hits = _passes(nodes, hits, test, uris)
+                hits = _passes(below, hits, test, uris)
             out.update(n.node_id for n in hits)
         now = out
     return [nodes[i] for i in sorted(now)]
