@@ -297,7 +297,7 @@ def bitmap(words: DataFrame, word: Column) -> bytes:
     place = F.crc32(word.cast("binary")) % F.lit(BITMAP_BITS)
     parts = words.select(place.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits"))
     out = bytearray(BITMAP_BITS // 8)
-    for r in parts.toLocalIterator():
+    for r in parts.collect():  # BITMAP_BITS at most
         out[r["part"] * 4096 : r["part"] * 4096 + 4096] = r["bits"]
     return bytes(out)
 
@@ -434,7 +434,7 @@ def edge_lines(pages: DataFrame) -> DataFrame:
     return pages.select("k", "file", "page_num", F.inline("lines")).withColumn("deep", F.col("depth") >= EDGE_LINES)
 
 
-def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
+def furniture(lines: DataFrame, labels: DataFrame | None, materialize=None) -> DataFrame:
     """(``k``, ``side``, ``depth``, ``line_no``, ``is_header``, ``is_number``): edge lines that are running matter or carry page
     numbers.
 
@@ -444,21 +444,26 @@ def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
     so: sentences that happen to break alike on a few pages are no running matter. Lines beyond ``EDGE_LINES`` are compared
     among themselves and must not look like text and stand on ``LEAST_FLOW_PAGES`` and more than half of the file's pages.
     """
-    formed = lines.where("length(running) >= 4")
-    forms = (
-        formed.where("not flows")
-        .groupBy("file", "deep", "running")
-        .agg(F.count_distinct("page_num").alias("n"), F.min("words").alias("words"))
+    # first by page, so that pages are counted without being gathered
+    seen = (
+        lines.where("length(running) >= 4")
+        .groupBy("file", "deep", "running", "page_num")
+        .agg(F.bool_and("flows").alias("flows"), F.min(F.when(~F.col("flows"), F.col("words"))).alias("words"))
     )
-    pages = lines.groupBy(F.col("file").alias("f")).agg(F.count_distinct("page_num").alias("all"))
-    repeated = forms.where(~F.col("deep") & (F.col("n") >= LEAST_PAGES)).unionByName(
-        forms.where(F.col("deep") & (F.col("n") >= LEAST_FLOW_PAGES)).join(pages, F.expr("file <=> f and 2 * n > all")).drop("f", "all")
+    forms = seen.groupBy("file", "deep", "running").agg(
+        F.count("*").alias("n"), F.count_if(~F.col("flows")).alias("n_steady"), F.min("words").alias("words")
+    )
+    pages = lines.select(F.col("file").alias("f"), "page_num").distinct().groupBy("f").agg(F.count("*").alias("all"))
+    if materialize is not None:
+        forms = materialize(forms, "forms")
+    repeated = forms.where(~F.col("deep") & (F.col("n_steady") >= LEAST_PAGES)).unionByName(
+        forms.where(F.col("deep") & (F.col("n_steady") >= LEAST_FLOW_PAGES)).join(pages, F.expr("file <=> f and 2 * n_steady > all")).drop("f", "all")
     )
     exact = repeated.select("file", "deep", "running")
     word = F.explode("words").alias("word")
     right = repeated.select(F.col("file").alias("f"), F.col("deep").alias("d"), F.col("running").alias("r"), word)
     alike = (
-        forms.where(F.col("deep") | (F.col("n") < LEAST_PAGES))
+        forms.where((F.col("n_steady") > 0) & (F.col("deep") | (F.col("n_steady") < LEAST_PAGES)))
         .select("file", "deep", "running", word)
         .join(right.withColumnRenamed("word", "w"), F.expr("file <=> f and deep = d and word = w"))
         .where(F.abs(F.length("running") - F.length("r")) <= (1 - LEAST_LIKE) * F.length("r"))
@@ -466,9 +471,7 @@ def furniture(lines: DataFrame, labels: DataFrame | None) -> DataFrame:
         .select("file", "deep", "running")
     )
     persistent = (
-        formed.where("not deep").groupBy("file", "deep", "running")
-        .agg(F.count_distinct("page_num").alias("n"), F.count_distinct(F.when(~F.col("flows"), F.col("page_num"))).alias("n_steady"))
-        .where(F.col("n") >= LEAST_FLOW_PAGES)
+        forms.where(~F.col("deep") & (F.col("n") >= LEAST_FLOW_PAGES))
         .join(pages, F.expr(f"file <=> f and (2 * n > all or n_steady >= {LEAST_FLOW_PAGES})"))
         .select("file", "deep", "running", F.lit(True).alias("firm"))
     )
@@ -588,7 +591,7 @@ def repair(log: DataFrame, labels: DataFrame | None, key: str, text: str, file:
     hot = context.broadcast({r[0]: r[1] for r in fixes.where(is_hot).select("wrong", "right").collect()})  # 2 / HOT_SHARE words at most
     rare = fixes.where(~is_hot)
     notes = materialize(noted(pages, bitmap(rare, F.col("wrong"))), "notes")
-    marks = marked_pages(furniture(edge_lines(notes), labels))
+    marks = marked_pages(furniture(edge_lines(notes), labels, materialize))
     own = (
         notes.select("k", F.explode("suspects").alias("wrong"))
         .join(rare.select("wrong", "right"), "wrong")
