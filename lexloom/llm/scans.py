@@ -492,7 +492,7 @@ def furniture(lines: DataFrame, labels: DataFrame | None, materialize=None) -> D
     )
     if labels is not None:
         own = labels.select(F.col("file").alias("f3"), F.col("page_num").alias("p3"), F.col("label").alias("label")).distinct()
-        out = out.join(own, F.expr("file <=> f3 and page_num = p3"), "left")
+        out = out.join(own.hint("merge"), F.expr("file <=> f3 and page_num = p3"), "left")  # one row a page
     else:
         out = out.withColumn("label", F.lit(None).cast("string"))
     number = (F.col("in_step").isNotNull() | F.coalesce(F.lower("printed") == F.lower("label"), F.lit(False))) & F.col("number").isNotNull()
@@ -599,7 +599,8 @@ def repair(log: DataFrame, labels: DataFrame | None, key: str, text: str, file:
         .agg(F.collect_set(F.struct("wrong", "right")).alias("fixes"))  # words of one page
     )
     no = F.lit(False)
-    work = pages.join(marks, "k", "left").join(own, "k", "left").select(
+    # both grow with the pages: never broadcast
+    work = pages.join(marks.hint("merge"), "k", "left").join(own.hint("merge"), "k", "left").select(
         "k", "t", "drop", "fixes", F.coalesce("header", no).alias("header"), F.coalesce("numbered", no).alias("numbered")
     )
 
