@@ -48,6 +48,9 @@ FLUSH_WORDS = 400_000
 #: Bits of the bitmaps that tell which words may be known (8 MB sent at most), and the share of all words of pages from
 #: which a word's fix is broadcast (so at most 1 / HOT_SHARE of them) instead of joined.
 BITMAP_BITS, HOT_SHARE = 1 << 26, 0.0001
+#: Single lines of a file that share a word from which they are compared in several tasks, at least, and the share of all such
+#: lines from which they are: so there are at most 1 / HOT_LINE_SHARE such words.
+HOT_LINES, HOT_LINE_SHARE = 50_000, 0.00001
 
 # What recognition prints for what stood there.
 LETTER_CONFUSIONS = (
@@ -461,11 +464,22 @@ def furniture(lines: DataFrame, labels: DataFrame | None, materialize=None) -> D
     )
     exact = repeated.select("file", "deep", "running")
     word = F.explode("words").alias("word")
+    single = forms.where((F.col("n_steady") > 0) & (F.col("deep") | (F.col("n_steady") < LEAST_PAGES))).select("file", "deep", "running", word)
+    single = single.withColumn("place", F.xxhash64("file", "deep", "word"))
     right = repeated.select(F.col("file").alias("f"), F.col("deep").alias("d"), F.col("running").alias("r"), word)
+    right = right.select("f", "d", "r", F.col("word").alias("w"), F.xxhash64("f", "d", "word").alias("place"))
+    if materialize is not None:
+        single = materialize(single, "single")
+    # places of very many lines are split; a place shared by chance is split alike on both sides
+    part_lines = max(HOT_LINES, int(HOT_LINE_SHARE * single.count()))
+    hot = single.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") > part_lines).select("place", F.ceil(F.col("n") / part_lines).cast("int").alias("parts"))
+    if materialize is not None:
+        hot = materialize(hot, "hot")
+    parts = F.coalesce("parts", F.lit(1))
+    single = single.join(F.broadcast(hot), "place", "left").withColumn("part", F.pmod(F.xxhash64("running"), parts).cast("int")).drop("place", "parts")
+    right = right.join(F.broadcast(hot), "place", "left").select("f", "d", "r", "w", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
     alike = (
-        forms.where((F.col("n_steady") > 0) & (F.col("deep") | (F.col("n_steady") < LEAST_PAGES)))
-        .select("file", "deep", "running", word)
-        .join(right.withColumnRenamed("word", "w"), F.expr("file <=> f and deep = d and word = w"))
+        single.join(right.hint("merge"), F.expr("file <=> f and deep = d and word = w and part = p"))
         .where(F.abs(F.length("running") - F.length("r")) <= (1 - LEAST_LIKE) * F.length("r"))
         .where(F.levenshtein("running", "r") <= (1 - LEAST_LIKE) * F.length("r"))
         .select("file", "deep", "running")

@@ -245,7 +245,7 @@ def test_words_over_three_lines_and_their_compounds(spark):
     assert set(scans.divisions("vy-\nko-\npávka")) == {"vy\t-\tko", "ko\t-\tpávka", "vyko\t-\tpávka"}
 
 
-def test_headers_of_many_lines_and_headers_misread_at_both_ends(spark):
+def test_headers_of_many_lines_and_headers_misread_at_both_ends(spark, monkeypatch):
     head = ["Ústav archeologie", "Zpráva o výzkumu města Lhota", "Oddíl terénních prací"]
     bodies = ["Plocha byla čistá.", "Stěny byly šikmé.", "Jáma měla oblé dno.", "Sonda byla prázdná.", "Výplň byla šedá."]
     rows = [(i, "f", i + 1, "\n".join([*head, b, f"Dno leželo {i} m hluboko.", "Konec popisu této plochy."])) for i, b in enumerate(bodies)]
@@ -255,9 +255,13 @@ def test_headers_of_many_lines_and_headers_misread_at_both_ends(spark):
     assert all(drop[i][:3] == [0, 1, 2] and 3 not in drop[i] for i in range(5))
     wrong = "Zprxva o výzkumu města Lhoxa"
     rows[2] = (2, "f", 3, rows[2][3].replace(head[1], wrong))
+    rows += [(10 + k, None, p, t) for k, _, p, t in rows]  # a null file is a file of its own
     log = spark.createDataFrame(rows, "k long, file string, page_num int, t string")
-    found = scans.furniture(scans.edge_lines(scans.noted(log)), None).where("is_header and line_no = 1")
-    assert {r["k"] for r in found.collect()} == set(range(5))
+    lines = scans.edge_lines(scans.noted(log))
+    for keep, least in ((None, 50_000), (materialize, 50_000), (materialize, 1)):  # split into many tasks or not
+        monkeypatch.setattr(scans, "HOT_LINES", least)
+        found = scans.furniture(lines, None, keep).where("is_header and line_no = 1")
+        assert {r["k"] for r in found.collect()} == {*range(5), *range(10, 15)}
 
 
 def test_signatures_and_bitmaps_agree_with_their_columns(spark):
